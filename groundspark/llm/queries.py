@@ -24,11 +24,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_mixing, op4_sharding, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
