@@ -121,3 +121,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return now.select(F.col("v").alias("id"), F.col("m").alias("component_id")).unionByName(
         now.select(F.col("m").alias("id"), F.col("m").alias("component_id")).distinct()
     )
+
+
+#: 64-bit words of the bitmap by which rows are passed over before a shuffle.
+FILTER_WORDS = 1 << 17
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key is in ``ids (key)``, with distinct keys there.
+
+    A bitmap of hashed keys, of FILTER_WORDS words however many keys there are, is
+    broadcast first, so most rows that are not asked for never enter the shuffle; the
+    join after it is exact.
+    """
+    bit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(FILTER_WORDS * 64))
+    bits = ids.select(bit.alias("_b")).selectExpr("cast(shiftright(_b, 6) as int) as _word", "shiftleft(1L, cast(_b % 64 as int)) as _mask")
+    bitmap = bits.groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    rows = docs.withColumn("_b", bit).withColumn("_word", F.expr("cast(shiftright(_b, 6) as int)"))
+    rows = rows.join(F.broadcast(bitmap), "_word").where("(_bits & shiftleft(1L, cast(_b % 64 as int))) <> 0")
+    return rows.select(docs.columns).join(ids, key)
