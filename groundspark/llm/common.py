@@ -140,3 +140,33 @@ def rows_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = docs.withColumn("_b", bit).withColumn("_word", F.expr("cast(shiftright(_b, 6) as int)"))
     rows = rows.join(F.broadcast(bitmap), "_word").where("(_bits & shiftleft(1L, cast(_b % 64 as int))) <> 0")
     return rows.select(docs.columns).join(ids, key)
+
+
+def by_runs(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Bring rows with equal keys together and call ``work(table)`` on each such group.
+
+    Groups must be bounded by construction: each is held in memory, one at a time.
+    ``work`` returns a record batch or None.
+    """
+    n = len(keys)
+
+    def run(batches):
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            values = list(zip(*(table.column(i).to_pylist() for i in range(n))))
+            start = 0
+            for i, value in enumerate(values):
+                if value != last:
+                    if i > start:
+                        held.append(table.slice(start, i - start))
+                    if held and (out := work(pa.concat_tables(held))) is not None:
+                        yield out
+                    held, start, last = [], i, value
+            held.append(table.slice(start))
+        if held and (out := work(pa.concat_tables(held))) is not None:
+            yield out
+
+    ordered = df.select(*keys, *[c for c in df.columns if c not in keys])
+    return ordered.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -36,6 +36,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import vector_groups
+
+    return vector_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents, train
 
@@ -61,5 +67,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_mixing, op4_sharding, op6_toxicity, op7_minhash, op9_substring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_mixing, op4_sharding, op5_vectors, op6_toxicity, op7_minhash, op9_substring, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
