@@ -55,6 +55,12 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import suffix_dedup
+
+    return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import substring_dedup
 
@@ -67,5 +73,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_mixing, op4_sharding, op5_vectors, op6_toxicity, op7_minhash, op9_substring, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_mixing, op4_sharding, op5_vectors, op6_toxicity, op7_minhash, op8_suffix, op9_substring, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -44,9 +44,11 @@ def _chunks(batch: pa.RecordBatch):
         yield part.column(0).to_numpy(zero_copy_only=False), words, flat, lengths
 
 
-def sketch(spark: SparkSession, docs: DataFrame, window: int, gram: int) -> list[np.ndarray]:
+def sketch(docs: DataFrame, hashes_of) -> list[np.ndarray]:
     """Bitmaps of the merged sketch's cells that count two or more, one a row of the sketch.
 
+    ``hashes_of(batch)`` yields arrays of what is to be counted.
+
     Their size is fixed by CELL_BITS. A fuller sketch lets more windows through to the
     second pass and loses none.
     """
@@ -69,8 +71,8 @@ def sketch(spark: SparkSession, docs: DataFrame, window: int, gram: int) -> list
                     yield batch_of(["segment", "cells"], [pa.array((full + (d << SEGMENT_BITS)).astype(np.int32)), pa.array(blobs, pa.binary())])
 
         def each(batch):
-            for _, _, flat, lengths in _chunks(batch):
-                held.append(anchors(flat, lengths, window, gram)[3])
+            for hashes in hashes_of(batch):
+                held.append(hashes)
                 if sum(map(len, held)) > 1 << 20:
                     yield from flush()
 
@@ -106,6 +108,14 @@ def sketch(spark: SparkSession, docs: DataFrame, window: int, gram: int) -> list
     return bitmaps
 
 
+def anchor_hashes(window: int, gram: int):
+    def of(batch: pa.RecordBatch):
+        for _, _, flat, lengths in _chunks(batch):
+            yield anchors(flat, lengths, window, gram)[3]
+
+    return of
+
+
 def estimated_repeated(bitmaps: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
     out = np.ones(len(hashes), bool)
     for d, bits in enumerate(bitmaps):
@@ -184,7 +194,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    bitmaps = spark.sparkContext.broadcast(sketch(spark, rows, window, gram))
+    bitmaps = spark.sparkContext.broadcast(sketch(rows, anchor_hashes(window, gram)))
     found = scratch(suspects(rows, bitmaps, window, gram), "suspects")
     rank = F.rank().over(W.partitionBy("hash").orderBy("id", "place"))
     later = found.where("hash is not null").select("id", "hash", "place").withColumn("r", rank).where("r > 1")
