@@ -1,17 +1,61 @@
-"""The corpus pipeline: stages applied to the documents table, each written and read again."""
+"""The corpus pipeline: stages applied to the documents table, each written and read again.
+
+A stage is a function (spark, docs, sf_dir) -> DataFrame that works on every row its
+predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from groundspark.llm import bpe, minhash, mixing, suffix, toxicity
+from groundspark.llm.common import scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score reaches 0.3 go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the one of the smallest doc_id."""
+    groups = minhash.minhash_groups(docs, k=5, percent=80)
+    dropped = groups.where("not kept").select("doc_id").distinct()
+    return docs.join(scratch(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes or more that repeat leave the texts; documents stay."""
+    return suffix.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document comes as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, with the digests of ids and decoded text."""
+    import public_tokenizers
+
+    return bpe.encode_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", drop_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: No SQL: training, signatures and merges are beyond it; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows go to the shared folder as Parquet."""
-    from groundspark.llm.common import scratch
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
