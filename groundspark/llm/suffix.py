@@ -418,7 +418,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     cuts = scratch(repeated_spans(docs, window, gram), "cuts")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     keyed = docs.withColumn("_id", key)
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = columns.index("text")
 
     def make():
         def each(batch):
@@ -427,9 +428,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 data = text.encode("utf-8", "surrogatepass")
                 left = np.frombuffer(data, np.uint8)[~removed_mask(len(data), runs, window)].tobytes()
                 texts.append(left.decode("utf-8", "ignore"))
-            columns = batch.columns[: len(docs.columns)]
-            columns[at] = pa.array(texts, pa.string())
-            yield batch_of(docs.columns, columns)
+            arrays = batch.columns[: len(columns)]
+            arrays[at] = pa.array(texts, pa.string())
+            yield batch_of(columns, arrays)
 
         return each
 
