@@ -78,7 +78,38 @@ def batch_of(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges up to which one task finds the components; more take the distributed rounds.
+LOCAL_EDGES = 200_000
+
+
+def _local_components(edges: DataFrame) -> DataFrame:
+    """Components of a counted, small edge table by union-find in one task."""
+
+    def run(batches):
+        root: dict = {}
+
+        def find(x):
+            root.setdefault(x, x)
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for v, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(v), find(m)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        if root:
+            ids = list(root)
+            yield batch_of(["id", "component_id"], [pa.array(ids, kind), pa.array([find(x) for x in ids], kind)])
+
+    kind = edges.schema["v"].dataType.simpleString()
+    return edges.coalesce(1).mapInArrow(run, f"id {kind}, component_id {kind}")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of ``edges (a, b)`` as rows ``(id, component_id)``.
 
     component_id is the smallest id reachable. Alternates the large-star and the
@@ -92,11 +123,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = None
+    seen = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m") % (1 << 31)), F.count_distinct("v")).first()
-        if seen[0] == seen[2] and mark == "star" or seen[0] == 0:
-            break
+        if now.count() <= local_edges:
+            return scratch(_local_components(now), "components")
         # large star: every larger neighbour of a node goes to the node's minimum
         both = now.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
             now.select(F.col("m").alias("u"), F.col("v").alias("w"))
@@ -114,8 +144,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         now = scratch(small, "edges")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m") % (1 << 31)), F.count_distinct("v")).first()
-        if after[0] == after[2] and tuple(after) == tuple(seen):
+        if after[0] == after[2] and after == seen:
             break
+        seen = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("v").alias("id"), F.col("m").alias("component_id")).unionByName(

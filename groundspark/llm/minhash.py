@@ -20,6 +20,11 @@ from .common import arrow_map, batch_of, components, rows_of, scratch, words_of
 UNIVERSE_BITS = 22
 #: 28 bands of 5: a pair at similarity 0.8 shares no band with probability 1.5e-5.
 BANDS, ROWS = 28, 5
+#: Leads that each bucket spanning several components tries before all its pairs across them.
+LEADS = 2
+#: Coordinates in which a pair may differ and still be confirmed: at similarity 0.8 a pair
+#: differs in more with probability 7e-6.
+DIFFER = 49
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -84,8 +89,10 @@ def ascii_lower(words: list[bytes]) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash (hi, lo) of the shingle set, and its band hashes."""
-    names = ["doc_id", "n_shingles", "hi", "lo", "bands"]
+    """doc_id, n_shingles, a 128-bit hash (hi, lo) of the shingle set, its band hashes, and
+    four bits of each coordinate, sixteen to a long."""
+    names = ["doc_id", "n_shingles", "hi", "lo", "bands", "bits"]
+    longs = -(-bands * rows // 16)
 
     def make():
         signer = _signer(bands * rows)
@@ -107,20 +114,24 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lo
                 key = mix64(key + sig[:, j::rows].astype(np.uint64) * _ODD[j % 8])
             offsets = np.arange(0, batch.num_rows * bands + 1, bands, dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.reshape(-1).view(np.int64)))
-            yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists])
+            four = np.zeros((batch.num_rows, longs * 16), np.uint64)
+            four[:, : sig.shape[1]] = sig & 15
+            four = (four.reshape(-1, longs, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+            offsets = np.arange(0, batch.num_rows * longs + 1, longs, dtype=np.int32)
+            bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(four.reshape(-1).view(np.int64)))
+            yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists, bits])
 
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>, bits array<long>")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * shared >= percent * union."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = scratch(rows_of(docs.select("doc_id", "text"), ids), "texts")
     # a repeated doc_id takes part with its least text
-    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")) if texts.count() > ids.count() else texts
+    texts = scratch(rows_of(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -148,19 +159,27 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, lower: bo
     return arrow_map(joined.select("a", "b", "ta", "tb"), make, f"a {kind}, b {kind}")
 
 
+def _differ(x: str, y: str, longs: int) -> str:
+    """SQL: in how many of the coordinates' four bits two signatures differ."""
+    one = lambda k: f"({x}[{k}] ^ {y}[{k}])"
+    return " + ".join(f"bit_count(({one(k)} | shiftright({one(k)}, 1) | shiftright({one(k)}, 2) | shiftright({one(k)}, 3)) & 1229782938247303441L)" for k in range(longs))
+
+
 def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Groups of near-duplicates: doc_id, n_shingles, component_id, kept.
 
     docs: doc_id, text; other columns are not read. Texts with equal shingle sets form a
     class, which takes part once, as its smallest doc_id. Each class is first held
-    against the smallest of every band bucket it is in. Then, wherever a bucket still
-    spans several components, all its pairs across components are held against each
-    other: no partner is capped, and no pairs within a component are made. Null and empty
-    texts have no shingles and are linked with nothing; a null doc_id is kept. Repeated
-    rows get the same component. An empty table gives an empty table.
+    against the smallest of every band bucket it is in. Buckets that still span several
+    components hold the members of others against another lead, a few times. Then,
+    wherever a bucket still spans several, its pairs across components are held against
+    each other, but for those whose signatures differ too much: no partner is capped, and
+    no pairs within a component are made. Null and empty texts have no shingles and are
+    linked with nothing; a null doc_id is kept. Repeated rows get the same component. An
+    empty table gives an empty table.
     """
     signed = scratch(signatures(docs, k, bands, rows, lower), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = scratch(classes, "classes")
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
     leads = exploded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
@@ -168,17 +187,33 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool =
     tried = scratch(members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
     links = scratch(confirmed(docs, tried, k, percent, lower), "links")
     found = components(links)
-    own = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
-    own = scratch(own, "own")
-    mixed = own.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-    rest = own.join(mixed, "bucket")
-    x, y = rest.select("bucket", F.col("id").alias("i"), F.col("c").alias("ci")), rest.select("bucket", F.col("id").alias("j"), F.col("c").alias("cj"))
-    pairs = x.join(y, "bucket").where("ci < cj").select(F.greatest("i", "j").alias("a"), F.least("i", "j").alias("b")).distinct()
-    pairs = scratch(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
+    members = members.select("bucket", "id")
+    near = _differ("x.bits", "y.bits", -(-bands * rows // 16)) + f" <= {DIFFER}"
+    for turn in range(LEADS + 1):
+        own = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
+        own = scratch(own, "own")
+        lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("lead")
+        mixed = own.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), lead).where("c0 <> c1").select("bucket", "lead")
+        x = own.join(mixed, "bucket").join(classes.select("id", "bits"), "id").select("bucket", "id", "c", "bits", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c"))
+        x = scratch(x, "open")
+        members = x.select("bucket", "id")
+        if turn < LEADS:
+            y = classes.select(F.col("id").alias("lead"), "bits")
+            pairs = x.where("c <> lead_c").alias("x").join(y.alias("y"), F.expr(f"x.lead = y.lead and {near}"))
+            pairs = pairs.select(F.greatest("x.id", "y.lead").alias("a"), F.least("x.id", "y.lead").alias("b"))
+        else:
+            pairs = x.alias("x").join(x.alias("y"), F.expr(f"x.bucket = y.bucket and x.c < y.c and {near}"))
+            pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+        pairs = scratch(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            if turn < LEADS:
+                continue
+            break
         more = scratch(confirmed(docs, pairs, k, percent, lower), "more")
-        found = components(links.unionByName(more)) if not more.isEmpty() else found
-    to = scratch(classes.select("hi", "lo", "n_shingles", "id").join(found, "id", "left").select("hi", "lo", "n_shingles", F.coalesce("component_id", "id").alias("component_id")), "class_components")
+        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        found = components(links) if not more.isEmpty() else found
+    to = classes.select("hi", "lo", "n_shingles", "id").join(found, "id", "left").select("hi", "lo", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    to = scratch(to, "class_components")
     full = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo").join(to, ["hi", "lo", "n_shingles"])
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = full.select("doc_id", "n_shingles", "component_id").unionByName(alone)
