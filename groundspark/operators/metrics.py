@@ -110,14 +110,16 @@ def sentence_precision(traces: DataFrame) -> DataFrame:
 def sentence_summary(traces: DataFrame) -> DataFrame:
     """Per trace: sentences, least, mean and 90 % precision, and shares below .3, below .6, above."""
     values = F.sort_array(F.collect_list("precision"))
-    out = sentence_precision(traces).groupBy("trace_id").agg(values.alias("v"), F.avg("precision").alias("mean"))
+    out = sentence_precision(traces).groupBy("trace_id").agg(values.alias("v"), F.sum(F.round(F.col("precision") * 10000).cast("long")).alias("units"))
     n = F.size("v")
+    # the mean of values of four places, rounded half up in whole numbers
+    mean = F.floor((2 * F.col("units") + n) / (2 * n)) / 10000
     share = lambda test: F.round(F.size(F.filter("v", test)) / n, 4)
     return out.select(
         "trace_id",
         n.alias("n_sentences"),
         F.col("v")[0].alias("min_sentence_precision"),
-        F.round("mean", 4).alias("mean_sentence_precision"),
+        mean.alias("mean_sentence_precision"),
         F.get("v", F.floor(F.lit(0.9) * (n - 1)).cast("int")).alias("p90_sentence_precision"),
         share(lambda x: x < 0.3).alias("low_frac"),
         share(lambda x: (x >= 0.3) & (x < 0.6)).alias("medium_frac"),

@@ -108,8 +108,8 @@ ORACLE_SQL = {
     "recall_best_context": f"with {BM25} select trace_id, round(recall_context, 4) as recall_context from rec",
     "sentences": f"with {TRACES}, sen as ({_SENTENCES}) select trace_id, sentence, text from sen",
     "sentence_precision": f"with {SENT} select trace_id, sentence, precision from sp",
-    "sentence_buckets": f"""with {SENT}, v as (select trace_id, list_sort(list(precision)) as v, avg(precision) as m from sp group by trace_id)
-        select trace_id, len(v) as n_sentences, v[1] as min_sentence_precision, round(m, 4) as mean_sentence_precision, v[floor(0.9 * (len(v) - 1))::int + 1] as p90_sentence_precision,
+    "sentence_buckets": f"""with {SENT}, v as (select trace_id, list_sort(list(precision)) as v, sum(round(precision * 10000)::bigint) as m from sp group by trace_id)
+        select trace_id, len(v) as n_sentences, v[1] as min_sentence_precision, ((2 * m + len(v)) // (2 * len(v))) / 10000 as mean_sentence_precision, v[floor(0.9 * (len(v) - 1))::int + 1] as p90_sentence_precision,
         round(len(list_filter(v, lambda x: x < 0.3)) / len(v), 4) as low_frac, round(len(list_filter(v, lambda x: x >= 0.3 and x < 0.6)) / len(v), 4) as medium_frac, round(len(list_filter(v, lambda x: x >= 0.6)) / len(v), 4) as high_frac from v""",
     "unsupported_terms": f"with {UNS} select trace_id, term, cnt, idf, impact, rank from uns",
     "supported_terms": f"with {UNS} select trace_id, term, cnt, idf, rank from sup",
