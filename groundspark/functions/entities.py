@@ -142,32 +142,38 @@ def number_words(text: str) -> float | None:
     return float(total + group) if seen else None
 
 
-def _money(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    body = _GROUPED_COMPAT if config.compat else _GROUPED
+def _money_patterns(body: str) -> tuple[tuple[str, re.Pattern], ...]:
     value = rf"(?P<amt>[-+]?\(?(?:{body})\)?)(?P<mag>\s?[kKmMbB]\b)?"
     sym = _any(SYMBOLS)
-    patterns = (
-        ("signed-symbol", rf"(?P<sign>[-+])\s*(?P<cur>{sym})\s*{value}"),
-        ("symbol", rf"(?P<cur>{sym})\s*{value}"),
-        ("code-amount", rf"\b(?P<cur>[A-Z]{{3}})\s+{value}"),
-        ("amount-code", rf"(?<![\w.]){value}\s+(?P<cur>[A-Z]{{3}})\b"),
+    return (
+        ("signed-symbol", re.compile(rf"(?P<sign>[-+])\s*(?P<cur>{sym})\s*{value}")),
+        ("symbol", re.compile(rf"(?P<cur>{sym})\s*{value}")),
+        ("code-amount", re.compile(rf"\b(?P<cur>[A-Z]{{3}})\s+{value}")),
+        ("amount-code", re.compile(rf"(?<![\w.]){value}\s+(?P<cur>[A-Z]{{3}})\b")),
     )
-    for source, pattern in patterns:
-        for m in re.finditer(pattern, text):
+
+
+_MONEY = {compat: _money_patterns(_GROUPED_COMPAT if compat else _GROUPED) for compat in (False, True)}
+_NUMBER_RUN = re.compile(rf"\b{_WORDS}(?:[-\s]+{_WORDS})*\b", re.I)
+_SPOKEN_MONEY = (
+    re.compile(rf"\b(?P<amt>(?:{_GROUPED})|{_WORDS}(?:[-\s]+{_WORDS})*)(?:\s+(?P<mag>thousand|million|billion))?\s+(?P<cur>{_any(_CURRENCY)})\b", re.I),
+    re.compile(rf"\b(?P<cur>{_any(_CURRENCY)})\s+(?P<amt>{_GROUPED})(?:\s+(?P<mag>thousand|million|billion))?\b", re.I),
+)
+_QUANTITY = re.compile(rf"(?P<v>[-+]?(?:\d+(?:[, ]\d{{3}})*(?:\.\d+)?|\.\d+))\s*(?P<u>{_any(_UNIT)})\.?(?![A-Za-z-])", re.I)
+
+
+def _money(text: str, config: ExtractorConfig) -> Iterator[Entity]:
+    for source, pattern in _MONEY[config.compat]:
+        for m in pattern.finditer(text):
             currency = SYMBOLS.get(m["cur"]) or (m["cur"] if m["cur"] in CODES else None)
             num = amount(m["amt"] + (m["mag"] or "").strip())
             if currency and num is not None:
                 yield Entity("MONEY", m[0], m.start(), m.end(), -num if m.groupdict().get("sign") == "-" else num, currency, source=source)
-    names, mags = _any(_CURRENCY), "thousand|million|billion"
-    spoken = rf"{_WORDS}(?:[-\s]+{_WORDS})*"
-    for source, pattern in (
-        ("money-words", rf"\b(?P<amt>(?:{_GROUPED})|{spoken})(?:\s+(?P<mag>{mags}))?\s+(?P<cur>{names})\b"),
-        ("money-words", rf"\b(?P<cur>{names})\s+(?P<amt>{_GROUPED})(?:\s+(?P<mag>{mags}))?\b"),
-    ):
-        for m in re.finditer(pattern, text, re.I):
+    for pattern in _SPOKEN_MONEY:
+        for m in pattern.finditer(text):
             num = amount(m["amt"]) if m["amt"][0].isdigit() else number_words(m["amt"])
             if num is not None:
-                yield Entity("MONEY", m[0], m.start(), m.end(), num * MAGNITUDES.get((m["mag"] or "").lower(), 1.0), _CURRENCY[re.sub(r"\s+", " ", m["cur"].lower())], source=source)
+                yield Entity("MONEY", m[0], m.start(), m.end(), num * MAGNITUDES.get((m["mag"] or "").lower(), 1.0), _CURRENCY[re.sub(r"\s+", " ", m["cur"].lower())], source="money-words")
 
 
 def _percent(text: str, config: ExtractorConfig) -> Iterator[Entity]:
@@ -182,7 +188,7 @@ def _number(text: str, config: ExtractorConfig) -> Iterator[Entity]:
     for m in re.finditer(r"\b[-+]?\d+(?:\.\d+)?\s*[kKmMbB]?\b", text):
         if (num := amount(m[0])) is not None:
             yield Entity("NUMBER", m[0], m.start(), m.end(), num, source="number")
-    for m in re.finditer(rf"\b{_WORDS}(?:[-\s]+{_WORDS})*\b", text, re.I):
+    for m in _NUMBER_RUN.finditer(text):
         if (num := number_words(m[0])) is None:
             continue
         yield Entity("NUMBER", m[0], m.start(), m.end(), num, source="number-words")
@@ -196,8 +202,7 @@ def _number(text: str, config: ExtractorConfig) -> Iterator[Entity]:
 
 
 def _quantity(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    pattern = rf"(?P<v>[-+]?(?:\d+(?:[, ]\d{{3}})*(?:\.\d+)?|\.\d+))\s*(?P<u>{_any(_UNIT)})\.?(?![A-Za-z-])"
-    for m in re.finditer(pattern, text, re.I):
+    for m in _QUANTITY.finditer(text):
         unit = _UNIT.get(m["u"].lower())
         if unit:
             yield Entity("QUANTITY", m[0].strip(), m.start(), m.end(), float(m["v"].replace(",", "").replace(" ", "")), unit=unit, source="quantity")
@@ -210,6 +215,23 @@ def relative_weekday(base: dt.date, weekday: int, forward: bool) -> dt.date:
     return base - dt.timedelta(days=(base.weekday() - weekday - 1) % 7 + 1)
 
 
+_MONTH = r"(?P<mo>" + "|".join(rf"{n[:3]}(?:{n[3:]})?" if n != "september" else "sept?(?:ember)?" for n in MONTHS) + r")\.?"
+_DATES = tuple(
+    (source, re.compile(pattern, re.I))
+    for source, pattern in (
+        ("month-day-year", rf"\b{_MONTH}\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}})\b"),
+        ("day-month-year", rf"\b(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH},?\s+(?P<y>\d{{4}})\b"),
+        ("slashes", r"\b(?P<d>\d{1,2})[/.](?P<n>\d{1,2})[/.](?P<y>\d{4})\b"),
+        ("month-year", rf"\b{_MONTH}\s+(?P<y>\d{{4}})\b"),
+        ("year", r"\b(?P<y>(?:19|20)\d{2})\b"),
+    )
+)
+
+
+def _month(m: re.Match) -> int:
+    return next(i for i, n in enumerate(MONTHS, 1) if n.startswith(m["mo"].lower()[:3]))
+
+
 def _date(text: str, config: ExtractorConfig) -> Iterator[Entity]:
     def iso(y, mo=1, d=1) -> str | None:
         try:
@@ -233,21 +255,13 @@ def _date(text: str, config: ExtractorConfig) -> Iterator[Entity]:
             day = base + dt.timedelta(days={"today": 0, "tomorrow": 1, "yesterday": -1}[m[1].lower()]) if m[1] else relative_weekday(base, WEEKDAYS.index(m[3].lower()), m[2].lower() == "next")
             yield made(m, day.isoformat(), "relative")
             return
-    month = r"(?P<mo>" + "|".join(rf"{n[:3]}(?:{n[3:]})?" if n != "september" else "sept?(?:ember)?" for n in MONTHS) + r")\.?"
-    number_of = lambda m: next(i for i, n in enumerate(MONTHS, 1) if n.startswith(m["mo"].lower()[:3]))
     taken: list[tuple[int, int]] = []
-    for source, pattern in (
-        ("month-day-year", rf"\b{month}\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}})\b"),
-        ("day-month-year", rf"\b(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{month},?\s+(?P<y>\d{{4}})\b"),
-        ("slashes", r"\b(?P<d>\d{1,2})[/.](?P<n>\d{1,2})[/.](?P<y>\d{4})\b"),
-        ("month-year", rf"\b{month}\s+(?P<y>\d{{4}})\b"),
-        ("year", r"\b(?P<y>(?:19|20)\d{2})\b"),
-    ):
-        for m in re.finditer(pattern, text, re.I):
+    for source, pattern in _DATES:
+        for m in pattern.finditer(text):
             if any(m.start() < e and s < m.end() for s, e in taken):
                 continue
             g = m.groupdict()
-            mo = g["n"] if g.get("n") else number_of(m) if g.get("mo") else 1
+            mo = g["n"] if g.get("n") else _month(m) if g.get("mo") else 1
             if value := iso(g["y"], mo, g.get("d") or 1):
                 taken.append(m.span())
                 yield made(m, value, source)

@@ -55,9 +55,13 @@ def coverage(answer: Column, context: Column) -> Column:
     """Struct: overall share of entities found (1 without any), counts found and asked by type."""
     hits = matched(answer, context)
     pairs = F.zip_with(answer, hits, lambda e, h: F.struct(e["type"].alias("t"), h.alias("h")))
-    by = [F.struct(F.size(F.filter(pairs, lambda p, t=t: p["t"] == t)).alias("asked"), F.size(F.filter(pairs, lambda p, t=t: (p["t"] == t) & p["h"])).alias("found")).alias(t) for t in TYPES]
+
+    def counts(kind: str) -> Column:
+        own = F.filter(pairs, lambda p: p["t"] == kind)
+        return F.struct(F.size(own).alias("asked"), F.size(F.filter(own, lambda p: p["h"])).alias("found")).alias(kind)
+
     overall = F.when(F.size(hits) == 0, 1.0).otherwise(F.round(F.size(F.filter(hits, lambda h: h)) / F.size(hits), 4))
-    return F.struct(overall.alias("overall"), F.struct(*by).alias("by_type"))
+    return F.struct(overall.alias("overall"), F.struct(*map(counts, TYPES)).alias("by_type"))
 
 
 def unsupported(answer: Column, context: Column) -> Column:

@@ -14,6 +14,9 @@ from groundspark.functions import text as X
 
 BM25_K1, BM25_B = 1.2, 0.75
 TOP_K = 5
+#: Columns of ``unsupported_extras`` and ``quickwins`` that only a grounded trace has.
+EXTRAS = ("unsupported_topk_impact", "unsupported_topk_count", "unsupported_term_rate", "supported_topk_impact", "unsupported_to_supported_ratio")
+SIZES = ("num_contexts", "avg_ctx_len_tokens", "q_len", "a_len", "qa_len_ratio", "best_context_len")
 
 
 def parts(traces: DataFrame) -> DataFrame:

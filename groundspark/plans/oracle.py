@@ -158,3 +158,19 @@ ORACLE_SQL = {
         select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) as cosine from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
         select query_id, vec_id, cosine, rank from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) where rank <= 5""",
 }
+
+RENDERED = """o as (select o_orderkey as k, round(o_totalprice * 100)::bigint as cents, o_orderdate::date as day from orders),
+v as (select *, case when k % 3 = 0 then 1 else 0 end as m, case when k % 4 = 0 then 1 else 0 end as d, case when k % 5 = 0 then 1 else 0 end as w from o)"""
+ORACLE_SQL |= {
+    "money_entities": f"with {RENDERED} select k as trace_id, cents, 'USD' as currency from v",
+    "date_entities": f"with {RENDERED} select k as trace_id, strftime(day, '%Y-%m-%d') as iso from v",
+    "percent_entities": f"with {RENDERED} select k as trace_id, k % 30 + 1 as percent from v",
+    "quantity_entities": f"with {RENDERED} select k as trace_id, k % 40 + 2 as weight, 'kg' as unit from v",
+    "entity_spans": f"""with {RENDERED}, s as (select k, '$' || format('{{:,}}', cents // 100) || '.' || lpad((cents % 100)::varchar, 2, '0') as surface from v)
+        select k as trace_id, surface, length('Order  cost ') + length(k::varchar) as start, length('Order  cost ') + length(k::varchar) + length(surface) as end from s""",
+    "numeric_match": f"with {RENDERED} select k as trace_id, round((3 - m) / 3.0::double, 4) as numeric_match from v",
+    "entity_coverage": f"with {RENDERED} select k as trace_id, round((5 - m - d - w) / 5.0::double, 4) as overall, (m + d + w)::bigint as n_unsupported from v",
+    "relative_weekday": """select o_orderkey, strftime(o_orderdate::date + ((5 - isodow(o_orderdate::date) - 1 + 7) % 7 + 1)::int, '%Y-%m-%d') as next_friday,
+        strftime(o_orderdate::date - ((isodow(o_orderdate::date) - 5 - 1 + 7) % 7 + 1)::int, '%Y-%m-%d') as last_friday from orders""",
+    # crc32 has no SQL form here, so folds are held against their definition in the tests
+}

@@ -199,3 +199,96 @@ QUERIES = {
         corr_pairs, outcome_counts, contribution_stats, prefix_rollup, impact_matrix, top_contributions, reproject, merge_features, cosine_topk,
     )
 }
+
+
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers and contexts written from orders; amounts, dates and weights differ by the key's remainders."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.to_date("o_orderdate").alias("day"))
+
+    def sentence(cents, day, weight):
+        money = F.concat(F.lit("$"), F.format_number(F.floor(cents / 100).cast("long"), 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+        return F.concat(F.lit("Order "), F.col("k").cast("string"), F.lit(" cost "), money, F.lit(" on "), F.date_format(day, "yyyy-MM-dd"), F.lit(", "), (F.col("k") % 30 + 1).cast("string"), F.lit("% off, "), weight.cast("string"), F.lit(" kg."))
+
+    w = F.col("k") % 40 + 2
+    context = sentence(F.col("cents") + F.when(F.col("k") % 3 == 0, 500).otherwise(0), F.date_add("day", F.when(F.col("k") % 4 == 0, 1).otherwise(0)), w + F.when(F.col("k") % 5 == 0, 1).otherwise(0))
+    return o.select(F.col("k").alias("trace_id"), F.lit("What did the order cost?").alias("q"), sentence(F.col("cents"), F.col("day"), w).alias("a"), F.array(context).alias("c"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundspark.functions.entities import with_entities
+
+    rows = with_entities(with_entities(rendered(spark, sf_dir), "a", "ea").withColumn("ct", F.col("c")[0]), "ct", "ec")
+    return rows
+
+
+def _typed(spark, sf_dir, kind: str) -> DataFrame:
+    from groundspark.functions.entities import with_entities
+
+    return with_entities(rendered(spark, sf_dir), "a").select("trace_id", F.inline(F.filter("entities", lambda e: e["type"] == kind)))
+
+
+def money_entities(spark, sf_dir):
+    return _typed(spark, sf_dir, "MONEY").select("trace_id", F.round(F.col("num") * 100).cast("long").alias("cents"), "currency")
+
+
+def date_entities(spark, sf_dir):
+    return _typed(spark, sf_dir, "DATE").select("trace_id", "iso")
+
+
+def percent_entities(spark, sf_dir):
+    return _typed(spark, sf_dir, "PERCENT").select("trace_id", F.col("num").cast("long").alias("percent"))
+
+
+def quantity_entities(spark, sf_dir):
+    return _typed(spark, sf_dir, "QUANTITY").select("trace_id", F.col("num").cast("long").alias("weight"), "unit")
+
+
+def entity_spans(spark, sf_dir):
+    return _typed(spark, sf_dir, "MONEY").select("trace_id", F.col("text").alias("surface"), "start", "end")
+
+
+def numeric_match(spark, sf_dir):
+    from groundspark.operators.matching import numeric_match as match
+
+    return _entities(spark, sf_dir).select("trace_id", F.round(match(F.col("ea"), F.col("ec")), 4).alias("numeric_match"))
+
+
+def entity_coverage(spark, sf_dir):
+    from groundspark.operators.matching import coverage, unsupported
+
+    rows = _entities(spark, sf_dir)
+    return rows.select("trace_id", coverage(F.col("ea"), F.col("ec"))["overall"].alias("overall"), F.size(unsupported(F.col("ea"), F.col("ec"))).cast("long").alias("n_unsupported"))
+
+
+def relative_weekday(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.next_day(day, "FRI").alias("next_friday"), F.next_day(F.date_sub(day, 8), "FRI").alias("last_friday"))
+    return rows.select("o_orderkey", F.col("next_friday").cast("string").alias("next_friday"), F.col("last_friday").cast("string").alias("last_friday"))
+
+
+def grounding_report(spark, sf_dir):
+    from groundspark.operators.report import build_report
+
+    return build_report(traces(spark, sf_dir)).select("trace_id", "precision_token", "recall_context", "cosine_tfidf", "numeric_match", "entity_overall", "inference_score", "n_sentences")
+
+
+def feature_matrix(spark, sf_dir):
+    from groundspark.operators.report import build_report, feature_rows
+
+    return feature_rows(build_report(traces(spark, sf_dir)))
+
+
+def classifier_scores(spark, sf_dir):
+    from groundspark.operators.classifier import GroundednessClassifier
+
+    rows = features(spark, sf_dir)
+    folds = V.stratified_folds(rows, "doc_id")
+    rows = rows.join(folds.select("doc_id", "fold"), "doc_id")
+    model = GroundednessClassifier(["chars", "phase", "lang_len"], C=3.0).fit(rows.where("fold <> 0"))
+    return model.score(rows.where("fold = 0"), "doc_id")
+
+
+QUERIES |= {
+    f.__name__: f
+    for f in (money_entities, date_entities, percent_entities, quantity_entities, entity_spans, numeric_match, entity_coverage, relative_weekday, grounding_report, feature_matrix, classifier_scores)
+}
