@@ -45,8 +45,8 @@ parts as (
   select trace_id, 'c', no, text from ctx)"""
 PROFILE = f"""{TRACES}, terms as ({_terms("parts", "trace_id, part, no")}),
 prof as (
-  select t.trace_id, term, coalesce(sum(cnt) filter (part = 'a'), 0) as a, coalesce(sum(cnt) filter (part = 'q'), 0) as q,
-    coalesce(sum(cnt) filter (part = 'c'), 0) as c, count(*) as df, ln((any_value(s.n_ctx) + 3.0) / (count(*) + 1.0)) + 1 as idf
+  select t.trace_id, term, coalesce(sum(cnt) filter (part = 'a'), 0)::bigint as a, coalesce(sum(cnt) filter (part = 'q'), 0)::bigint as q,
+    coalesce(sum(cnt) filter (part = 'c'), 0)::bigint as c, count(*) as df, ln((any_value(s.n_ctx) + 3.0) / (count(*) + 1.0)) + 1 as idf
   from terms t join size s using (trace_id) group by t.trace_id, term),
 lex as (
   select trace_id, case when sum(idf * a) > 0 then sum(idf * least(a, c)) / sum(idf * a) else 0 end as precision_token,
@@ -55,7 +55,7 @@ lex as (
     sum(a) as a_len, sum(q) as q_len, count(*) filter (a > 0) as a_terms, count(*) filter (a > 0 and c = 0) as uns
   from prof group by trace_id)"""
 BM25 = f"""{PROFILE},
-len as (select x.trace_id, x.no, coalesce((select sum(cnt) from terms t where t.part = 'c' and t.trace_id = x.trace_id and t.no = x.no), 0) as dl from ctx x),
+len as (select x.trace_id, x.no, coalesce((select sum(cnt) from terms t where t.part = 'c' and t.trace_id = x.trace_id and t.no = x.no), 0)::bigint as dl from ctx x),
 len2 as (select *, avg(dl) over (partition by trace_id) as avgdl from len),
 hit as (
   select t.trace_id, t.no, sum(p.idf * t.cnt * 2.2 / (t.cnt + 1.2 * (0.25 + 0.75 * case when l.avgdl > 0 then l.dl / l.avgdl else 1 end))) as score

@@ -292,3 +292,18 @@ QUERIES |= {
     f.__name__: f
     for f in (money_entities, date_entities, percent_entities, quantity_entities, entity_spans, numeric_match, entity_coverage, relative_weekday, grounding_report, feature_matrix, classifier_scores)
 }
+
+
+#: Counters and places that results state as long.
+_LONG = {"no", "best_no", "sentence", "n_sentences", "rank", "place", "start", "end"}
+
+
+def _stated(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = query(spark, sf_dir)
+        return rows.withColumns({c: F.col(c).cast("long") for c, t in rows.dtypes if c in _LONG and t == "int"})
+
+    return run
+
+
+QUERIES = {name: _stated(query) for name, query in QUERIES.items()}
