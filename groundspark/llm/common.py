@@ -45,16 +45,21 @@ def _remove(spark_ref: weakref.ref, path: str) -> None:
         pass
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when Python exits."""
+    path = f"{scratch_root(spark).rstrip('/')}/groundspark-{uuid.uuid4().hex}/{name}"
+    atexit.register(_remove, weakref.ref(spark), path)
+    return path
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage.
 
-    Lost executors cost nothing but a re-read. The table goes when Python exits.
+    Lost executors cost nothing but a re-read.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/groundspark-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_remove, weakref.ref(spark), path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:

@@ -13,6 +13,7 @@ u64 words; per exception u8 place in its block and u32 high bits.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import arrow_map, batch_of, scratch, scratch_root
+from .common import arrow_map, batch_of, scratch_path
 
 BLOCK = 128
 HEAD = struct.Struct("<4s4I")
@@ -30,7 +32,7 @@ PERCENTILE = 0.9
 #: Ids after which a segment is closed; a longer document makes a segment by itself.
 SEGMENT_IDS = 1 << 18
 #: Entries of a worker's memo of words.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 900_000
 
 
 def _lanes(width: int):
@@ -114,11 +116,17 @@ def decode_segment(data: bytes, start: int = 0, stop: int | None = None) -> np.n
     return out.reshape(-1)[start - b0 * BLOCK : stop - b0 * BLOCK].astype(np.uint32)
 
 
+_MARK = re.compile(rb"([a-z])([.,:;!?])(?=[ \t-\r]|\Z)")
+
+
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, one library call for each new word.
+    """Ids of whole texts by the tokenizers library, which sees each new word once.
 
     For a tokenizer whose pieces never span white space and whose normalizer maps white
-    space to white space, a text's ids are those of its words one after another.
+    space to white space, a text's ids are those of its words one after another. Case
+    of ASCII letters doesn't matter to it, and a mark that ends a word after such a letter
+    is a piece by itself. A word of Latin letters is one piece: new ones go to the library
+    many in a call, and the ends of their pieces part the ids.
     """
 
     def __init__(self, source: str):
@@ -127,21 +135,51 @@ class WordEncoder:
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
+        self.ends = frozenset(i for t, i in self.library.get_vocab().items() if t.endswith("</w>"))
         self.memo: dict[bytes, bytes] = {}
 
+    def ids(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one piece each, by one library call for many."""
+        out, ends = [], self.ends
+        for k in range(0, len(words), 1000):
+            part = words[k : k + 1000]
+            ids = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            cuts = [i for i, x in enumerate(ids, 1) if x in ends]
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                packed = struct.pack(f"<{len(ids)}I", *ids)
+                out += [packed[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts)]
+            else:
+                out += self.ids(part)
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        letters, odd = [], []
+        for w in words:
+            text = w.decode()
+            # beyond, case and composition may add marks
+            (letters if text.isalpha() and max(text) < "\u0130" else odd).append(text)
+        self.memo.update(zip(map(str.encode, letters), self.ids_of_letters(letters)))
+        self.memo.update(zip(map(str.encode, odd), self.ids(odd)))
+
+    def words(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        data = text.encode()
+        return _MARK.sub(rb"\1 \2", data if b"<|" in data else data.lower()).split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo, split = self.memo, [x.encode().split() if x else [] for x in texts]
-        out = []
-        for k in range(0, len(split), 256):  # so many texts share a library call
-            new = list({w for ws in split[k : k + 256] for w in ws if w not in memo})
+        memo, out = self.memo, []
+        for k in range(0, len(texts), 256):  # so many texts share the library's calls
+            some = [self.words(t) for t in texts[k : k + 256]]
+            new = {w for ws in some for w in ws if w not in memo}
             if len(memo) + len(new) > MEMO_ENTRIES:
                 memo.clear()
-                new = list({w for ws in split[k : k + 256] for w in ws})
-            for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                ids = e.ids
-                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-            out += [b"".join(map(memo.__getitem__, ws)) for ws in split[k : k + 256]]
-            split[k : k + 256] = [None] * len(split[k : k + 256])
+                new = {w for ws in some for w in ws}
+            self.learn(list(new))
+            out += [b"".join(map(memo.__getitem__, ws)) for ws in some]
         return out
 
 
@@ -214,14 +252,10 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     """
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    sizes.createOrReplaceTempView("groundspark_token_shards")
-    before = spark.sql("select shard, coalesce(sum(n) over (order by shard rows between unbounded preceding and 1 preceding), 0) as shard_start from groundspark_token_shards")
-    spark.catalog.dropTempView("groundspark_token_shards")
-    starts = spark.sql(
-        "select shard, segment, coalesce(sum(n_ids) over (partition by shard order by segment rows between unbounded preceding and 1 preceding), 0) as segment_start from {f}",
-        f=files.select("shard", "segment", "n_ids"),
-    )
+    before = sizes.select("shard", earlier("n", W.orderBy("shard")).alias("shard_start"))
+    starts = files.select("shard", "segment", earlier("n_ids", W.partitionBy("shard").orderBy("segment")).alias("segment_start"))
     rows = files.join(starts, ["shard", "segment"]).join(before, "shard")
     rows = rows.select((F.col("shard_start") + F.col("segment_start")).alias("start"), "doc_ids", "lengths", "payload")
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids]
@@ -243,8 +277,6 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and read them back."""
-    import uuid
-
-    path = f"{scratch_root(spark).rstrip('/')}/groundspark-{uuid.uuid4().hex}/token_files"
+    path = scratch_path(spark, "token_files")
     write_token_files(spark, docs, tokenizer, path, end_id)
     return read_token_files(spark, path)
