@@ -32,8 +32,9 @@ from .substring import NO_ID, estimated_repeated, runs_of, sketch
 WINDOW, GRAM = 200, 32
 #: Bytes of documents that are handled at once.
 CHUNK = 1 << 18
-#: Contexts of a gram beyond which its windows are grouped rather than sorted.
-HOT_CONTEXTS = 512
+#: Contexts of a gram beyond which its windows are grouped rather than sorted: what one task
+#: holds of a gram stays below about 10 MB.
+HOT_CONTEXTS = 20_000
 #: Suffixes of a run.
 RUN = 1 << 16
 

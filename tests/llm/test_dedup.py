@@ -92,7 +92,7 @@ def brute_suffix(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix(spark, docs, empty, hot, monkeypatch):
     monkeypatch.setattr(suffix, "HOT_CONTEXTS", hot)
     rows = docs.collect()
