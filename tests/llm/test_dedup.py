@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from groundspark.llm import suffix
+from groundspark.llm import suffix, vector_dedup
 from groundspark.llm.common import components
 from groundspark.llm.minhash import minhash_groups
 from groundspark.llm.substring import substring_dedup
@@ -143,3 +143,23 @@ def test_vectors(spark):
         assert (r.component_id, r.n_links, r.kept) == (want[r.vec_id], degree[r.vec_id], r.vec_id == want[r.vec_id])
     assert vector_groups(df.limit(0)).count() == 0
     assert planned_passes(10**9, 0.93) > planned_passes(10**5, 0.93) >= 12
+
+
+@pytest.mark.parametrize("n, whole", [(24_000, 0), (101_000, vector_dedup.WHOLE)])
+def test_vectors_that_share_a_direction(spark, n, whole, monkeypatch, tmp_path):
+    """Pairs at the threshold in one label whose mean cosine is 0.7, by passes alone and whole."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(vector_dedup, "WHOLE", whole)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = unit(np.sqrt(0.7) * unit(np.ones((1, 64))) + np.sqrt(0.3) * unit(rng.standard_normal((n, 64))))
+    first = rows[:1000]
+    aside = rng.standard_normal((1000, 64))
+    aside = unit(aside - (aside * first).sum(axis=1, keepdims=True) * first)
+    rows[1000:2000] = 0.935 * first + np.sqrt(1 - 0.935**2) * aside
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(rows.reshape(-1)), 64).cast(pa.list_(pa.float64()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat, "label": np.zeros(n, np.int32)}), f"{tmp_path}/v.parquet", row_group_size=8192)
+    to = {r.vec_id: r.component_id for r in vector_groups(spark.read.parquet(f"{tmp_path}/v.parquet")).where("vec_id < 2000").collect()}
+    assert sum(to[i] != to[1000 + i] for i in range(1000)) == 0
