@@ -7,9 +7,10 @@ predecessor kept. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundspark.llm import bpe, minhash, mixing, suffix, toxicity
-from groundspark.llm.common import scratch
+from groundspark.llm.common import numbered, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +20,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest doc_id."""
-    groups = minhash.minhash_groups(docs, k=5, percent=80)
-    dropped = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(scratch(dropped, "dropped"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group stays: of the smallest doc_id, null last.
+
+    Rows are told apart by a number, so rows that repeat a doc_id or have none are judged by
+    their texts like all others. Rows without a word stay.
+    """
+    rows = numbered(docs)
+    groups = minhash.minhash_groups(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    groups = groups.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    several = groups.groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select("_group")
+    members = rows.select("_row", "doc_id").join(scratch(groups.join(several, "_group"), "members"), "_row")
+    members = scratch(members, "ids")
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row"))["_row"].alias("_row"))
+    dropped = members.select("_row").join(first.select("_row"), "_row", "left_anti")
+    return rows.join(scratch(dropped, "dropped"), "_row", "left_anti").select(docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

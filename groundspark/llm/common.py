@@ -62,6 +62,12 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """The rows with a number of their own, written so that it stays the same; it tells rows
+    of equal or null ids apart."""
+    return scratch(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds, once per task, the function batch -> batches.
 

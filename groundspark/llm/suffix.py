@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import arrow_map, batch_of, rows_of, scratch
+from .common import arrow_map, batch_of, numbered, rows_of, scratch
 from .minhash import _ODD, mix64
-from .substring import NO_ID, estimated_repeated, runs_of, sketch
+from .substring import estimated_repeated, runs_of, sketch
 
 WINDOW, GRAM = 200, 32
 #: Bytes of documents that are handled at once.
@@ -343,10 +343,12 @@ def grouped_repeats(contexts: DataFrame, window: int) -> DataFrame:
 # --- the operator ------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Starts of repeated windows: (id, runs) with runs = [first, end, first, end, ...]."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Starts of repeated windows: (id, runs) with runs = [first, end, first, end, ...].
+
+    rows: id (long, no two alike), text.
+    """
+    spark = rows.sparkSession
     bitmaps = spark.sparkContext.broadcast(sketch(rows, byte_anchor_hashes(window, gram)))
     places = scratch(occurrences(rows, bitmaps, window, gram), "places")
     classes = places.groupBy("gram", "hi", "lo").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first", "windows", "off")).alias("at"))
@@ -382,33 +384,33 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     docs: doc_id (integer), text; other columns are not read. Every occurrence goes, the
     first one too; matches stay within documents and are judged on the input. Returns
     doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null and empty texts have no bytes.
-    Repeated rows repeat each other's strings; a null doc_id is a document like any
-    other, but rows that repeat a doc_id must repeat the text. An empty table gives an
-    empty table. What is left of a text may not be whole UTF-8.
+    Each row is a document of its own, whether its doc_id is null, repeated or neither;
+    repeated rows repeat each other's strings. An empty table gives an empty table. What
+    is left of a text may not be whole UTF-8.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    cuts = scratch(repeated_spans(docs, window, gram), "cuts")
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "id")
+    cuts = scratch(repeated_spans(rows.select("id", "text"), window, gram), "cuts")
+    names = ["id", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    schema = "id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def make():
         def each(batch):
             n, removed, spans, kept = [], [], [], []
-            runs = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for text, r in zip(batch.column(1).to_pylist(), runs):
+            runs = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            for text, r in zip(batch.column(2).to_pylist(), runs):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
                 n.append(len(data))
                 gone = removed_mask(len(data), r, window) if r else None
                 removed.append(int(gone.sum()) if r else 0)
                 spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()) if r else 0)
                 kept.append(hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes() if r else data).hexdigest())
-            yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())])
+            yield batch_of(names, [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())])
 
         return each
 
-    cut = arrow_map(rows_of(rows, cuts, "id").select("id", "text", "runs"), make, schema)
-    out = arrow_map(rows, make, schema).join(cuts.select("id"), "id", "left_anti").unionByName(cut)
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *names[1:])
+    cut = arrow_map(rows_of(rows, cuts, "id").select("id", "doc_id", "text", "runs"), make, schema)
+    out = arrow_map(rows.select("id", "doc_id", "text"), make, schema).join(cuts.select("id"), "id", "left_anti").unionByName(cut)
+    return out.select(names[1:])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -416,9 +418,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     A character that a cut leaves in part goes as a whole.
     """
-    cuts = scratch(repeated_spans(docs, window, gram), "cuts")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keyed = docs.withColumn("_id", key)
+    keyed = numbered(docs, "_id")
+    cuts = scratch(repeated_spans(keyed.select(F.col("_id").alias("id"), "text"), window, gram), "cuts")
     columns = docs.columns
     at = columns.index("text")
 

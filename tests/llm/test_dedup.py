@@ -163,3 +163,16 @@ def test_vectors_that_share_a_direction(spark, n, whole, monkeypatch, tmp_path):
     pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": flat, "label": np.zeros(n, np.int32)}), f"{tmp_path}/v.parquet", row_group_size=8192)
     to = {r.vec_id: r.component_id for r in vector_groups(spark.read.parquet(f"{tmp_path}/v.parquet")).where("vec_id < 2000").collect()}
     assert sum(to[i] != to[1000 + i] for i in range(1000)) == 0
+
+
+def test_suffix_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(300)
+    texts = [letters(400) + passage, passage[:250], None, "short", letters(700), letters(90) + passage + letters(500)]
+    docs = spark.createDataFrame([(None if i < 4 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = brute_suffix([(t or "").encode() for t in texts])
+    want = Counter((None if i < 4 else 7, *f[:4]) for i, f in enumerate(found))
+    assert Counter(map(tuple, suffix_dedup(docs).collect())) == want
+    left = Counter(f[4].decode() if t is not None else None for t, f in zip(texts, found))
+    assert Counter(r.text for r in without_repeats(docs).collect()) == left

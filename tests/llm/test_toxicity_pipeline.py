@@ -93,3 +93,15 @@ def test_pipeline(spark, tmp_path):
     assert {i for i in seen[1] if i >= 3000} == {3000} and {i for i in seen[1] if 2000 <= i < 3000} == {2000, 2001, 2002}
     assert seen[2] == seen[1]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_keeps_one_of_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, 90) for _ in range(4)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2]), (None, texts[2]), (3, texts[3]), (3, prose(rng, 90)), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    want = sorted(map(str, [rows[0], rows[2], rows[4], *rows[6:]]))
+    assert one.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in one.collect()) == want
+    left = corpus_pipeline.drop_repeats(spark, one, "")
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == want
