@@ -11,6 +11,7 @@ offending spans.
 from __future__ import annotations
 
 import math
+from array import array
 import re
 from dataclasses import dataclass, field
 
@@ -148,20 +149,30 @@ def fit(texts: list[str | None], toxic: list[int]) -> Field:
     if len(set(toxic)) < 2:
         return model
     docs = [[w.decode("utf-8", "replace") for w in words_of(t)] for t in texts]
-    contexts: dict[str, set] = {}
+    number: dict[str, int] = {}
+    numbered: dict[str, list] = {}
+    places, around = array("i"), array("q")
     sizes = [0, 0]
     for words, y in zip(docs, toxic):
         sizes[y] += len(words)
         if y:
             for i, w in enumerate(words):
                 # copies of a text repeat contexts, so they don't add support
-                around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-                for f in features(w):
-                    seen = contexts.setdefault(f, set())
-                    if len(seen) < 256:
-                        seen.add(around)
-    support = {f: len(c) for f, c in contexts.items() if len(c) >= MIN_CONTEXTS}
-    del contexts
+                context = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
+                if w not in numbered:
+                    numbered[w] = [number.setdefault(f, len(number)) for f in features(w)]
+                for f in numbered[w]:
+                    places.append(f)
+                    around.append(context)
+    # all distinct contexts count, as all uses in clean rows do
+    own, context = np.array(places, np.int32), np.array(around, np.int64)
+    by = np.lexsort((context, own))
+    own, context = own[by], context[by]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (context[1:] != context[:-1])
+    distinct = np.bincount(own[new], minlength=len(number)).tolist()
+    support = {f: distinct[k] for f, k in number.items() if distinct[k] >= MIN_CONTEXTS}
+    del own, context, by, new, places, around, numbered
     clean = dict.fromkeys(support, 0)
     known = {w: [f for f in features(w) if f in support] for w in {w for words in docs for w in words}}
     for words, y in zip(docs, toxic):

@@ -105,3 +105,12 @@ def test_pipeline_keeps_one_of_rows_that_share_an_id_or_have_none(spark):
     assert one.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in one.collect()) == want
     left = corpus_pipeline.drop_repeats(spark, one, "")
     assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == want
+
+
+def test_support_counts_all_contexts():
+    rng = random.Random(21)
+    toxic = [" ".join(f"{prose(rng, 1)}{rng.randrange(10**6)} vilething {prose(rng, 1)}{rng.randrange(10**6)}" for _ in range(30)) for _ in range(100)]
+    clean = [" ".join([prose(rng, 90)] + ["vilething"] * (i < 70)) for i in range(500)]
+    model = fit(toxic + clean, [1] * 100 + [0] * 500)
+    assert model.weights.get("wvilething", 0) > 0
+    assert fit(["", "calm words"], [1, 0]).weights == {}
