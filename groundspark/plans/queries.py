@@ -284,8 +284,12 @@ def classifier_scores(spark, sf_dir):
     rows = features(spark, sf_dir)
     folds = V.stratified_folds(rows, "doc_id")
     rows = rows.join(folds.select("doc_id", "fold"), "doc_id")
-    model = GroundednessClassifier(["chars", "phase", "lang_len"], C=3.0).fit(rows.where("fold <> 0"))
-    return model.score(rows.where("fold = 0"), "doc_id")
+    out = None
+    for fold in range(5):
+        model = GroundednessClassifier(["chars", "phase", "lang_len"], C=3.0).fit(rows.where(F.col("fold") != fold))
+        scored = model.score(rows.where(F.col("fold") == fold), "doc_id")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 QUERIES |= {

@@ -76,3 +76,14 @@ def test_classifier(spark, tmp_path):
     model.save(str(tmp_path / "m"))
     again = GroundednessClassifier.load(spark, str(tmp_path / "m"))
     assert [round(r.p, 9) for r in again.score(df, "id").collect()] == [round(r.p, 9) for r in scored]
+
+
+def test_classifier_scores_every_labelled_row_out_of_its_fold(spark, tmp_path):
+    from groundspark.plans.queries import QUERIES
+
+    rng = random.Random(3)
+    docs = [(i, rng.choice(["en", "fr", "deu"]), rng.randrange(20, 900)) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(n > 400), 0) for i, _, n in docs if i < 50], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["classifier_scores"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(50))
