@@ -9,6 +9,8 @@ coordinates propose pairs; every link is confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,9 +24,9 @@ UNIVERSE_BITS = 22
 BANDS, ROWS = 28, 5
 #: Leads that each bucket spanning several components tries before all its pairs across them.
 LEADS = 2
-#: Coordinates in which a pair may differ and still be confirmed: at similarity 0.8 a pair
-#: differs in more with probability 7e-6.
-DIFFER = 49
+#: Probability at most that a pair at the threshold differs in too many coordinates to be
+#: confirmed: what 28 bands of 5 miss at similarity 0.8.
+MISS = 1.5e-5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -159,6 +161,18 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, lower: bo
     return arrow_map(joined.select("a", "b", "ta", "tb"), make, f"a {kind}, b {kind}")
 
 
+def allowed_difference(percent: int, coordinates: int, miss: float = MISS) -> int:
+    """Coordinates in which a pair may differ and still be confirmed: a pair at ``percent``
+    differs in more with probability ``miss`` at most, by the binomial tail."""
+    p, tail, limit = 1 - percent / 100, 0.0, coordinates
+    while limit > 0:
+        tail += math.comb(coordinates, limit) * p**limit * (1 - p) ** (coordinates - limit)
+        if tail > miss:
+            break
+        limit -= 1
+    return limit
+
+
 def _differ(x: str, y: str, longs: int) -> str:
     """SQL: in how many of the coordinates' four bits two signatures differ."""
     one = lambda k: f"({x}[{k}] ^ {y}[{k}])"
@@ -188,7 +202,7 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool =
     links = scratch(confirmed(docs, tried, k, percent, lower), "links")
     found = components(links)
     members = members.select("bucket", "id")
-    near = _differ("x.bits", "y.bits", -(-bands * rows // 16)) + f" <= {DIFFER}"
+    near = _differ("x.bits", "y.bits", -(-bands * rows // 16)) + f" <= {allowed_difference(percent, bands * rows)}"
     for turn in range(LEADS + 1):
         own = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
         own = scratch(own, "own")

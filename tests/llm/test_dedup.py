@@ -176,3 +176,17 @@ def test_suffix_tells_rows_of_one_id_apart(spark):
     assert Counter(map(tuple, suffix_dedup(docs).collect())) == want
     left = Counter(f[4].decode() if t is not None else None for t, f in zip(texts, found))
     assert Counter(r.text for r in without_repeats(docs).collect()) == left
+
+
+def test_minhash_at_a_low_percent(spark):
+    """Pairs at 0.4 and more that share their buckets with smaller ids of other texts."""
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(100)]
+    sets = {i: set(rng.sample(vocabulary, 30)) for i in range(60)}
+    for i in range(10):
+        own = rng.sample(vocabulary, 42)
+        sets[100 + i], sets[200 + i] = set(own[:30]), set(own[12:])
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 40 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, text string")
+    got = minhash_groups(df, k=1, percent=40, bands=140, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == roots(sets, links)
