@@ -8,7 +8,7 @@ import uuid
 import weakref
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters that are not ASCII white space.
@@ -62,23 +62,45 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name like ``name`` that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def every(columns: list[str]) -> list[Column]:
+    """The columns themselves, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """The rows with a number of their own, written so that it stays the same; it tells rows
-    of equal or null ids apart."""
+    """The rows with a number of their own, in a column ``name`` that they don't have yet.
+
+    Written so that the number stays the same; it tells rows of equal or null ids apart.
+    """
     return scratch(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def arrow_map(df: DataFrame, make, schema: str) -> DataFrame:
+#: Rows and bytes, by their mean, of what a mapping function sees at once.
+PART_ROWS, PART_BYTES = 4096, 4 << 20
+
+
+def arrow_map(df: DataFrame, make, schema) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds, once per task, the function batch -> batches.
 
-    The built function may have an attribute ``finish`` giving last batches.
+    A worker holds Python objects of one part of a batch at a time, by PART_ROWS and
+    PART_BYTES. The built function may have an attribute ``finish`` giving last batches.
     """
 
     def run(batches):
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
+            n = batch.num_rows
+            step = max(1, min(PART_ROWS, n * PART_BYTES // max(1, batch.nbytes)))
+            for k in range(0, n, step):
+                yield from each(batch.slice(k, step))
         if hasattr(each, "finish"):
             yield from each.finish()
 
@@ -120,13 +142,15 @@ def _local_components(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, f"id {kind}, component_id {kind}")
 
 
-def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of ``edges (a, b)`` as rows ``(id, component_id)``.
 
     component_id is the smallest id reachable. Alternates the large-star and the
     small-star step, each a minimum per node (combined before the shuffle) and a join
-    back, until the edges no longer change. Nodes without an edge are not returned.
-    Self-loops and repeated edges are harmless; an empty table gives an empty one.
+    back, until the edges no longer change; once at most ``local_edges`` are left, counted,
+    one task of that bounded size ends the work with the same result. Nodes without an
+    edge are not returned. Self-loops and repeated edges are harmless; an empty table
+    gives an empty one.
     """
     now = scratch(
         edges.where("a is not null and b is not null and a <> b")
@@ -135,7 +159,7 @@ def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_
         "edges",
     )
     seen = None
-    for _ in range(max_rounds):
+    while True:
         if now.count() <= local_edges:
             return scratch(_local_components(now), "components")
         # large star: every larger neighbour of a node goes to the node's minimum
@@ -158,8 +182,6 @@ def components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_
         if after[0] == after[2] and after == seen:
             break
         seen = after
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("v").alias("id"), F.col("m").alias("component_id")).unionByName(
         now.select(F.col("m").alias("id"), F.col("m").alias("component_id")).distinct()
     )
@@ -170,18 +192,18 @@ FILTER_WORDS = 1 << 17
 
 
 def rows_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is in ``ids (key)``, with distinct keys there.
+    """Rows of ``docs`` whose key is in ``ids``, with distinct keys there, and its other columns.
 
     A bitmap of hashed keys, of FILTER_WORDS words however many keys there are, is
     broadcast first, so most rows that are not asked for never enter the shuffle; the
-    join after it is exact.
+    join after it is exact. No column of ``docs`` but the key may be one of ``ids``.
     """
     bit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(FILTER_WORDS * 64))
-    bits = ids.select(bit.alias("_b")).selectExpr("cast(shiftright(_b, 6) as int) as _word", "shiftleft(1L, cast(_b % 64 as int)) as _mask")
-    bitmap = bits.groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
-    rows = docs.withColumn("_b", bit).withColumn("_word", F.expr("cast(shiftright(_b, 6) as int)"))
-    rows = rows.join(F.broadcast(bitmap), "_word").where("(_bits & shiftleft(1L, cast(_b % 64 as int))) <> 0")
-    return rows.select(docs.columns).join(ids, key)
+    word, mask = F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    at, bits = unused(docs.columns, "word"), unused(docs.columns, "bits")
+    bitmap = ids.select(word.alias(at), mask.alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
+    rows = docs.join(F.broadcast(bitmap), word == F.col(at)).where(F.col(bits).bitwiseAND(mask) != 0)
+    return rows.select(every(docs.columns)).join(ids, key)
 
 
 def by_runs(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:

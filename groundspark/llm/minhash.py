@@ -4,13 +4,17 @@ Two permutations of a universe of 2 ** 22 shingle numbers make the whole signatu
 first scatters a shingle, the second, shifted circularly by one place more for each
 coordinate, ranks it. The ranks of a shingle under all shifts lie side by side in memory,
 so a signature is the minimum of as many slices as the text has shingles. Bands of
-coordinates propose pairs; every link is confirmed on the full shingle sets.
+coordinates propose buckets; every link is confirmed on the full shingle sets.
+
+A bucket's members are held against its smallest one. Where that leaves a bucket in
+several components, its members may hold links that avoid the smallest, and all its pairs
+would grow with its square. There two texts of different components can only link if they
+share one of the rarest shingles of each, early enough that the rest can still reach the
+threshold; only such pairs are made, and none that links is missed.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,11 +26,6 @@ from .common import arrow_map, batch_of, components, rows_of, scratch, words_of
 UNIVERSE_BITS = 22
 #: 28 bands of 5: a pair at similarity 0.8 shares no band with probability 1.5e-5.
 BANDS, ROWS = 28, 5
-#: Leads that each bucket spanning several components tries before all its pairs across them.
-LEADS = 2
-#: Probability at most that a pair at the threshold differs in too many coordinates to be
-#: confirmed: what 28 bands of 5 miss at similarity 0.8.
-MISS = 1.5e-5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -91,10 +90,8 @@ def ascii_lower(words: list[bytes]) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lower: bool = True) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash (hi, lo) of the shingle set, its band hashes, and
-    four bits of each coordinate, sixteen to a long."""
-    names = ["doc_id", "n_shingles", "hi", "lo", "bands", "bits"]
-    longs = -(-bands * rows // 16)
+    """doc_id, n_shingles, a 128-bit hash (hi, lo) of the shingle set and its band hashes."""
+    names = ["doc_id", "n_shingles", "hi", "lo", "bands"]
 
     def make():
         signer = _signer(bands * rows)
@@ -116,24 +113,23 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lo
                 key = mix64(key + sig[:, j::rows].astype(np.uint64) * _ODD[j % 8])
             offsets = np.arange(0, batch.num_rows * bands + 1, bands, dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.reshape(-1).view(np.int64)))
-            four = np.zeros((batch.num_rows, longs * 16), np.uint64)
-            four[:, : sig.shape[1]] = sig & 15
-            four = (four.reshape(-1, longs, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-            offsets = np.arange(0, batch.num_rows * longs + 1, longs, dtype=np.int32)
-            bits = pa.ListArray.from_arrays(pa.array(offsets), pa.array(four.reshape(-1).view(np.int64)))
-            yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists, bits])
+            yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists])
 
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>, bits array<long>")
+    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the asked ids; a repeated doc_id takes part with its least text."""
+    return rows_of(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * shared >= percent * union."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # a repeated doc_id takes part with its least text
-    texts = scratch(rows_of(docs.select("doc_id", "text"), ids).groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = scratch(texts_of(docs, ids), "texts")
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     joined = joined.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -161,22 +157,45 @@ def confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, lower: bo
     return arrow_map(joined.select("a", "b", "ta", "tb"), make, f"a {kind}, b {kind}")
 
 
-def allowed_difference(percent: int, coordinates: int, miss: float = MISS) -> int:
-    """Coordinates in which a pair may differ and still be confirmed: a pair at ``percent``
-    differs in more with probability ``miss`` at most, by the binomial tail."""
-    p, tail, limit = 1 - percent / 100, 0.0, coordinates
-    while limit > 0:
-        tail += math.comb(coordinates, limit) * p**limit * (1 - p) ** (coordinates - limit)
-        if tail > miss:
-            break
-        limit -= 1
-    return limit
+def rare_pairs(docs: DataFrame, members: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
+    """Pairs (a, b), a > b, of ``members (id, c)`` with different c that may reach percent.
+
+    Shingles are ordered by the number of members that have them, rarest first; those that
+    only one component has stand before all others, for no pair across components shares
+    them. Of a pair that links, the first shared shingle stands early in both: what follows
+    it must still hold the least intersection. So each member goes, under each shingle of
+    its head, to those it shares it with, and the pairs whose tails are too short are not
+    made. Complete: the order is the same for all, and no list of a shingle is cut.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    texts = texts_of(docs, members.select(F.col("id").alias("doc_id"))).join(members, F.col("doc_id") == F.col("id"))
 
+    def make():
+        def each(batch):
+            ids, comps = batch.column(0), batch.column(1)
+            found = []
+            for text in batch.column(2).to_pylist():
+                data = text.encode("utf-8", "surrogatepass") if text else b""
+                found.append(shingle_hashes((data.lower() if lower else data).split(), k))
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            own = pa.array(np.repeat(np.arange(len(n)), n))
+            yield batch_of(["id", "c", "n", "shingle"], [ids.take(own), comps.take(own), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found).view(np.int64))])
+
+        return each
 
-def _differ(x: str, y: str, longs: int) -> str:
-    """SQL: in how many of the coordinates' four bits two signatures differ."""
-    one = lambda k: f"({x}[{k}] ^ {y}[{k}])"
-    return " + ".join(f"bit_count(({one(k)} | shiftright({one(k)}, 1) | shiftright({one(k)}, 2) | shiftright({one(k)}, 3)) & 1229782938247303441L)" for k in range(longs))
+    rows = scratch(arrow_map(texts.select("id", "c", "text"), make, f"id {kind}, c {kind}, n long, shingle long"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    tail = rows.join(shared.select("shingle", "df"), "shingle").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    heads = tail.where(F.size("s") >= least).select("id", "c", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("at", "x"))
+    heads = scratch(heads.select("id", "c", "n", F.col("x.shingle").alias("shingle"), (F.col("m") - F.col("at")).alias("room")), "heads")
+    several = heads.groupBy("shingle").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("shingle")
+    heads = heads.join(several, "shingle")
+    both = heads.alias("x").join(
+        heads.alias("y"),
+        F.expr(f"x.shingle = y.shingle and x.c < y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {100 + percent} * least(x.room, y.room) >= {percent} * (x.n + y.n)"),
+    )
+    return both.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
 def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,16 +203,15 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool =
 
     docs: doc_id, text; other columns are not read. Texts with equal shingle sets form a
     class, which takes part once, as its smallest doc_id. Each class is first held
-    against the smallest of every band bucket it is in. Buckets that still span several
-    components hold the members of others against another lead, a few times. Then,
-    wherever a bucket still spans several, its pairs across components are held against
-    each other, but for those whose signatures differ too much: no partner is capped, and
-    no pairs within a component are made. Null and empty texts have no shingles and are
-    linked with nothing; a null doc_id is kept. Repeated rows get the same component. An
-    empty table gives an empty table.
+    against the smallest of every band bucket it is in; the members of buckets that still
+    span several components meet by their rarest shingles (``rare_pairs``). No partner is
+    capped, and no pairs within a component are made. Null and empty texts have no
+    shingles and are linked with nothing; a null doc_id is kept. Repeated rows get the
+    same component; rows that repeat a doc_id with other texts are one document, of which
+    the least text is compared. An empty table gives an empty table.
     """
     signed = scratch(signatures(docs, k, bands, rows, lower), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = scratch(classes, "classes")
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
     leads = exploded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
@@ -201,31 +219,12 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool =
     tried = scratch(members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
     links = scratch(confirmed(docs, tried, k, percent, lower), "links")
     found = components(links)
-    members = members.select("bucket", "id")
-    near = _differ("x.bits", "y.bits", -(-bands * rows // 16)) + f" <= {allowed_difference(percent, bands * rows)}"
-    for turn in range(LEADS + 1):
-        own = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
-        own = scratch(own, "own")
-        lead = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "c")).alias("lead")
-        mixed = own.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), lead).where("c0 <> c1").select("bucket", "lead")
-        x = own.join(mixed, "bucket").join(classes.select("id", "bits"), "id").select("bucket", "id", "c", "bits", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c"))
-        x = scratch(x, "open")
-        members = x.select("bucket", "id")
-        if turn < LEADS:
-            y = classes.select(F.col("id").alias("lead"), "bits")
-            pairs = x.where("c <> lead_c").alias("x").join(y.alias("y"), F.expr(f"x.lead = y.lead and {near}"))
-            pairs = pairs.select(F.greatest("x.id", "y.lead").alias("a"), F.least("x.id", "y.lead").alias("b"))
-        else:
-            pairs = x.alias("x").join(x.alias("y"), F.expr(f"x.bucket = y.bucket and x.c < y.c and {near}"))
-            pairs = pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-        pairs = scratch(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < LEADS:
-                continue
-            break
-        more = scratch(confirmed(docs, pairs, k, percent, lower), "more")
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
-        found = components(links) if not more.isEmpty() else found
+    own = scratch(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c")), "own")
+    mixed = own.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
+    rest = scratch(own.join(mixed, "bucket").select("id", "c").distinct(), "open")
+    pairs = scratch(rare_pairs(docs, rest, k, percent, lower).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = scratch(confirmed(docs, pairs, k, percent, lower), "more")
+    found = components(links.unionByName(more))
     to = classes.select("hi", "lo", "n_shingles", "id").join(found, "id", "left").select("hi", "lo", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     to = scratch(to, "class_components")
     full = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "hi", "lo").join(to, ["hi", "lo", "n_shingles"])
