@@ -22,8 +22,9 @@ from .common import arrow_map, batch_of
 
 #: Fixed value: the published pattern of byte-level BPE that splits a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Most entries of each memo of a worker; a full memo starts anew, which costs time only.
-MEMO_ENTRIES = 500_000
+#: Most entries of each of a worker's two memos, some 40 MB each; a full one starts anew, which
+#: costs time only.
+MEMO_ENTRIES = 200_000
 
 
 def byte_symbols() -> list[str]:

@@ -13,6 +13,7 @@ u64 words; per exception u8 place in its block and u32 high bits.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -31,8 +32,9 @@ HEAD = struct.Struct("<4s4I")
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; a longer document makes a segment by itself.
 SEGMENT_IDS = 1 << 18
-#: Entries of a worker's memo of words.
-MEMO_ENTRIES = 900_000
+#: Entries of a worker's memo of words, some 40 MB; a full one starts anew and soon has the
+#: frequent words again.
+MEMO_ENTRIES = 200_000
 
 
 def _lanes(width: int):
@@ -132,6 +134,8 @@ class WordEncoder:
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
+        # a task has one core; threads of the library would hold heaps of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
@@ -197,9 +201,11 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, path
     """Write the ids of all documents in ascending doc_id order below ``path``.
 
     docs: doc_id, text; other columns are not read. Ranges of doc_id go to files, each
-    sorted; a file's rows are segments (shard, segment, doc_ids, lengths, payload). Spark's
-    committer publishes whole files only, so a retried task leaves no half-written one.
-    A null text counts as empty and has only the end id; null doc_ids come first.
+    sorted; a file's rows are segments (shard, first, doc_ids, lengths, n_ids, payload),
+    where first counts the ids of the shard before the segment. Spark's committer publishes
+    whole files only, so a retried task leaves no half-written one. A null text counts as
+    empty and has only the end id; null doc_ids come first; rows that repeat a doc_id stay
+    rows of their own, next to each other. An empty table gives an empty folder of files.
     """
     with open(tokenizer, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
@@ -208,18 +214,18 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, path
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     ordered = ordered.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    names = ["shard", "segment", "doc_ids", "lengths", "n_ids", "payload"]
+    names = ["shard", "first", "doc_ids", "lengths", "n_ids", "payload"]
     arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
 
     def make():
         encoder, end = _encoder(source.value), b"" if end_id is None else struct.pack("<I", end_id)
-        state = {"shard": 0, "segment": 0, "ids": [], "docs": [], "n": 0}
+        state = {"shard": 0, "first": 0, "ids": [], "docs": [], "n": 0}
 
         def close():
             data = np.frombuffer(b"".join(state["ids"]), "<u4")
-            row = [[state["shard"]], [state["segment"]], [state["docs"]], [[len(x) // 4 for x in state["ids"]]], [len(data)], [encode_segment(data)]]
-            types = (pa.int32(), pa.int32(), pa.list_(arrow), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            state.update(segment=state["segment"] + 1, ids=[], docs=[], n=0)
+            row = [[state["shard"]], [state["first"]], [state["docs"]], [[len(x) // 4 for x in state["ids"]]], [len(data)], [encode_segment(data)]]
+            types = (pa.int32(), pa.int64(), pa.list_(arrow), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            state.update(first=state["first"] + len(data), ids=[], docs=[], n=0)
             return batch_of(names, [pa.array(x, t) for x, t in zip(row, types)])
 
         def each(batch):
@@ -241,28 +247,29 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, path
         return each
 
     k = kind.simpleString()
-    arrow_map(ordered, make, f"shard int, segment int, doc_ids array<{k}>, lengths array<long>, n_ids long, payload binary").write.parquet(path)
+    arrow_map(ordered, make, f"shard int, first long, doc_ids array<{k}>, lengths array<long>, n_ids long, payload binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """Read the files back: doc_id, start, n_tokens, ids_crc32 and, with ``ids``, the ids.
 
-    start counts the ids of all documents before, from a running sum over one row a
-    segment: sums by shard first, then segments within their shard.
+    start counts the ids of all documents before: those of the shards before, by a running
+    sum over one row a shard (as many as the writer had partitions, so they are broadcast
+    and no payload is shuffled), of the shard's segments before, and of the segment's
+    documents before. An empty folder gives an empty table.
     """
     files = spark.read.parquet(path)
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
-    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = sizes.select("shard", earlier("n", W.orderBy("shard")).alias("shard_start"))
-    starts = files.select("shard", "segment", earlier("n_ids", W.partitionBy("shard").orderBy("segment")).alias("segment_start"))
-    rows = files.join(starts, ["shard", "segment"]).join(before, "shard")
-    rows = rows.select((F.col("shard_start") + F.col("segment_start")).alias("start"), "doc_ids", "lengths", "payload")
+    before = F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = files.join(F.broadcast(sizes.select("shard", before.alias("shard_start"))), "shard")
+    rows = rows.select((F.col("shard_start") + F.col("first")).alias("start"), "doc_ids", "lengths", "payload")
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids]
 
     def make():
         def each(batch):
-            for start, docs, lengths, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):  # one segment is held at a time
+                start, docs, lengths, payload = (c[k].as_py() for c in batch.columns)
                 data = decode_segment(payload).astype("<u4")
                 ends = np.cumsum(np.array(lengths, np.int64))
                 parts = [data[e - n : e].tobytes() for n, e in zip(lengths, ends.tolist())]
@@ -276,7 +283,10 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
 
 
 def token_file_digests(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Write the token files of ``docs`` to the shared folder and read them back."""
+    """Write the token files of ``docs`` to the shared folder and read them back.
+
+    One row a row of ``docs``, also for nulls, empty texts and repeats; none for an empty table.
+    """
     path = scratch_path(spark, "token_files")
     write_token_files(spark, docs, tokenizer, path, end_id)
     return read_token_files(spark, path)

@@ -29,7 +29,8 @@ TOXIC_ROWS, CLEAN_ROWS = 500, 2500
 MIN_CONTEXTS, MIN_ODDS, MIN_GAIN = 4, 20.0, 12.0
 PREFIXES = (4, 5)
 SEGMENT = 128
-MEMO_ENTRIES = 500_000
+#: Words whose evidence a worker remembers.
+MEMO_ENTRIES = 200_000
 _EDGE = ".,:;!?|()[]{}\"'`*-_"
 _WORD = re.compile(WORD_PATTERN)
 
