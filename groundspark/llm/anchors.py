@@ -1,7 +1,7 @@
 """Anchors: positions that equal windows choose alike.
 
 A window of ``width`` symbols holds width - gram + 1 grams; its anchor is the gram of the
-least hash, leftmost on ties. Equal windows have equal anchors at equal offsets, and
+least hash (its upper 32 bits), leftmost on ties. Equal windows have equal anchors at equal offsets, and
 neighbouring windows mostly share theirs, so a repeated window always shows as a repeated
 anchor gram while there are far fewer anchors than windows.
 """
@@ -13,6 +13,10 @@ import numpy as np
 from .minhash import _ODD, mix64
 
 
+#: Bits of a place among the symbols that are looked at together; a text has less than 2 GB.
+PLACE_BITS = 32
+
+
 def running_min(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by doubling."""
     m, s = v, 1
@@ -56,7 +60,8 @@ def anchors(symbols: np.ndarray, lengths: np.ndarray, width: int, gram: int):
     none = np.zeros(0, np.int64)
     if len(symbols) < width:
         return none, none, none, np.zeros(0, np.uint64)
-    bits = np.uint64(max(1, int(len(symbols)).bit_length()))
+    # as many bits of the hash for every text, so equal windows choose alike wherever they stand
+    bits = np.uint64(PLACE_BITS)
     hashes = gram_hash(symbols, gram)
     order = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     least = running_min(order, width - gram + 1)

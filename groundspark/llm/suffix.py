@@ -5,13 +5,18 @@ shows as a repeated anchor gram (see ``anchors``), so only suffixes that start a
 whose gram may repeat (by the sketch of ``substring``) are sorted, each with the bytes to
 its left that its windows reach. Equal contexts are one suffix with a count.
 
-The sort is a merge sort that knows common prefixes. Each map task sorts its suffixes and
-sends them as front-coded runs: of every suffix the length shared with the one before and
-the rest. A loser tree merges a task's runs; each contender carries the length it shares
-with the last winner, so two that differ there need no look at their bytes, and two that
-agree are compared behind it only. The merged common prefixes then tell which windows
-repeat. A gram with very many contexts is resolved by grouping its windows instead, whose
-counts combine before the shuffle.
+The sort is a merge sort that knows common prefixes. Suffixes are ordered by a hash of the
+core that they share at least, then by their bytes; each task sorts its suffixes and sends
+them, cut where the order's ranges end, as front-coded runs: of every suffix the length
+shared with the one before and the rest. A loser tree merges the runs of a range; each
+contender carries the length it shares with the last winner, so two that differ there need
+no look at their bytes, and two that agree are compared behind it only. The merged common
+prefixes then tell which windows repeat.
+
+A core with very many contexts is not left to one task: the offsets at which its windows
+hold the anchor are halved, and each half goes on as contexts of its own, cut to what the
+half's windows reach. What these share is a longer core, so they part, or become equal and
+are counted; a single offset is a window itself. Eight halvings end any group.
 """
 
 from __future__ import annotations
@@ -25,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import arrow_map, batch_of, numbered, rows_of, scratch
+from .common import arrow_map, batch_of, every, numbered, rows_of, scratch, unused
 from .minhash import _ODD, mix64
 from .substring import estimated_repeated, runs_of, sketch
 
 WINDOW, GRAM = 200, 32
 #: Bytes of documents that are handled at once.
 CHUNK = 1 << 18
-#: Contexts of a gram beyond which its windows are grouped rather than sorted: what one task
-#: holds of a gram stays below about 10 MB.
-HOT_CONTEXTS = 20_000
+#: Contexts of a core that one task merges; a core with more of them is halved.
+GROUP = 4096
+#: Contexts that a range of the order holds by its mean.
+RANGE = 16_384
 #: Suffixes of a run.
 RUN = 1 << 16
 
@@ -69,11 +75,11 @@ def front_decode(lcp: np.ndarray, rest: np.ndarray, data: bytes):
         yield last, k
 
 
-def merge_runs(runs: list) -> tuple[list[tuple[int, int]], list[int], list[bytes]]:
-    """Merge sorted runs by a loser tree that keeps common prefixes.
+def merge_runs(runs: list):
+    """Merge sorted runs by a loser tree that keeps common prefixes, one string at a time.
 
-    runs: iterables of (string, length shared with the one before in its run). Returns, in
-    order, (run, place in it), the length shared with the string before, and the strings.
+    runs: iterables of (string, length shared with the one before in its run). Yields, in
+    order, (run, place in it, length shared with the string before, string).
     """
     size = 1
     while size < len(runs):
@@ -111,11 +117,8 @@ def merge_runs(runs: list) -> tuple[list[tuple[int, int]], list[int], list[bytes
             up.append(winner)
         level = up
     winner = level[0]
-    order, lcps, strings = [], [], []
     while text[winner] is not None:
-        order.append((winner, place[winner]))
-        lcps.append(known[winner])
-        strings.append(text[winner])
+        yield winner, place[winner], known[winner], text[winner]
         place[winner] += 1
         head = next(streams[winner], None)
         # the next of the same run shares with the winner what its run says
@@ -124,7 +127,6 @@ def merge_runs(runs: list) -> tuple[list[tuple[int, int]], list[int], list[bytes
         while node:
             winner, losers[node] = play(winner, losers[node])
             node //= 2
-    return order, lcps, strings
 
 
 def repeated_windows(lcp: np.ndarray, lefts: list[bytes], counts: np.ndarray, windows: np.ndarray, window: int, gram: int) -> list[np.ndarray]:
@@ -250,94 +252,158 @@ def contexts_of(rows: DataFrame, classes: DataFrame, window: int) -> DataFrame:
 
 _RUN_NAMES = ["target", "lcp", "rest", "rests", "left", "lefts", "meta"]
 _RUN_SCHEMA = "target int, lcp binary, rest binary, rests binary, left binary, lefts binary, meta binary"
+#: Bytes of the core's hash that stand before a suffix.
+HEAD = 8
+#: Contexts of whole cores that are resolved in one step.
+STEP = 8192
 
 
 def sorted_runs(contexts: DataFrame, targets: int) -> DataFrame:
-    """Front-coded sorted runs of each task's suffixes, one row a target that gets any."""
+    """Front-coded sorted runs of each task's suffixes, one row a range that gets any.
+
+    The order starts with a hash, so its ranges are even without a sample of splitters.
+    """
 
     def make():
         held: list[tuple] = []
 
         def flush():
-            held.sort(key=lambda r: r[:2])
+            held.sort(key=lambda r: r[0])
             i = 0
             while i < len(held):
-                target, j = held[i][0], i
-                while j < len(held) and held[j][0] == target:
+                target, j = int.from_bytes(held[i][0][:HEAD], "big") * targets >> 64, i
+                while j < len(held) and int.from_bytes(held[j][0][:HEAD], "big") * targets >> 64 == target:
                     j += 1
                 part = held[i:j]
-                lcp, rest, rests = front_code([r[1] for r in part])
-                left = np.fromiter((len(r[2]) for r in part), np.uint16, len(part))
-                meta = np.array([r[3] for r in part], np.int64)  # gram, hi, lo, windows, copies
-                row = [lcp.tobytes(), rest.tobytes(), rests, left.tobytes(), b"".join(r[2] for r in part), meta.tobytes()]
+                lcp, rest, rests = front_code([r[0] for r in part])
+                left = np.fromiter((len(r[1]) for r in part), np.uint16, len(part))
+                meta = np.array([r[2] for r in part], np.int64)  # gram, hi, lo, windows, copies
+                row = [lcp.tobytes(), rest.tobytes(), rests, left.tobytes(), b"".join(r[1] for r in part), meta.tobytes()]
                 yield batch_of(_RUN_NAMES, [pa.array([target], pa.int32()), *(pa.array([x], pa.binary()) for x in row)])
                 i = j
             held.clear()
 
         def each(batch):
-            gram, hi, lo, windows, off, copies, _, context = (batch.column(i).to_pylist() for i in range(8))
-            for g, h, k, w, o, c, x in zip(gram, hi, lo, windows, off, copies, context):
-                held.append((g % targets, x[o:], x[:o], (g, h, k, w, c)))
+            heads = batch.column(0).to_numpy(zero_copy_only=False).astype(">i8").tobytes()
+            for i, (g, h, k, w, o, c, x) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(7)))):
+                held.append((heads[HEAD * i : HEAD * (i + 1)] + x[o:], x[:o], (g, h, k, w, c)))
                 if len(held) >= RUN:
                     yield from flush()
 
         each.finish = flush
         return each
 
-    return arrow_map(contexts, make, _RUN_SCHEMA)
+    return arrow_map(contexts.select("gram", "hi", "lo", "windows", "off", "copies", "context"), make, _RUN_SCHEMA)
 
 
 def merged_repeats(runs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Merge each target's runs; gram, hi, lo and the runs of repeated window starts."""
+    """Merge each range's runs; gram, hi, lo and the runs of repeated window starts.
+
+    A worker holds a range's runs as they are coded, and the contexts of some cores.
+    """
     names = ["gram", "hi", "lo", "runs"]
 
-    def resolve(rows: list[dict]):
+    def resolve(group: list[tuple]):
+        lcps, lefts, meta = zip(*group)
+        meta = np.array(meta, np.int64).reshape(-1, 5)
+        found = repeated_windows(np.array(lcps) - HEAD, list(lefts), meta[:, 4], meta[:, 3], window, gram)
+        some = np.array([len(f) > 0 for f in found], bool)
+        cols = [pa.array(meta[some, i].copy()) for i in range(3)]
+        return batch_of(names, [*cols, pa.array([runs_of(f) for f in found if len(f)], pa.list_(pa.int32()))])
+
+    def merged(rows: list[dict]):
         streams, lefts, metas = [], [], []
         for r in rows:
             streams.append(front_decode(np.frombuffer(r["lcp"], np.uint16), np.frombuffer(r["rest"], np.uint16), r["rests"]))
-            ends = np.cumsum(np.frombuffer(r["left"], np.uint16), dtype=np.int64).tolist()
-            lefts.append([r["lefts"][a:b] for a, b in zip([0, *ends], ends)])
+            lefts.append((np.concatenate([[0], np.cumsum(np.frombuffer(r["left"], np.uint16), dtype=np.int64)]), r["lefts"]))
             metas.append(np.frombuffer(r["meta"], np.int64).reshape(-1, 5))
-        order, lcps, _ = merge_runs(streams)
-        meta = np.array([metas[a][b] for a, b in order], np.int64).reshape(-1, 5)
-        found = repeated_windows(np.array(lcps), [lefts[a][b] for a, b in order], meta[:, 4], meta[:, 3], window, gram)
-        some = np.array([len(f) > 0 for f in found], bool)
-        cols = [pa.array(meta[some, i].copy()) for i in range(3)]
-        return batch_of(names, [*cols, pa.array([runs_of(f) for f in found if len(f)], pa.list_(pa.int32()))])
+        group: list[tuple] = []
+        for run, place, lcp, _ in merge_runs(streams):
+            if len(group) >= STEP and lcp < HEAD:
+                yield resolve(group)
+                group = []
+            ends, data = lefts[run]
+            group.append((lcp, data[ends[place] : ends[place + 1]], metas[run][place]))
+        if group:
+            yield resolve(group)
 
     def run(batches):
         held, target = [], None
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 if row["target"] != target and held:
-                    yield resolve(held)
+                    yield from merged(held)
                     held = []
                 target = row["target"]
                 held.append(row)
         if held:
-            yield resolve(held)
+            yield from merged(held)
 
     return runs.repartition("target").sortWithinPartitions("target").mapInArrow(run, "gram long, hi long, lo long, runs array<int>")
 
 
-def grouped_repeats(contexts: DataFrame, window: int) -> DataFrame:
-    """The same for grams with very many contexts: each window is a row, counts combine."""
-    names = ["gram", "hi", "lo", "hash0", "hash1", "place", "copies"]
+def halved(parts: DataFrame, window: int) -> DataFrame:
+    """Each context cut to the windows of either half of its offsets, with the core's new hash.
+
+    Offset: how many bytes of a window stand before the anchor. A half's core is what all
+    windows of its offsets hold.
+    """
+    names = ["g0", "h0", "l0", "shift", "gram", "hi", "lo", "windows", "off", "copies", "least", "most", "context"]
 
     def make():
         def each(batch):
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                for g, h, l, w, _, c, _, x in zip(*(part.column(i).to_pylist() for i in range(8))):
-                    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[p : p + window]) for p in range(w)), np.int64).reshape(-1, 2)
-                    yield batch_of(names, [pa.array([v] * w, pa.int64()) for v in (g, h, l)] + [pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(range(w), pa.int32()), pa.array([c] * w, pa.int64())])
+            rows = []
+            for g0, h0, l0, shift, windows, off, copies, least, most, x in zip(*(batch.column(i).to_pylist() for i in range(10))):
+                middle = (least + most) // 2
+                for d0, d1 in ((least, middle), (middle + 1, most)):
+                    low, high = max(d0, off - windows + 1), min(d1, off)
+                    if low > high:
+                        continue
+                    first = off - high
+                    part = x[first : off + window - low]
+                    core = part[high - d0 : high + window - d1]
+                    digest = xxhash.xxh3_128_intdigest(part)
+                    gram = xxhash.xxh3_64_intdigest(core, seed=d0 * 1000 + d1)
+                    rows.append((g0, h0, l0, shift + first, gram - (1 << 63), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), high - low + 1, high, copies, d0, d1, part))
+            if rows:
+                kinds = [pa.int64()] * 3 + [pa.int32()] + [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] + [pa.int32()] * 2 + [pa.binary()]
+                yield batch_of(names, [pa.array(c, t) for c, t in zip(zip(*rows), kinds)])
 
         return each
 
-    rows = scratch(arrow_map(contexts, make, "gram long, hi long, lo long, hash0 long, hash1 long, place int, copies long"), "windows")
-    again = rows.groupBy("hash0", "hash1").agg(F.sum("copies").alias("n")).where("n > 1").select("hash0", "hash1")
-    found = rows.join(again, ["hash0", "hash1"]).groupBy("gram", "hi", "lo").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return found.select("gram", "hi", "lo", F.flatten(F.transform("places", lambda p: F.array(p, p + 1))).alias("runs"))
+    schema = "g0 long, h0 long, l0 long, shift int, gram long, hi long, lo long, windows int, off int, copies long, least int, most int, context binary"
+    return arrow_map(parts.select("g0", "h0", "l0", "shift", "windows", "off", "copies", "least", "most", "context"), make, schema)
+
+
+def resolved(contexts: DataFrame, window: int, gram: int) -> DataFrame:
+    """gram, hi, lo and runs of repeated window starts of ``contexts``, distinct rows of
+    (gram, hi, lo, windows, off, copies, contexts, context) of which several share a gram."""
+    spark = contexts.sparkSession
+    fewest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def merge(rows: DataFrame) -> DataFrame:
+        targets = max(fewest, -(-rows.count() // RANGE))
+        return scratch(merged_repeats(sorted_runs(rows, targets), window, gram), "merged")
+
+    found = merge(contexts.where(F.col("contexts") <= GROUP))
+    hot = contexts.where(F.col("contexts") > GROUP)
+    if hot.isEmpty():
+        return found
+    parts = hot.select(F.col("gram").alias("g0"), F.col("hi").alias("h0"), F.col("lo").alias("l0"), F.lit(0).alias("shift"), "windows", "off", "copies", F.lit(0).alias("least"), F.lit(window - gram).alias("most"), "context")
+    while not parts.isEmpty():
+        parts = scratch(halved(parts, window), "halves")
+        classes = parts.groupBy("gram", "hi", "lo").agg(F.sum("copies").alias("copies"), F.first(F.struct("windows", "off", "context")).alias("x")).select("gram", "hi", "lo", "x.windows", "x.off", "copies", "x.context")
+        classes = scratch(classes, "half_classes")
+        sizes = scratch(classes.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("copies").alias("n")).where("n > 1").select("gram", "contexts"), "half_sizes")
+        known = classes.join(sizes, "gram")
+        own = known.where("contexts = 1").select("gram", "hi", "lo", F.array(F.lit(0), "windows").alias("runs"))
+        own = own.unionByName(merge(known.where((F.col("contexts") > 1) & (F.col("contexts") <= GROUP))))
+        back = parts.select("g0", "h0", "l0", "shift", "gram", "hi", "lo").join(own, ["gram", "hi", "lo"])
+        back = back.select(F.col("g0").alias("gram"), F.col("h0").alias("hi"), F.col("l0").alias("lo"), F.transform("runs", lambda p: p + F.col("shift")).alias("runs"))
+        found = found.unionByName(back)
+        parts = parts.join(sizes.where(F.col("contexts") > GROUP).select("gram"), "gram").select("g0", "h0", "l0", "shift", "windows", "off", "copies", "least", "most", "context")
+    return found.groupBy("gram", "hi", "lo").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 # --- the operator ------------------------------------------------------------------------
@@ -358,12 +424,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # one context only: it repeats as a whole
     whole = known.where("contexts = 1").select("gram", "hi", "lo", F.array(F.lit(0), "windows").alias("runs"))
     contexts = scratch(contexts_of(rows, known.where("contexts > 1"), window), "contexts")
-    targets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = merged_repeats(sorted_runs(contexts.where(F.col("contexts") <= HOT_CONTEXTS), targets), window, gram)
-    found = whole.unionByName(cold)
-    hot = contexts.where(F.col("contexts") > HOT_CONTEXTS)
-    if not hot.isEmpty():
-        found = found.unionByName(grouped_repeats(hot, window))
+    found = whole.unionByName(resolved(contexts, window, gram))
     found = scratch(found, "found")
     marked = places.select("id", "gram", "hi", "lo", "first").join(found, ["gram", "hi", "lo"])
     marked = marked.select("id", F.transform("runs", lambda p: p + F.col("first")).alias("runs"))
@@ -416,19 +477,23 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text``; all columns and rows stay.
 
-    A character that a cut leaves in part goes as a whole.
+    A character that a cut leaves in part goes as a whole. Null and empty texts stay as they
+    are; doc_id is not read, so rows that repeat one or have none are rows like all others;
+    repeated rows lose what they repeat of each other. An empty table gives an empty table.
     """
-    keyed = numbered(docs, "_id")
-    cuts = scratch(repeated_spans(keyed.select(F.col("_id").alias("id"), "text"), window, gram), "cuts")
     columns = docs.columns
+    key, runs = unused(columns, "row_number"), unused(columns, "runs")
+    keyed = numbered(docs, key)
+    cuts = scratch(repeated_spans(keyed.select(F.col(key).alias("id"), "text"), window, gram), "cuts")
+    cuts = cuts.select(F.col("id").alias(key), F.col("runs").alias(runs))
     at = columns.index("text")
 
     def make():
         def each(batch):
             texts = []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
-                left = np.frombuffer(data, np.uint8)[~removed_mask(len(data), runs, window)].tobytes()
+                left = np.frombuffer(data, np.uint8)[~removed_mask(len(data), found, window)].tobytes()
                 texts.append(left.decode("utf-8", "ignore"))
             arrays = batch.columns[: len(columns)]
             arrays[at] = pa.array(texts, pa.string())
@@ -436,6 +501,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
         return each
 
-    cut = rows_of(keyed, cuts.withColumnRenamed("id", "_id").withColumnRenamed("runs", "_runs"), "_id")
-    changed = arrow_map(cut.select(*docs.columns, "_runs"), make, docs.schema)
-    return keyed.join(cuts.select(F.col("id").alias("_id")), "_id", "left_anti").select(docs.columns).unionByName(changed)
+    changed = arrow_map(rows_of(keyed, cuts, key).select(*every(columns), runs), make, docs.schema)
+    return keyed.join(cuts.select(key), key, "left_anti").select(every(columns)).unionByName(changed)

@@ -92,9 +92,9 @@ def brute_suffix(texts, window=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix(spark, docs, empty, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT_CONTEXTS", hot)
+@pytest.mark.parametrize("group", [suffix.GROUP, 1])
+def test_suffix(spark, docs, empty, group, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", group)
     rows = docs.collect()
     want = defaultdict(set)
     found = brute_suffix([(r.text or "").encode() for r in rows])
@@ -104,7 +104,7 @@ def test_suffix(spark, docs, empty, hot, monkeypatch):
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:] in want[r.doc_id]
-    if hot > 1:
+    if group > 1:
         cut = without_repeats(docs)
         assert cut.columns == docs.columns and cut.count() == len(rows)
         texts = {r.doc_id: f[4].decode("utf-8", "ignore") for r, f in zip(rows, found) if r.text is not None}
@@ -116,7 +116,8 @@ def test_merge_runs():
     rng = random.Random(9)
     for runs in (1, 2, 3, 7):
         made = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 30))) for _ in range(runs)]
-        order, lcps, strings = merge_runs([front_decode(*front_code(r)) for r in made])
+        merged = list(merge_runs([front_decode(*front_code(r)) for r in made]))
+        order, lcps, strings = [m[:2] for m in merged], [m[2] for m in merged], [m[3] for m in merged]
         assert strings == sorted(s for r in made for s in r)
         assert [made[a][b] for a, b in order] == strings
         last = b""
