@@ -32,9 +32,9 @@ HEAD = struct.Struct("<4s4I")
 PERCENTILE = 0.9
 #: Ids after which a segment is closed; a longer document makes a segment by itself.
 SEGMENT_IDS = 1 << 18
-#: Entries of a worker's memo of words, some 40 MB; a full one starts anew and soon has the
+#: Entries of a worker's memo of words, some 80 MB; a full one starts anew and soon has the
 #: frequent words again.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 600_000
 
 
 def _lanes(width: int):
@@ -118,6 +118,9 @@ def decode_segment(data: bytes, start: int = 0, stop: int | None = None) -> np.n
     return out.reshape(-1)[start - b0 * BLOCK : stop - b0 * BLOCK].astype(np.uint32)
 
 
+#: A letter of one or two bytes, and the marks that end its word.
+_MARKS = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([!-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+#: The same where a text may hold an added token, whose own marks must stay.
 _MARK = re.compile(rb"([a-z])([.,:;!?])(?=[ \t-\r]|\Z)")
 
 
@@ -126,8 +129,8 @@ class WordEncoder:
 
     For a tokenizer whose pieces never span white space and whose normalizer maps white
     space to white space, a text's ids are those of its words one after another. Case
-    of ASCII letters doesn't matter to it, and a mark that ends a word after such a letter
-    is a piece by itself. A word of Latin letters is one piece: new ones go to the library
+    of ASCII letters doesn't matter to it, and the marks that end a word after a letter
+    are a piece by themselves. A word of Latin letters is one piece: new ones go to the library
     many in a call, and the ends of their pieces part the ids.
     """
 
@@ -172,16 +175,19 @@ class WordEncoder:
         if not text:
             return []
         data = text.encode()
-        return _MARK.sub(rb"\1 \2", data if b"<|" in data else data.lower()).split()
+        if b"<|" in data:
+            return _MARK.sub(rb"\1 \2", data).split()
+        return _MARKS.sub(rb"\1 \2", data.lower()).split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         memo, out = self.memo, []
         for k in range(0, len(texts), 256):  # so many texts share the library's calls
             some = [self.words(t) for t in texts[k : k + 256]]
-            new = {w for ws in some for w in ws if w not in memo}
+            every = set().union(*some)
+            new = every.difference(memo)
             if len(memo) + len(new) > MEMO_ENTRIES:
                 memo.clear()
-                new = {w for ws in some for w in ws}
+                new = every
             self.learn(list(new))
             out += [b"".join(map(memo.__getitem__, ws)) for ws in some]
         return out
