@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_map, batch_of, scratch, words_of
+from .common import arrow_map, batch_of, every, scratch, unused, words_of
 
 #: Documents of a source that share a bucket of keys; one task sorts one bucket.
 BUCKET_ROWS = 512
@@ -100,8 +100,11 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1, 2
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
 
-    doc_id is the key; rows that repeat one get that id's largest number of copies.
+    doc_id is the key, null included; rows that repeat one get that id's largest number of
+    copies. Rows without words are never taken. An empty table gives an empty table.
     """
-    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.alias("d").join(taken.alias("t"), F.expr("d.doc_id <=> t.doc_id"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("t._copies").cast("int")))).select("d.*")
+    columns = docs.columns
+    copies, turn, key = (unused(columns, c) for c in ("copies", "turn", "key"))
+    taken = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(every(columns))

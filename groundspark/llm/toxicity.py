@@ -250,13 +250,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
     """(text, toxic, doc_id) of at most so many labelled toxic and clean documents.
 
     Only rows whose crc32 of the doc_id as text leaves a remainder other than 2 by 4 are
-    ever read for labels. Which rows, a hash of doc_id decides.
+    ever read for labels. Which rows, a hash of doc_id decides. Null doc_ids and labels
+    other than 0 and 1 are passed over; an id labelled twice counts as toxic if either
+    label says so; of rows that repeat a doc_id the least text stands for all, so the
+    bounds hold for what reaches the driver. Empty tables give an empty list.
     """
     allowed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(allowed).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
     picked = pick(1, toxic_rows).unionByName(pick(0, clean_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     return sorted(((r["text"], int(r["toxic"]), r["doc_id"]) for r in rows), key=lambda r: (r[2], r[0] or ""))
 
 
@@ -323,7 +326,12 @@ def _evidence(model: Field, memo: dict):
 
 
 def without_toxic(docs: DataFrame, model: Field, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns.
+
+    Only text is read: null and empty texts hold no evidence and stay, rows that repeat a
+    doc_id or have none are judged by their texts, repeated rows alike. A score that equals
+    the threshold rejects. An empty table gives an empty table.
+    """
 
     at = docs.columns.index("text")
 
