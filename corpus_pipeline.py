@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.llm import bpe, minhash, mixing, suffix, toxicity
-from groundspark.llm.common import numbered, scratch
+from groundspark.llm.common import every, numbered, scratch, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score reaches 0.3 go."""
+    """Documents whose toxicity score reaches 0.3 go.
+
+    Null and empty texts stay; rows are judged by their texts, whatever their doc_id; an
+    empty table gives an empty table; without labels of both kinds nothing goes.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
@@ -23,31 +27,44 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row of each near-duplicate group stays: of the smallest doc_id, null last.
 
     Rows are told apart by a number, so rows that repeat a doc_id or have none are judged by
-    their texts like all others. Rows without a word stay.
+    their texts like all others; of equal rows one stays. Rows without a word, null texts
+    included, stay. An empty table gives an empty table.
     """
-    rows = numbered(docs)
-    groups = minhash.minhash_groups(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
-    groups = groups.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    several = groups.groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select("_group")
-    members = rows.select("_row", "doc_id").join(scratch(groups.join(several, "_group"), "members"), "_row")
+    row, group = unused(docs.columns, "row_number"), unused(docs.columns, "group_number")
+    rows = numbered(docs, row)
+    groups = minhash.minhash_groups(rows.select(F.col(row).alias("doc_id"), "text"), k=5, percent=80)
+    groups = groups.where("n_shingles > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    several = groups.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group)
+    members = rows.select(row, "doc_id").join(scratch(groups.join(several, group), "members"), row)
     members = scratch(members, "ids")
-    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "_row"))["_row"].alias("_row"))
-    dropped = members.select("_row").join(first.select("_row"), "_row", "left_anti")
-    return rows.join(scratch(dropped, "dropped"), "_row", "left_anti").select(docs.columns)
+    first = members.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", row))[row].alias(row))
+    dropped = members.select(row).join(first.select(row), row, "left_anti")
+    return rows.join(scratch(dropped, "dropped"), row, "left_anti").select(every(docs.columns))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes or more that repeat leave the texts; documents stay."""
+    """Strings of 200 bytes or more that repeat leave the texts; documents stay.
+
+    Each row is a text of its own; null and empty texts stay as they are; an empty table
+    gives an empty table.
+    """
     return suffix.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as the mix takes it."""
+    """Sources at their target weights: a document comes as often as the mix takes it.
+
+    Null sources are one source, null doc_ids one id; rows without a word are not taken; an
+    empty table gives an empty table.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix, with the digests of ids and decoded text."""
+    """Token ids of each document of the mix, with the digests of ids and decoded text.
+
+    One row a row, repeats and null doc_ids included; a null text has no tokens.
+    """
     import public_tokenizers
 
     return bpe.encode_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
