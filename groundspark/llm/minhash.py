@@ -6,9 +6,9 @@ coordinate, ranks it. The ranks of a shingle under all shifts lie side by side i
 so a signature is the minimum of as many slices as the text has shingles. Bands of
 coordinates propose buckets; every link is confirmed on the full shingle sets.
 
-A bucket's members are held against its smallest one. Where that leaves a bucket in
-several components, its members may hold links that avoid the smallest, and all its pairs
-would grow with its square. There two texts of different components can only link if they
+A bucket's members are held against the one of them that shares buckets with the most
+others. Where that leaves a bucket in several components, its members may hold links that
+avoid that one, and all its pairs would grow with its square. There two texts of different components can only link if they
 share one of the rarest shingles of each, early enough that the rest can still reach the
 threshold; only such pairs are made, and none that links is missed.
 """
@@ -203,7 +203,7 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool =
 
     docs: doc_id, text; other columns are not read. Texts with equal shingle sets form a
     class, which takes part once, as its smallest doc_id. Each class is first held
-    against the smallest of every band bucket it is in; the members of buckets that still
+    against the lead of every band bucket it is in; the members of buckets that still
     span several components meet by their rarest shingles (``rare_pairs``). No partner is
     capped, and no pairs within a component are made. Null and empty texts have no
     shingles and are linked with nothing; a null doc_id is kept. Repeated rows get the
@@ -214,14 +214,19 @@ def minhash_groups(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool =
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = scratch(classes, "classes")
     exploded = classes.select("id", F.explode("bands").alias("bucket"))
-    leads = exploded.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
-    members = scratch(exploded.join(leads, "bucket"), "members")
-    tried = scratch(members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
+    sizes = exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch(exploded.join(sizes, "bucket"), "members")
+    # the member that shares its buckets with the most others lies nearest the group's middle
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    leads = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id"))["id"].alias("lead"))
+    tried = members.join(leads, "bucket").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    tried = scratch(tried.distinct(), "tried")
     links = scratch(confirmed(docs, tried, k, percent, lower), "links")
     found = components(links)
     own = scratch(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c")), "own")
     mixed = own.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
     rest = scratch(own.join(mixed, "bucket").select("id", "c").distinct(), "open")
+    tried = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = scratch(rare_pairs(docs, rest, k, percent, lower).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = scratch(confirmed(docs, pairs, k, percent, lower), "more")
     found = components(links.unionByName(more))
