@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -94,17 +95,32 @@ def arrow_map(df: DataFrame, make, schema) -> DataFrame:
     PART_BYTES. The built function may have an attribute ``finish`` giving last batches.
     """
 
+    names = df.columns
+
     def run(batches):
         each = make()
         for batch in batches:
+            batch = batch_of(names, batch.columns)
             n = batch.num_rows
             step = max(1, min(PART_ROWS, n * PART_BYTES // max(1, batch.nbytes)))
             for k in range(0, n, step):
                 yield from each(batch.slice(k, step))
         if hasattr(each, "finish"):
             yield from each.finish()
+        del each
+        free_memory()
+
+    # mapInArrow looks columns up by name, which a dot in one would mislead
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+
 
-    return df.mapInArrow(run, schema)
+def free_memory() -> None:
+    """Give what a task has freed back to the system; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it keeps the pages
+        pass
 
 
 def batch_of(names: list[str], arrays: list) -> pa.RecordBatch:
@@ -191,19 +207,27 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
 FILTER_WORDS = 1 << 17
 
 
-def rows_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is in ``ids``, with distinct keys there, and its other columns.
+def divided(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose key is surely not in ``ids``; and the others with the further
+    columns of ``ids``, null where the key isn't there either. Keys are distinct in ``ids``.
 
     A bitmap of hashed keys, of FILTER_WORDS words however many keys there are, is
-    broadcast first, so most rows that are not asked for never enter the shuffle; the
-    join after it is exact. No column of ``docs`` but the key may be one of ``ids``.
+    broadcast, so most rows that are not asked for never enter the shuffle; the join of the
+    others is exact. No column of ``docs`` but the key may be one of ``ids``.
     """
     bit = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(FILTER_WORDS * 64))
     word, mask = F.shiftright(bit, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
     at, bits = unused(docs.columns, "word"), unused(docs.columns, "bits")
     bitmap = ids.select(word.alias(at), mask.alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
-    rows = docs.join(F.broadcast(bitmap), word == F.col(at)).where(F.col(bits).bitwiseAND(mask) != 0)
-    return rows.select(every(docs.columns)).join(ids, key)
+    rows = docs.join(F.broadcast(bitmap), word == F.col(at), "left")
+    found = F.coalesce(F.col(bits).bitwiseAND(mask) != 0, F.lit(False))
+    return rows.where(~found).select(every(docs.columns)), rows.where(found).select(every(docs.columns)).join(ids, key, "left")
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key is in ``ids``, with its further columns (see ``divided``)."""
+    there = unused([*docs.columns, *ids.columns], "there")
+    return divided(docs, ids.withColumn(there, F.lit(True)), key)[1].where(F.col(there)).drop(there)
 
 
 def by_runs(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import arrow_map, batch_of, every, numbered, rows_of, scratch, unused
+from .common import arrow_map, batch_of, divided, every, numbered, rows_of, scratch, unused
 from .minhash import _ODD, mix64
-from .substring import estimated_repeated, runs_of, sketch
+from .substring import cell_bits, estimated_repeated, runs_of, sketch
 
 WINDOW, GRAM = 200, 32
 #: Bytes of documents that are handled at once.
@@ -42,7 +42,7 @@ GROUP = 4096
 #: Contexts that a range of the order holds by its mean.
 RANGE = 16_384
 #: Suffixes of a run.
-RUN = 1 << 16
+RUN = 1 << 14
 
 
 # --- sorted runs ---------------------------------------------------------------------
@@ -415,7 +415,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     rows: id (long, no two alike), text.
     """
     spark = rows.sparkSession
-    bitmaps = spark.sparkContext.broadcast(sketch(rows, byte_anchor_hashes(window, gram)))
+    bitmaps = spark.sparkContext.broadcast(sketch(rows, byte_anchor_hashes(window, gram), cell_bits(rows, 1, window, gram)))
     places = scratch(occurrences(rows, bitmaps, window, gram), "places")
     classes = places.groupBy("gram", "hi", "lo").agg(F.count("*").alias("copies"), F.min(F.struct("id", "first", "windows", "off")).alias("at"))
     classes = scratch(classes.select("gram", "hi", "lo", "copies", "at.*"), "classes")
@@ -469,9 +469,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
         return each
 
-    cut = arrow_map(rows_of(rows, cuts, "id").select("id", "doc_id", "text", "runs"), make, schema)
-    out = arrow_map(rows.select("id", "doc_id", "text"), make, schema).join(cuts.select("id"), "id", "left_anti").unionByName(cut)
-    return out.select(names[1:])
+    apart, maybe = divided(rows, cuts, "id")
+    whole, cut = arrow_map(apart.select("id", "doc_id", "text"), make, schema), arrow_map(maybe.select("id", "doc_id", "text", "runs"), make, schema)
+    return whole.unionByName(cut).select(names[1:])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -492,14 +492,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         def each(batch):
             texts = []
             for text, found in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
-                left = np.frombuffer(data, np.uint8)[~removed_mask(len(data), found, window)].tobytes()
-                texts.append(left.decode("utf-8", "ignore"))
+                if found:
+                    data = text.encode("utf-8", "surrogatepass")
+                    left = np.frombuffer(data, np.uint8)[~removed_mask(len(data), found, window)].tobytes()
+                    text = left.decode("utf-8", "ignore")
+                texts.append(text)
             arrays = batch.columns[: len(columns)]
             arrays[at] = pa.array(texts, pa.string())
             yield batch_of(columns, arrays)
 
         return each
 
-    changed = arrow_map(rows_of(keyed, cuts, key).select(*every(columns), runs), make, docs.schema)
-    return keyed.join(cuts.select(key), key, "left_anti").select(every(columns)).unionByName(changed)
+    apart, maybe = divided(keyed, cuts, key)
+    return apart.select(every(columns)).unionByName(arrow_map(maybe.select(*every(columns), runs), make, docs.schema))
