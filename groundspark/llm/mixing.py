@@ -79,7 +79,9 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[float, ...] = (1, 2
     """
     sized = scratch(measured(docs), "sized")
     sources = scratch(source_targets(sized, max_epochs, weights), "sources")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    # 52 bits of a hash that any engine has
+    digest = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed))).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = sized.select("doc_id", F.col("source").alias("s"), "size", (-F.log(u) / F.col("weight")).alias("key"))
     rows = rows.join(sources, F.col("s").eqNullSafe(F.col("source")))
     buckets = F.ceil(F.col("n") / F.lit(BUCKET_ROWS))

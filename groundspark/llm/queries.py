@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _tokenizer(name: str) -> str:
@@ -74,4 +75,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_files, op3_mixing, op4_sharding, op5_vectors, op6_toxicity, op7_minhash, op8_suffix, op9_substring, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
