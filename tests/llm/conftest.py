@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, id string, runs string, copies string"
+#: Names that operators use for columns of their own, or might.
+CLASHES = "size shard id runs copies _id _b _word _bits _runs _copy row row_number group_number gone word bits there turn key hi lo gram first a.b".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 
 
@@ -26,7 +28,7 @@ def corpus():
     rows += [(70, None, "a"), (71, "", None), (72, "   \n\t ", "a"), (73, "x", None), (74, "word " * 400, "b"), (75, "é" * 500 + "\n" + "é" * 500, "b"), (76, "<|endoftext|> & $$ # 中文 😀\n\nline\nline\n", "c"), (None, "null id text " * 30, "c")]
     rows += [rows[5], rows[5], rows[41]]  # repeated rows
     rows.append((80, prose(rng, 20000), "a"))
-    return [(i, t, "en", s, 1, "clash", "clash", "clash", "clash", "clash") for i, t, s in rows]
+    return [(i, t, "en", s, 1, *["clash"] * len(CLASHES)) for i, t, s in rows]
 
 
 @pytest.fixture(scope="session")

@@ -191,3 +191,68 @@ def test_minhash_at_a_low_percent(spark):
     df = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, text string")
     got = minhash_groups(df, k=1, percent=40, bands=140, rows=1).collect()
     assert {r.doc_id: r.component_id for r in got} == roots(sets, links)
+
+
+def test_minhash_of_a_large_group_edited_more_and_less(spark):
+    """Three thousand copies of one text, from untouched to changed in a third: no link is lost
+    that joins components, and nothing is joined that doesn't link."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    texts = []
+    for i in range(3000):
+        own = list(base)
+        for _ in range(rng.randrange(22)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(own)
+    sets = [set(zip(t, t[1:])) for t in texts]
+    common = {g: k for k, g in enumerate(g for g, n in Counter(g for s in sets for g in s).items() if n > 1)}
+    held = np.zeros((len(sets), len(common)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [common[g] for g in s if g in common]] = 1
+    both, sizes = held @ held.T, np.array([len(s) for s in sets])
+    a, b = np.nonzero(100 * both >= 80 * (sizes[:, None] + sizes[None, :] - both))
+    want = roots(range(len(sets)), [(int(x), int(y)) for x, y in zip(a, b) if x < y])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in minhash_groups(df, k=2).collect()}
+    assert 100 < len(set(want.values())) < 2900
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
+def test_substring_tells_rows_without_an_id_apart(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    passage = words(30)
+    rows = [(None, words(50) + " " + passage), (None, words(3)), (None, None), (4, passage + " " + words(5)), (5, passage), (5, passage), (6, words(400) + " " + passage + " " + words(9) + " " + passage)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(None, 80, 0), (None, 3, 0), (None, 0, 0), (4, 35, 30), (5, 30, 30), (5, 30, 30), (6, 469, 60)])
+
+
+def test_anchors_do_not_depend_on_what_stands_around():
+    from groundspark.llm.anchors import anchors
+
+    rng = np.random.default_rng(8)
+    text = rng.integers(0, 3, 500).astype(np.uint64)
+    alone = anchors(text, np.array([500]), 40, 8)
+    for before in (1, 1000, 70_000):
+        around = rng.integers(0, 3, before).astype(np.uint64)
+        at, index, place, hashes = anchors(np.concatenate([around, text]), np.array([before, 500]), 40, 8)
+        own = at >= before
+        assert (at[own] - before == alone[0]).all() and (place[index[own]] - before == alone[2][alone[1]]).all()
+
+
+def test_the_sketch_loses_no_repeat_when_full(spark):
+    from groundspark.llm import substring
+
+    rng = random.Random(14)
+    texts = [" ".join(f"t{rng.randrange(60)}" for _ in range(400)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
+    bits = substring.sketch(df, substring.anchor_hashes(20, 6), 11)
+    assert all(np.unpackbits(b).mean() > 0.5 for b in bits)
+    from pyspark.sql import functions as F
+
+    rows = df.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("id"), "text")
+    found = substring.contexts(rows, spark.sparkContext.broadcast(bits), 20, 6).where("hi is not null").groupBy("hi", "lo").count().where("count > 1")
+    assert found.count() > 0
+    got = {r.doc_id: r.n_removed for r in substring_dedup(df).collect()}
+    assert all(got[60 + i] == 400 for i in range(20)) and not any(got[i] for i in range(60))

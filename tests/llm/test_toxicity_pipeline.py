@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
-from groundspark.llm.toxicity import Field, features, fit, marginals, score_documents, train, without_toxic
+from groundspark.llm.toxicity import Field, features, fit, fit_chain, marginals, score_documents, train, training_rows, without_toxic
 
 from .conftest import prose
 
@@ -114,3 +114,61 @@ def test_support_counts_all_contexts():
     model = fit(toxic + clean, [1] * 100 + [0] * 500)
     assert model.weights.get("wvilething", 0) > 0
     assert fit(["", "calm words"], [1, 0]).weights == {}
+
+
+def chain_likelihood(weights, bias, start, move, chains, ridge=1e-3):
+    """Penalised log likelihood of labelled chains by all their label sequences."""
+    from itertools import product
+
+    total = -ridge / 2 * (np.sum(weights**2) + np.sum(move**2))
+    for ids, owners, y in chains:
+        u = np.full(len(y), bias)
+        np.add.at(u, owners, weights[ids])
+
+        def score(z):
+            return start[z[0]] + sum(u[i] for i in range(len(z)) if z[i]) + sum(move[z[i - 1], z[i]] for i in range(1, len(z)))
+
+        every = np.array([score(z) for z in product((0, 1), repeat=len(y))])
+        total += score(tuple(y)) - (every.max() + np.log(np.exp(every - every.max()).sum()))
+    return total
+
+
+def test_fit_is_a_maximum():
+    rng = np.random.default_rng(12)
+    chains = []
+    for n in (6, 7, 5, 8, 6, 7):
+        own = np.sort(rng.choice(n, 3, replace=False))
+        ids = rng.integers(0, 3, 3)
+        y = np.zeros(n, np.int8)
+        y[own] = (ids == 0) | (rng.random(3) < 0.3)
+        chains.append((ids, own, y))
+    fitted = fit_chain([c[0] for c in chains], [c[1] for c in chains], [c[2] for c in chains], 3, rounds=3000)
+    best = chain_likelihood(*map(np.asarray, fitted), chains)
+    for _ in range(100):
+        w, b, s, m = (np.asarray(x) + rng.standard_normal(np.shape(x)) * 0.1 for x in fitted)
+        assert chain_likelihood(w, b, s, m, chains) <= best + 1e-2
+
+
+def test_sample_is_bounded_by_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(3, "x"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (4, 0), (None, 1)], "doc_id long, toxic int")
+    rows = training_rows(docs, labels, 2, 2)
+    assert len(rows) == len({r[2] for r in rows}) <= 3 and [r for r in rows if r[2] == 1] in ([("text 0", 1, 1)], [])
+
+
+def test_stages_on_every_awkward_row(spark, docs, empty, tmp_path):
+    """Nulls, repeats, ties, empty and long texts, clashing names; then an empty table."""
+    spark.createDataFrame([(i, 1, int(i % 2)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+            assert all(r["a.b"] == r["_runs"] == r["_copy"] == r["row_number"] == "clash" for r in out.collect())
+        rows = out.count()
+        assert rows > 0
+        if name == "minhash_near_dedup":
+            kept = [(r.doc_id, r.text) for r in out.collect()]
+            assert len([k for k in kept if k[0] == 5]) == 1 and (70, None) in kept and (71, "") in kept
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        now = out
