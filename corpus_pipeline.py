@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.llm import bpe, minhash, mixing, suffix, toxicity
-from groundspark.llm.common import every, numbered, scratch, unused
+from groundspark.llm.common import divided, every, numbered, scratch, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = rows.select(row, "doc_id").join(scratch(groups.join(several, group), "members"), row)
     members = scratch(members, "ids")
     first = members.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", row))[row].alias(row))
-    dropped = members.select(row).join(first.select(row), row, "left_anti")
-    return rows.join(scratch(dropped, "dropped"), row, "left_anti").select(every(docs.columns))
+    gone = unused(rows.columns, "gone")
+    dropped = members.select(row).join(first.select(row), row, "left_anti").withColumn(gone, F.lit(True))
+    apart, maybe = divided(rows, scratch(dropped, "dropped"), row)
+    return apart.select(every(docs.columns)).unionByName(maybe.where(F.col(gone).isNull()).select(every(docs.columns)))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
