@@ -26,6 +26,15 @@ def running_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(v) - width + 1], m[width - s :]) if s < width else m
 
 
+def window_hash(symbols: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the windows that start ``at`` the given places."""
+    total = np.zeros(len(at), np.uint64)
+    step = _ODD[1]
+    for j in range(width):
+        total = (total + symbols[at + j]) * step
+    return mix64(total)
+
+
 def gram_hash(symbols: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of all grams; where ``gram`` is a power of two, by doubling."""
     step = int(_ODD[2])

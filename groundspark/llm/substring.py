@@ -3,10 +3,7 @@
 First pass: each partition sketches its windows, each under its anchor gram (see
 ``anchors``), so a window's estimate is at least its count. The partition sketches are
 merged cell by cell; only the bit "two or more" of each cell is kept. Second pass: windows
-estimated repeated are grouped exactly; no other window can be repeated. The windows of an
-anchor go together, as one context: of equal contexts all but the earliest are repeated
-as a whole, and only where an anchor gram has several different contexts are the windows
-of the earliest of each held against each other, one by one.
+estimated repeated are grouped exactly; no other window can be repeated.
 """
 
 from __future__ import annotations
@@ -18,9 +15,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .anchors import anchors
-from .common import arrow_map, batch_of, divided, numbered, rows_of, scratch, words_of
+from .anchors import anchors, window_hash
+from .common import arrow_map, batch_of, divided, scratch, words_of
 from .minhash import _ODD, mix64
 
 WINDOW, GRAM = 20, 6
@@ -32,8 +30,8 @@ WORD_BYTES = 5.5
 DEPTH, CELLS, LEAST_BITS, MOST_BITS, SEGMENT_BITS = 2, 8, 20, 28, 8
 #: Documents whose words are handled at once.
 CHUNK = 2000
-#: Stands for a null doc_id, which counts as smaller than all others.
-NO_ID = -(1 << 63)
+#: Ids from here on are doc_ids; below stand texts without one, by a hash.
+LEAST_ID = -(1 << 62)
 
 
 def _cells(hashes: np.ndarray, depth: int, cell_bits: int) -> np.ndarray:
@@ -145,112 +143,48 @@ def runs_of(sorted_places: np.ndarray) -> np.ndarray:
     return np.stack([first, last + 1], axis=1).reshape(-1).astype(np.int32)
 
 
-def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    """128-bit digests as two columns."""
-    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy()
+def suspects(docs: DataFrame, bitmaps, window: int, gram: int) -> DataFrame:
+    """Windows estimated repeated. Columns: id, hash, place, runs.
 
-
-def contexts(rows: DataFrame, bitmaps, window: int, gram: int) -> DataFrame:
-    """Contexts of anchors estimated repeated: row, id, gram, hi, lo, first window, windows; runs.
-
-    Of equal contexts in a chunk of documents only the earliest can be the earliest of all:
-    that one is a row with its hash. The others are repeated beyond doubt: they leave, as
-    runs of window starts, one row a document, so a frequent one reaches the shuffle once a
-    chunk.
+    Of equal windows in a chunk of documents only the first can be the first of all: that
+    one is a row with its hash and place. The others are repeated beyond doubt: they
+    leave, as runs of starts, one row a document, so a frequent window reaches the shuffle
+    once a chunk.
     """
-    names = ["row", "id", "gram", "hi", "lo", "first", "windows", "runs"]
+    names = ["id", "hash", "place", "runs"]
 
     def make():
         bits = bitmaps.value
 
         def each(batch):
-            numbers = batch.column(0).to_numpy(zero_copy_only=False)
-            done = 0
-            for ids, words, flat, lengths in _chunks(batch.select([1, 2])):
-                own_rows, done = numbers[done : done + len(ids)], done + len(ids)
+            for ids, words, flat, lengths in _chunks(batch):
                 at, index, _, hashes = anchors(flat, lengths, window, gram)
-                own = np.flatnonzero(estimated_repeated(bits, hashes)) if len(at) else at
-                if not len(own):
+                at = at[estimated_repeated(bits, hashes)[index]] if len(at) else at
+                if not len(at):
                     continue
-                start = np.searchsorted(index, own)
-                count = np.searchsorted(index, own, side="right") - start
                 starts = np.cumsum(lengths) - lengths
-                doc = np.searchsorted(starts, at[start], side="right") - 1
-                place = at[start] - starts[doc]
-                hi, lo = _halves([xxhash.xxh3_128_digest(b" ".join(words[d][p : p + n + window - 1])) for d, p, n in zip(doc.tolist(), place.tolist(), count.tolist())])
-                by = np.lexsort((place, ids[doc], lo, hi))
-                doc, place, count, hi, lo, key = doc[by], place[by], count[by], hi[by], lo[by], hashes[own][by]
-                new = np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+                doc = np.searchsorted(starts, at, side="right") - 1
+                place = at - starts[doc]
+                key = window_hash(flat, at, window)
+                by = np.lexsort((place, ids[doc], key))
+                key, doc, place = key[by], doc[by], place[by]
+                new = np.concatenate([[True], key[1:] != key[:-1]])
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
                 first = (ids[doc] == ids[doc[head]]) & (place == place[head])
-                d, m = doc[first], int(first.sum())
-                yield batch_of(names, [pa.array(own_rows[d]), pa.array(ids[d]), pa.array(key[first].view(np.int64)), pa.array(hi[first]), pa.array(lo[first]), pa.array(place[first].astype(np.int32)), pa.array(count[first].astype(np.int32)), pa.nulls(m, pa.list_(pa.int32()))])
-                doc, place, count = doc[~first], place[~first], count[~first]
+                n = int(first.sum())
+                yield batch_of(names, [pa.array(ids[doc[first]]), pa.array(key[first].view(np.int64)), pa.array(place[first].astype(np.int32)), pa.nulls(n, pa.list_(pa.int32()))])
+                doc, place = doc[~first], place[~first]
                 if len(doc):
                     by = np.lexsort((place, doc))
-                    doc, ends = doc[by], np.stack([place[by], place[by] + count[by]], axis=1).astype(np.int32)
+                    doc, place = doc[by], place[by]
                     cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
-                    runs = [ends[a:b].reshape(-1) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                    m, none = len(runs), pa.nulls(len(runs), pa.int64())
-                    yield batch_of(names, [pa.array(own_rows[doc[cut[:-1]]]), pa.array(ids[doc[cut[:-1]]]), none, none, none, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(runs, pa.list_(pa.int32()))])
+                    runs = [runs_of(place[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    m = len(runs)
+                    yield batch_of(names, [pa.array(ids[doc[cut[:-1]]]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(runs, pa.list_(pa.int32()))])
 
         return each
 
-    return arrow_map(rows.select("row", "id", "text"), make, "row long, id long, gram long, hi long, lo long, first int, windows int, runs array<int>")
-
-
-def window_rows(rows: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """Each window of the asked contexts (row, first, windows): row, id, place, hi, lo."""
-    lists = asked.groupBy("row").agg(F.collect_list(F.struct("first", "windows")).alias("asked"))
-    joined = rows_of(rows, lists, "row").select("row", "id", "text", "asked")
-    names = ["row", "id", "place", "hi", "lo"]
-
-    def make():
-        def each(batch):
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                digests, places, owner = [], [], []
-                for i, (text, own) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
-                    words = words_of(text)
-                    at = [p for x in own for p in range(x["first"], x["first"] + x["windows"])]
-                    digests += [xxhash.xxh3_128_digest(b" ".join(words[p : p + window])) for p in at]
-                    places += at
-                    owner += [i] * len(at)
-                owner = pa.array(owner, pa.int64())
-                hi, lo = _halves(digests)
-                yield batch_of(names, [part.column(0).take(owner), part.column(1).take(owner), pa.array(places, pa.int32()), pa.array(hi), pa.array(lo)])
-
-        return each
-
-    return arrow_map(joined, make, "row long, id long, place int, hi long, lo long")
-
-
-def repeated_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Starts of windows that also start earlier: row, runs = [first, end, first, end, ...].
-
-    rows: row (no two alike), id, text. Earlier means a smaller id, or the same id and a
-    smaller start.
-    """
-    bits = cell_bits(rows, WORD_BYTES, window, gram)
-    bitmaps = rows.sparkSession.sparkContext.broadcast(sketch(rows.select("id", "text"), anchor_hashes(window, gram), bits))
-    found = scratch(contexts(rows, bitmaps, window, gram), "contexts")
-    places = found.where("hi is not null")
-    classes = places.groupBy("gram", "hi", "lo").agg(F.min(F.struct("id", "first")).alias("at"), F.count("*").alias("n"))
-    classes = scratch(classes, "classes")
-    run = lambda first, end: F.array(F.col(first), F.expr(end)).cast("array<int>").alias("runs")
-    contested = classes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram", F.lit(True).alias("contested"))
-    known = classes.join(contested, "gram", "left").where("n > 1 or contested").select("gram", "hi", "lo", "at.id", "at.first", "contested")
-    known = known.withColumnsRenamed({"id": "id0", "first": "first0"})
-    marked = scratch(places.join(known, ["gram", "hi", "lo"]).where("id <> id0 or first <> first0 or contested"), "marked")
-    later = marked.where("id <> id0 or first <> first0").select("row", run("first", "first + windows"))
-    # rows that repeat a doc_id may share the earliest place
-    asked = marked.where("id = id0 and first = first0").select("row", "first", "windows")
-    singles = scratch(window_rows(rows, asked, window), "windows")
-    firsts = singles.groupBy("hi", "lo").agg(F.min(F.struct("id", "place")).alias("at"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", F.col("at.id").alias("id0"), F.col("at.place").alias("place0"))
-    again = singles.join(firsts, ["hi", "lo"]).where("id > id0 or id = id0 and place > place0").select("row", run("place", "place + 1"))
-    cuts = later.unionByName(again).unionByName(found.where("hi is null").select("row", "runs"))
-    return cuts.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return arrow_map(docs, make, "id long, hash long, place int, runs array<int>")
 
 
 def _digest(words: list[bytes]) -> str:
@@ -260,47 +194,54 @@ def _digest(words: list[bytes]) -> str:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """Remove every word under a window whose words also start earlier.
 
-    docs: doc_id (integer), text; other columns are not read. Earlier means a smaller
-    doc_id, or the same document and a smaller start; windows are judged on the input.
-    Returns doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, the kept words
-    joined by spaces. Null and empty texts have no words; a null doc_id counts as smaller
-    than all. Rows that repeat a doc_id are one document given several times: a window is
-    earlier in one of them only by its start. An empty table gives an empty table. Windows
-    and contexts are told apart by 128-bit hashes of their words.
+    docs: doc_id (integer from LEAST_ID on), text; other columns are not read. Earlier means a
+    smaller doc_id, or the same document and a smaller start; windows are judged on the
+    input. Returns doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, the kept words
+    joined by spaces. Null and empty texts have no words; texts with a null doc_id count as
+    smaller than all others, in the order of a hash. doc_id is a key: rows that repeat it are
+    one document given several times and none of them is earlier than another. Windows are
+    grouped by a 64-bit hash. An empty table gives an empty table.
     """
-    rows = numbered(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text"), "row")
-    cuts = scratch(repeated_runs(rows, window, gram), "cuts")
-    names = ["row", "id", "n_words", "n_removed", "kept_sha256", *["kept"] * texts]
-    schema = "row long, id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
-
-    def out_batch(numbers, ids, n, removed, kept):
-        arrays = [numbers, ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(_digest, kept), pa.string())]
-        return batch_of(names, arrays + ([pa.array([b" ".join(k).decode("utf-8", "surrogatepass") for k in kept], pa.string())] if texts else []))
+    none = F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
+    bitmaps = docs.sparkSession.sparkContext.broadcast(sketch(rows, anchor_hashes(window, gram), cell_bits(rows, WORD_BYTES, window, gram)))
+    found = scratch(suspects(rows, bitmaps, window, gram), "suspects")
+    rank = F.rank().over(W.partitionBy("hash").orderBy("id", "place"))
+    later = found.where("hash is not null").select("id", "hash", "place").withColumn("r", rank).where("r > 1")
+    later = later.groupBy("id").agg(F.collect_list("place").alias("places")).select("id", "places", F.lit(None).cast("array<int>").alias("runs"))
+    local = found.where("hash is null").select("id", F.lit(None).cast("array<int>").alias("places"), "runs")
+    cuts = later.unionByName(local).groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("runs")).alias("runs"))
+    cuts = scratch(cuts, "cuts")
+    names = ["id", "n_words", "n_removed", "kept_sha256", *["kept"] * texts]
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
 
     def make():
         def each(batch):
             n, removed, kept = [], [], []
-            lists = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
-            for text, runs in zip(batch.column(2).to_pylist(), lists):
+            blank = [None] * batch.num_rows
+            lists = [batch.column(i).to_pylist() if batch.num_columns > i else blank for i in (2, 3)]
+            for text, places, runs in zip(batch.column(1).to_pylist(), *lists):
                 words = words_of(text)
-                if not runs:
-                    n.append(len(words))
+                n.append(len(words))
+                if not places and not runs:
                     removed.append(0)
                     kept.append(words)
                     continue
                 delta = np.zeros(len(words) + window + 1, np.int32)
-                r = np.array(runs, np.int64)
-                np.add.at(delta, r[0::2], 1)
-                np.add.at(delta, r[1::2] - 1 + window, -1)
+                p = np.array(places or [], np.int64)
+                r = np.array(runs or [], np.int64)
+                starts, ends = np.concatenate([p, r[0::2]]), np.concatenate([p + 1, r[1::2]])
+                own = ends - 1 + window <= len(words)  # rows that repeat a doc_id may be shorter
+                np.add.at(delta, starts[own], 1)
+                np.add.at(delta, ends[own] - 1 + window, -1)
                 gone = np.cumsum(delta)[: len(words)] > 0
-                n.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append([w for w, g in zip(words, gone.tolist()) if not g])
-            yield out_batch(batch.column(0), batch.column(1), n, removed, kept)
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(_digest, kept), pa.string())]
+            yield batch_of(names, arrays + ([pa.array([b" ".join(k).decode("utf-8", "surrogatepass") for k in kept], pa.string())] if texts else []))
 
         return each
 
-    apart, maybe = divided(rows, cuts, "row")
-    whole, cut = arrow_map(apart.select("row", "id", "text"), make, schema), arrow_map(maybe.select("row", "id", "text", "runs"), make, schema)
-    back = F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id")
-    return whole.unionByName(cut).select(back, *names[2:])
+    apart, maybe = divided(rows, cuts, "id")
+    out = arrow_map(apart, make, schema).unionByName(arrow_map(maybe.select("id", "text", "places", "runs"), make, schema))
+    return out.select(F.when(F.col("id") >= LEAST_ID, F.col("id")).alias("doc_id"), *names[1:])

@@ -249,10 +249,7 @@ def test_the_sketch_loses_no_repeat_when_full(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:20])], "doc_id long, text string")
     bits = substring.sketch(df, substring.anchor_hashes(20, 6), 11)
     assert all(np.unpackbits(b).mean() > 0.5 for b in bits)
-    from pyspark.sql import functions as F
-
-    rows = df.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("id"), "text")
-    found = substring.contexts(rows, spark.sparkContext.broadcast(bits), 20, 6).where("hi is not null").groupBy("hi", "lo").count().where("count > 1")
-    assert found.count() > 0
+    found = substring.suspects(df, spark.sparkContext.broadcast(bits), 20, 6).where("hash is not null")
+    assert found.count() > 0.5 * 60 * 381  # most windows pass, repeated or not
     got = {r.doc_id: r.n_removed for r in substring_dedup(df).collect()}
     assert all(got[60 + i] == 400 for i in range(20)) and not any(got[i] for i in range(60))
