@@ -1,53 +1,85 @@
 """Typed entities of a text: money, numbers, percents, dates, quantities and phone numbers.
 
 Each kind has its patterns and a reader that turns a match into a value or refuses it. All
-candidates of a text compete for their spans; one Arrow UDF a text does the whole work.
+candidates of a text compete for their spans; one Arrow UDF a batch of texts does the whole
+work. A reader starts only where the text holds a sign or word that its patterns need.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "array<struct<type:string,text:string,start:int,end:int,num:double,currency:string,unit:string,iso:string,e164:string,source:string>>"
+SCHEMA = "array<struct<type:string,text:string,start:int,end:int,num:double,currency:string,unit:string,iso:string,e164:string,source:string,value:string>>"
 
 # Symbols, codes and names of currencies.
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 CODES = frozenset("USD EUR GBP JPY CAD AUD CHF CNY HKD SGD INR NZD SEK NOK DKK RUB BRL MXN ZAR KRW TWD AED SAR TRY PLN IDR THB MYR PHP ILS".split())
+#: How currencies are called.
 CURRENCY_NAMES = {
-    "USD": "dollar dollars buck bucks usd",
-    "EUR": "euro euros eur",
-    "GBP": "pound pounds quid quids gbp",
-    "JPY": "yen jpy",
-    "CNY": "yuan renminbi cny",
-    "INR": "rupee rupees inr",
-    "KRW": "won krw",
-    "CHF": "franc francs chf",
-    "MXN": "peso pesos mxn",
-    "BRL": "real reais brl",
-    "CAD": "canadian_dollar canadian_dollars cad",
-    "AUD": "australian_dollar australian_dollars aud",
+    "USD": ("dollar", "dollars", "buck", "bucks", "usd"),
+    "EUR": ("euro", "euros", "eur"),
+    "GBP": ("pound", "pounds", "quid", "quids", "gbp"),
+    "JPY": ("yen", "jpy"),
+    "CNY": ("yuan", "renminbi", "cny"),
+    "INR": ("rupee", "rupees", "inr"),
+    "KRW": ("won", "krw"),
+    "CHF": ("franc", "francs", "chf"),
+    "MXN": ("peso", "pesos", "mxn"),
+    "BRL": ("real", "reais", "brl"),
+    "CAD": ("canadian dollar", "canadian dollars", "cad"),
+    "AUD": ("australian dollar", "australian dollars", "aud"),
 }
 MAGNITUDES = {"k": 1e3, "m": 1e6, "b": 1e9, "thousand": 1e3, "million": 1e6, "billion": 1e9}
-# Canonical units and their aliases (an underscore stands for a space).
+#: Units and what they are written as.
 UNITS = {
-    "m": "m meter meters metre metres", "km": "km kilometer kilometers kilometre kilometres", "cm": "cm centimeter centimeters", "mm": "mm millimeter millimeters",
-    "mi": "mi mile miles", "yd": "yd yard yards", "ft": "ft foot feet", "in": "in inch inches",
-    "kg": "kg kilogram kilograms", "g": "g gram grams", "mg": "mg milligram milligrams", "lb": "lb lbs pound pounds", "oz": "oz ounce ounces",
-    "s": "s sec secs second seconds", "ms": "ms millisecond milliseconds", "min": "min mins minute minutes", "h": "h hr hrs hour hours",
-    "d": "day days d", "wk": "week weeks wk", "mo": "month months mo", "yr": "year years yr yrs",
-    "L": "l liter liters litre litres", "mL": "ml milliliter milliliters millilitre millilitres", "gal": "gal gallon gallons", "fl_oz": "floz fl_oz fluid_ounce fluid_ounces",
-    "m^2": "m2 sqm square_meter square_meters", "ft^2": "ft2 sqft square_foot square_feet", "km^2": "km2 square_kilometer square_kilometers", "mi^2": "mi2 square_mile square_miles",
-    "°C": "°c celsius", "°F": "°f fahrenheit", "µm": "µm μm",
-    "KB": "kb kilobyte kilobytes", "MB": "mb megabyte megabytes", "GB": "gb gigabyte gigabytes", "TB": "tb terabyte terabytes",
-    "mAh": "mah", "Wh": "wh", "kWh": "kwh",
-}
+    "m": ("m", "meter", "meters", "metre", "metres"),
+    "km": ("km", "kilometer", "kilometers", "kilometre", "kilometres"),
+    "cm": ("cm", "centimeter", "centimeters"),
+    "mm": ("mm", "millimeter", "millimeters"),
+    "mi": ("mi", "mile", "miles"),
+    "yd": ("yd", "yard", "yards"),
+    "ft": ("ft", "foot", "feet"),
+    "in": ("in", "inch", "inches"),
+    "kg": ("kg", "kilogram", "kilograms"),
+    "g": ("g", "gram", "grams"),
+    "mg": ("mg", "milligram", "milligrams"),
+    "lb": ("lb", "lbs", "pound", "pounds"),
+    "oz": ("oz", "ounce", "ounces"),
+    "s": ("s", "sec", "secs", "second", "seconds"),
+    "ms": ("ms", "millisecond", "milliseconds"),
+    "min": ("min", "mins", "minute", "minutes"),
+    "h": ("h", "hr", "hrs", "hour", "hours"),
+    "d": ("day", "days", "d"),
+    "wk": ("week", "weeks", "wk"),
+    "mo": ("month", "months", "mo"),
+    "yr": ("year", "years", "yr", "yrs"),
+    "L": ("l", "liter", "liters", "litre", "litres"),
+    "mL": ("ml", "milliliter", "milliliters", "millilitre", "millilitres"),
+    "gal": ("gal", "gallon", "gallons"),
+    "fl_oz": ("floz", "fl oz", "fluid ounce", "fluid ounces"),
+    "m^2": ("m2", "sqm", "square meter", "square meters"),
+    "ft^2": ("ft2", "sqft", "square foot", "square feet"),
+    "km^2": ("km2", "square kilometer", "square kilometers"),
+    "mi^2": ("mi2", "square mile", "square miles"),
+    "°C": ("°c", "celsius"),
+    "°F": ("°f", "fahrenheit"),
+    "µm": ("µm", "μm"),
+    "KB": ("kb", "kilobyte", "kilobytes"),
+    "MB": ("mb", "megabyte", "megabytes"),
+    "GB": ("gb", "gigabyte", "gigabytes"),
+    "TB": ("tb", "terabyte", "terabytes"),
+    "mAh": ("mah",),
+    "Wh": ("wh",),
+    "kWh": ("kwh",),
+}
 MONTHS = "january february march april may june july august september october november december".split()
 WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -58,7 +90,7 @@ RANK = {"MONEY": 3, "DATE": 2, "QUANTITY": 1, "PHONE": 1, "PERCENT": 0, "NUMBER"
 #: Strict order of the second pass, which lets no lower kind overlap a higher one.
 ORDER = ("MONEY", "DATE", "QUANTITY", "PHONE", "PERCENT", "NUMBER")
 
-_aliases = lambda table: {a.replace("_", " "): k for k, names in table.items() for a in names.split()}
+_aliases = lambda table: {a: k for k, names in table.items() for a in names}
 _CURRENCY, _UNIT = _aliases(CURRENCY_NAMES), _aliases(UNITS)
 _any = lambda names: "(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + ")"
 _NUMBER_WORDS = {w: i for i, w in enumerate(SMALL)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
@@ -68,6 +100,19 @@ _GROUPED = r"\d{1,3}(?:[, ]\d{3})+(?:\.\d+)?(?!\d)|\d+(?:\.\d+)?"
 _GROUPED_COMPAT = r"\d{1,3}(?:[, ]\d{3})*(?:\.\d+)?|\d+(?:\.\d+)?"
 
 
+#: What a candidate scores for being there, by kind, for a long surface, and at most.
+SURE, SURE_MODEL, SURE_LONG, SURE_MOST = 0.60, 0.50, 0.05, 1.5
+SURE_KIND = {"NUMBER": 0.10, "PHONE": 0.20, "PERCENT": 0.10, "QUANTITY": 0.10}
+#: What the signs of its surface and value add, by kind.
+SURE_SIGNS: dict[str, tuple[tuple[float, Callable], ...]] = {
+    "MONEY": ((0.25, lambda e: any(s in e.text for s in SYMBOLS)), (0.15, lambda e: e.currency), (0.10, lambda e: re.search(r"\d[kmb]\b", e.text, re.I))),
+    "PERCENT": ((0.25, lambda e: "%" in e.text),),
+    "QUANTITY": ((0.30, lambda e: e.unit),),
+    "DATE": ((0.25, lambda e: e.iso), (0.10, lambda e: _MONTH_START.search(e.text)), (0.15, lambda e: re.search(r"\b\d{4}\b", e.text))),
+}
+_MONTH_START = re.compile(rf"\b(?:{'|'.join(n[:3] for n in MONTHS)}|\d{{1,2}}/\d{{1,2}})", re.I)
+
+
 @dataclass(frozen=True)
 class ExtractorConfig:
     """Which kinds to extract, and the day that relative dates count from (null: none are read)."""
@@ -78,6 +123,10 @@ class ExtractorConfig:
     compat: bool = False
     #: Apply the strict second pass.
     suppress: bool = True
+    #: Read a text that is one number as a whole.
+    whole: bool = False
+    #: Gives, once a worker, a function text -> (label, start, end) of a model's spans; null: none.
+    model: Callable[[], Callable] | None = None
 
 
 @dataclass
@@ -96,17 +145,15 @@ class Entity:
     @property
     def score(self) -> float:
         """How sure a candidate is by its surface."""
-        t = self.text
-        bonus = {"NUMBER": 0.10, "PHONE": 0.20, "PERCENT": 0.10, "QUANTITY": 0.10}.get(self.type, 0.0)
-        if self.type == "MONEY":
-            bonus += 0.25 * any(s in t for s in SYMBOLS) + 0.15 * bool(self.currency) + 0.10 * bool(re.search(r"\d\s*[kmb]\b", t, re.I))
-        elif self.type == "PERCENT":
-            bonus += 0.25 * ("%" in t)
-        elif self.type == "QUANTITY":
-            bonus += 0.30 * bool(self.unit)
-        elif self.type == "DATE":
-            bonus += 0.25 * bool(re.search(r"\d{4}-\d\d", t)) + 0.10 * bool(re.search(r"[A-Za-z]{3}|\d/\d", t)) + 0.15 * bool(re.search(r"\d{4}", t))
-        return min(1.5, 0.60 + bonus + 0.05 * (len(t) >= 6))
+        sure = SURE_MODEL if self.source == "model" else SURE
+        sure += SURE_KIND.get(self.type, 0.0) + sum(w for w, sign in SURE_SIGNS.get(self.type, ()) if sign(self))
+        return min(SURE_MOST, sure + SURE_LONG * (len(self.text) >= 6))
+
+    @property
+    def value(self) -> str:
+        """The value as text: amount and currency, number, share, day, quantity or phone number."""
+        made = {"MONEY": f"{self.num}:{self.currency or ''}", "NUMBER": f"{self.num}", "PERCENT": f"{self.num}%", "QUANTITY": f"{self.num}{self.unit}"}
+        return made.get(self.type) or self.iso or self.e164 or self.text
 
 
 def amount(text: str) -> float | None:
@@ -159,36 +206,62 @@ _SPOKEN_MONEY = (
     re.compile(rf"\b(?P<amt>(?:{_GROUPED})|{_WORDS}(?:[-\s]+{_WORDS})*)(?:\s+(?P<mag>thousand|million|billion))?\s+(?P<cur>{_any(_CURRENCY)})\b", re.I),
     re.compile(rf"\b(?P<cur>{_any(_CURRENCY)})\s+(?P<amt>{_GROUPED})(?:\s+(?P<mag>thousand|million|billion))?\b", re.I),
 )
-_QUANTITY = re.compile(rf"(?P<v>[-+]?(?:\d+(?:[, ]\d{{3}})*(?:\.\d+)?|\.\d+))\s*(?P<u>{_any(_UNIT)})\.?(?![A-Za-z-])", re.I)
+#: What may stand after a percent sign, and a plain number with its magnitude.
+_AFTER_PERCENT = r"(?=\s|[.,;:!?)]|$)"
+_PERCENT = re.compile(rf"(?<!\S)(?P<open>\(?)\s*(?P<share>[-+]?\d+(?:\.\d+)?)(?P<inner>\)?)\s*%(?P<outer>\)?){_AFTER_PERCENT}")
+_PLAIN = re.compile(r"\b[-+]?\d+(?:\.\d+)?\s*[kmb]?\b", re.I)
+_QUANTITY = re.compile(rf"(?P<v>[-+]?(?:\d+(?:[, ]\d{{3}})*(?:\.\d+)?|\.\d+))\s*(?=[a-zµμ°])(?P<u>{_any(_UNIT)})\.?(?![A-Za-z-])", re.I)
+
+
+class Signs:
+    """What a text holds at all, looked up once for all readers."""
+
+    def __init__(self, text: str):
+        self.digit = re.search(r"\d", text) is not None
+        self.words = frozenset(re.findall(r"[^\W\d_]+", text.lower()))
+        self.symbol = any(s in text for s in SYMBOLS)
 
 
-def _money(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    for source, pattern in _MONEY[config.compat]:
+_LAST = lambda names: frozenset(n.split()[-1] for n in names)
+_CURRENCY_WORDS, _COUNT_WORDS = _LAST(_CURRENCY), frozenset([*_NUMBER_WORDS, "hundred", "thousand", "million", "billion", "and"])
+
+
+def _money(text: str, config: ExtractorConfig, signs: Signs) -> Iterator[Entity]:
+    for source, pattern in _MONEY[config.compat] if signs.digit else ():
+        if not (signs.symbol if "symbol" in source else re.search("[A-Z]{3}", text)):
+            continue
         for m in pattern.finditer(text):
             currency = SYMBOLS.get(m["cur"]) or (m["cur"] if m["cur"] in CODES else None)
             num = amount(m["amt"] + (m["mag"] or "").strip())
             if currency and num is not None:
                 yield Entity("MONEY", m[0], m.start(), m.end(), -num if m.groupdict().get("sign") == "-" else num, currency, source=source)
-    for pattern in _SPOKEN_MONEY:
+    for pattern in _SPOKEN_MONEY if signs.words & _CURRENCY_WORDS else ():
         for m in pattern.finditer(text):
             num = amount(m["amt"]) if m["amt"][0].isdigit() else number_words(m["amt"])
             if num is not None:
                 yield Entity("MONEY", m[0], m.start(), m.end(), num * MAGNITUDES.get((m["mag"] or "").lower(), 1.0), _CURRENCY[re.sub(r"\s+", " ", m["cur"].lower())], source="money-words")
 
 
-def _percent(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    for m in re.finditer(r"(?<!\S)(?P<o>\(?)\s*(?P<n>[-+]?\d+(?:\.\d+)?)(?P<c>\)?)\s*%(?P<d>\)?)(?=\s|[.,;:!?)]|$)", text):
-        if (m["o"] == "(") == bool(m["c"] or m["d"]) or m["o"] == "" and m["d"]:
-            end = m.end() - (m["o"] == "" and bool(m["d"]))
-            num = float(m["n"])
-            yield Entity("PERCENT", text[m.start() : end], m.start(), end, -abs(num) if m["o"] else num, source="percent")
+def _percent(text: str, config: ExtractorConfig, signs: Signs) -> Iterator[Entity]:
+    if "%" not in text or not signs.digit:
+        return
+    for m in _PERCENT.finditer(text):
+        opened, closed = m["open"] != "", m["inner"] != "" or m["outer"] != ""
+        if opened != closed and not (not opened and m["outer"] and not m["inner"]):
+            continue
+        # a bracket that closes what stands before is not the percent's own
+        end = m.end() - (not opened and m["outer"] != "")
+        share = float(m["share"])
+        yield Entity("PERCENT", text[m.start() : end], m.start(), end, -abs(share) if opened else share, source="percent")
 
 
-def _number(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    for m in re.finditer(r"\b[-+]?\d+(?:\.\d+)?\s*[kKmMbB]?\b", text):
+def _number(text: str, config: ExtractorConfig, signs: Signs) -> Iterator[Entity]:
+    if config.whole and re.fullmatch(r"\s*\d[\d,]*\s*", text):
+        yield Entity("NUMBER", text, 0, len(text), float(text.replace(",", "")), source="number-parser")
+    for m in _PLAIN.finditer(text) if signs.digit else ():
         if (num := amount(m[0])) is not None:
             yield Entity("NUMBER", m[0], m.start(), m.end(), num, source="number")
-    for m in _NUMBER_RUN.finditer(text):
+    for m in _NUMBER_RUN.finditer(text) if signs.words & _COUNT_WORDS else ():
         if (num := number_words(m[0])) is None:
             continue
         yield Entity("NUMBER", m[0], m.start(), m.end(), num, source="number-words")
@@ -201,8 +274,8 @@ def _number(text: str, config: ExtractorConfig) -> Iterator[Entity]:
                     break
 
 
-def _quantity(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    for m in _QUANTITY.finditer(text):
+def _quantity(text: str, config: ExtractorConfig, signs: Signs) -> Iterator[Entity]:
+    for m in _QUANTITY.finditer(text) if signs.digit else ():
         unit = _UNIT.get(m["u"].lower())
         if unit:
             yield Entity("QUANTITY", m[0].strip(), m.start(), m.end(), float(m["v"].replace(",", "").replace(" ", "")), unit=unit, source="quantity")
@@ -232,7 +305,13 @@ def _month(m: re.Match) -> int:
     return next(i for i, n in enumerate(MONTHS, 1) if n.startswith(m["mo"].lower()[:3]))
 
 
-def _date(text: str, config: ExtractorConfig) -> Iterator[Entity]:
+_DAY_WORDS = frozenset(["today", "tomorrow", "yesterday", *WEEKDAYS])
+
+
+def _date(text: str, config: ExtractorConfig, signs: Signs) -> Iterator[Entity]:
+    if not (signs.digit or signs.words & _DAY_WORDS):
+        return
+
     def iso(y, mo=1, d=1) -> str | None:
         try:
             return dt.date(int(y), int(mo), int(d)).isoformat()
@@ -267,33 +346,59 @@ def _date(text: str, config: ExtractorConfig) -> Iterator[Entity]:
                 yield made(m, value, source)
 
 
-def _phone(text: str, config: ExtractorConfig) -> Iterator[Entity]:
-    for m in re.finditer(r"(?<![\w+])(?:\+?(?P<c>\d{1,3})[\s.-]?)?\(?(?P<a>[2-9]\d{2})\)?[\s.-]?(?P<x>[2-9]\d{2})[\s.-]?(?P<l>\d{4})(?!\w)", text):
+def _phone(text: str, config: ExtractorConfig, signs: Signs) -> Iterator[Entity]:
+    for m in () if not signs.digit else re.finditer(r"(?<![\w+])(?:\+?(?P<c>\d{1,3})[\s.-]?)?\(?(?P<a>[2-9]\d{2})\)?[\s.-]?(?P<x>[2-9]\d{2})[\s.-]?(?P<l>\d{4})(?!\w)", text):
         yield Entity("PHONE", m[0], m.start(), m.end(), e164=f"+{m['c'] or '1'}{m['a']}{m['x']}{m['l']}", source="phone")
 
 
 READERS = {"MONEY": _money, "DATE": _date, "QUANTITY": _quantity, "PHONE": _phone, "PERCENT": _percent, "NUMBER": _number}
 
 
+def _model_spans(text: str, config: ExtractorConfig) -> Iterator[Entity]:
+    """Candidates from a model's labelled spans, each read again by the readers above."""
+    kinds = {"MONEY": "MONEY", "PERCENT": "PERCENT", "DATE": "DATE", "QUANTITY": "QUANTITY", "CARDINAL": "NUMBER", "ORDINAL": "NUMBER"}
+    for label, start, end in _loaded(config.model)(text):
+        kind = kinds.get(label.upper())
+        if kind not in config.types:
+            continue
+        if kind == "DATE" and re.fullmatch(r"[A-Za-z]+\s+\d{4}", text[start:end]):
+            # a month and year may have lost the day to their left
+            if m := re.search(r"\d{1,2}(?:st|nd|rd|th)?\s+(?:of\s+)?$", text[max(0, start - 12) : start], re.I):
+                start -= len(m[0])
+        part = text[start:end]
+        found = next(READERS[kind](part, config, Signs(part)), None)
+        if found:
+            yield Entity(kind, found.text if kind == "PERCENT" else part, start, end, found.num, found.currency, found.unit, found.iso, found.e164, "model")
+
+
+@lru_cache(maxsize=4)
+def _loaded(load: Callable) -> Callable:
+    return load()
+
+
 def resolve(candidates: list[Entity]) -> list[Entity]:
-    """Greedy by start: against the first kept one that it overlaps, a newcomer of higher
-    rank, or of equal rank and better score, takes its place; any other goes."""
-    kept: list[Entity] = []
-    for c in sorted(candidates, key=lambda e: (e.start, -RANK[e.type], -e.score, e.start - e.end)):
-        at = next((i for i, k in enumerate(kept) if c.start < k.end and k.start < c.end), None)
+    """Greedy by start. A newcomer is held against the kept ones that it overlaps, in turn: of
+    higher rank, or of equal rank and better score, it takes that one's place; otherwise it
+    goes. Number words and their tail stand beside each other, so the next one decides. On
+    equal scores a reader's candidate beats a model's."""
+    kept: list[tuple] = []
+    scored = [(RANK[e.type], round(e.score, 9), e.source != "model", e) for e in candidates]
+    scored.sort(key=lambda x: (x[3].start, -x[0], -x[1], not x[2], x[3].start - x[3].end))
+    for own in scored:
+        c = own[3]
+        rivals = (i for i, (*_, k) in enumerate(kept) if c.start < k.end and k.start < c.end and {k.source, c.source} != {"number-words", "number-words-tail"})
+        at = next(rivals, None)
         if at is None:
-            kept.append(c)
-            continue
-        k = kept[at]
-        if {k.source, c.source} == {"number-words", "number-words-tail"}:
-            kept.append(c)
-        elif (RANK[c.type], round(c.score, 9)) > (RANK[k.type], round(k.score, 9)):
-            kept[at] = c
-    return kept
+            kept.append(own)
+        elif own[:3] > kept[at][:3]:
+            kept[at] = own
+    return [own[3] for own in kept]
 
 
 def suppressed(entities: list[Entity]) -> list[Entity]:
     """No entity that overlaps one of a kind earlier in ORDER, in the order of the text."""
+    if len(entities) < 2:
+        return entities
     kept: list[Entity] = []
     for e in sorted(entities, key=lambda e: (ORDER.index(e.type), e.start)):
         if not any(ORDER.index(k.type) < ORDER.index(e.type) and e.start < k.end and k.start < e.end for k in kept):
@@ -305,22 +410,52 @@ def extract(text: str | None, config: ExtractorConfig = ExtractorConfig()) -> li
     """Entities of one text; none for a null or blank one."""
     if not text or not text.strip():
         return []
-    found = [e for t, read in READERS.items() if t in config.types for e in read(text, config)]
+    signs = Signs(text)
+    found = [e for t, read in READERS.items() if t in config.types for e in read(text, config, signs)]
     outer = [(e.start, e.end) for e in found if e.type in ("MONEY", "DATE", "QUANTITY", "PHONE")]
     found = [e for e in found if e.type not in ("NUMBER", "PERCENT") or not any(s <= e.start and e.end <= t for s, t in outer)]
-    found = resolve(found)
+    if config.model is not None:
+        found += _model_spans(text, config)
+    found = resolve(found) if len(found) > 1 else found
     return suppressed(found) if config.suppress else sorted(found, key=lambda e: (e.start, e.end))
 
 
+_FIELDS = [("type", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("num", pa.float64()), ("currency", pa.string()), ("unit", pa.string()), ("iso", pa.string()), ("e164", pa.string()), ("source", pa.string()), ("value", pa.string())]
+
+
+def _lists(found: list[list[Entity]]) -> pa.Array:
+    flat = [e for own in found for e in own]
+    columns = [pa.array([getattr(e, name) for e in flat], kind) for name, kind in _FIELDS]
+    offsets = [0]
+    for own in found:
+        offsets.append(offsets[-1] + len(own))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in _FIELDS]))
+
+
 def entities_of(text: Column, config: ExtractorConfig = ExtractorConfig()) -> Column:
     """Entities of a text column as an array of structs (see SCHEMA)."""
 
-    @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [vars(e) for e in extract(t, config)])
+    @F.arrow_udf(SCHEMA)
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists([extract(t, config) for t in texts.to_pylist()])
 
     return run(text)
 
 
+def entities_of_all(texts: Column, config: ExtractorConfig = ExtractorConfig()) -> Column:
+    """Entities of an array of texts, one text after another; places count within each text."""
+
+    @F.arrow_udf(SCHEMA)
+    def run(lists: pa.Array) -> pa.Array:
+        return _lists([[e for t in own or () for e in extract(t, config)] for own in lists.to_pylist()])
+
+    return run(texts)
+
+
+def canonical_date(iso: Column) -> Column:
+    """The day of an ISO date or time."""
+    return F.split_part(iso, F.lit("T"), F.lit(1))
+
+
 def with_entities(df: DataFrame, column: str, out: str = "entities", config: ExtractorConfig = ExtractorConfig()) -> DataFrame:
     return df.withColumn(out, entities_of(F.col(column), config))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +57,36 @@ def informative(term: Column) -> Column:
     return ~term.isin("", "$", "%", *STOPWORDS) & ~term.rlike(r"^\p{Nd}+$")
 
 
+#: The same tokens for Python's patterns.
+_TOKEN = re.compile(r"\w(?:[\w$%.\-]*\w)?")
+
+
+def token_spans(text: Column) -> Column:
+    """Raw tokens of a text with their places: array of (token, start, end); null gives none.
+
+    Catalyst has no function that gives the places of all matches, so this runs in Arrow batches.
+    """
+
+    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = [[(m[0], *m.span()) for m in _TOKEN.finditer(t or "")] for t in texts.to_pylist()]
+        made = [[{"token": t, "start": a, "end": b} for t, a, b in own] for own in found]
+        return pa.array(made, pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
+
+    return run(text)
+
+
+def informative_of(spans: Column) -> Column:
+    """The informative ones of ``token_spans``: array of (term, start, end, surface)."""
+    each = F.transform(spans, lambda t: F.struct(lemma(t["token"]).alias("term"), t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("surface")))
+    return F.filter(each, lambda t: informative(t["term"]))
+
+
+def informative_spans(text: Column) -> Column:
+    """Informative terms of a text with their places."""
+    return informative_of(token_spans(text))
+
+
 def sentences(text: Column) -> Column:
     """Sentences of a text without outer white space; none for a blank text."""
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), SENTENCE_GAP)

@@ -44,19 +44,58 @@ def feature_correlations(rows: DataFrame, features: list[str], y: str = "y") ->
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"f{i}").alias("r")) for i, f in enumerate(features)])))
 
 
-def correlated_pairs(rows: DataFrame, features: list[str], least: float = 0.9, most_features: int = 200) -> DataFrame:
-    """Pairs of features with |r| of ``least`` or more; none beyond ``most_features`` features."""
-    names = features if len(features) <= most_features else []
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    if not pairs:
+#: Features beyond which pairs are not made by default: 20,000 pairs.
+MOST_FEATURES = 200
+
+
+def correlated_pairs(rows: DataFrame, features: list[str], least: float = 0.9, most_features: int = MOST_FEATURES) -> DataFrame:
+    """Pairs of features with |r| of ``least`` or more, by one pass over a matrix of sums.
+
+    More than ``most_features`` features are refused: pairs grow with their square.
+    """
+    if len(features) > most_features:
+        raise ValueError(f"{len(features)} features make too many pairs; raise most_features above {most_features}")
+    if len(features) < 2:
         return rows.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
-    one = rows.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    table = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-    return one.select(F.inline(table)).where(F.abs("r") >= least)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    flat = rows.select(*[F.coalesce(F.col(f"`{f}`").cast("double"), F.lit(0.0)).alias(f"f{i}") for i, f in enumerate(features)])
+    vectors = VectorAssembler(inputCols=[f"f{i}" for i in range(len(features))], outputCol="v").transform(flat).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    pairs = [(a, b, float(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j and abs(matrix[i, j]) >= least]
+    return rows.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
+
+
+def coefficient_table(spark, coefficients: dict[str, float], k: int = 15) -> DataFrame:
+    """direction, rank, feature, coefficient: the k largest and the k smallest, ties by name."""
+    up = sorted(coefficients.items(), key=lambda c: (-c[1], c[0]))[:k]
+    down = sorted(coefficients.items(), key=lambda c: (c[1], c[0]))[:k]
+    rows = [(d, i, f, float(c)) for d, part in (("positive", up), ("negative", down)) for i, (f, c) in enumerate(part, 1)]
+    return spark.createDataFrame(rows, "direction string, rank int, feature string, coefficient double")
+
+
+def feature_report(rows: DataFrame, features: list[str], coefficients: dict[str, float] | None = None, top: int = 20, least: float = 0.9) -> dict:
+    """Diagnosis of a feature table: constant features, the strongest correlations with y, pairs
+    that go together, and the outer coefficients. Lists hold ``top`` entries at most."""
+    with_y = feature_correlations(rows, features).orderBy(F.abs("r").desc(), "feature").limit(top).collect() if "y" in rows.columns else []
+    pairs = correlated_pairs(rows, features, least).orderBy(F.abs("r").desc(), "feature_a", "feature_b").limit(top).collect()
+    out = {
+        "n_rows": rows.count(),
+        "n_features": len(features),
+        "zero_variance_features": [r["feature"] for r in spread(rows, features).collect() if r["constant"]],
+        "top_corr_with_y": [(r["feature"], r["r"]) for r in with_y],
+        "high_correlation_pairs": [tuple(r) for r in pairs],
+    }
+    if coefficients:
+        table = coefficient_table(rows.sparkSession, coefficients).collect()
+        for d in ("positive", "negative"):
+            out[f"top_{d}_coefficients"] = [(r["feature"], r["coefficient"]) for r in table if r["direction"] == d]
+    return out
 
 
 def outcome_counts(predictions: DataFrame) -> DataFrame:
-    """outcome, answer_type, n with subtotals; types not on the list count as other."""
+    """outcome, answer_type, n; types not on the list count as other."""
     kind = F.when(F.col("answer_type").isin(*ANSWER_TYPES), F.col("answer_type")).otherwise("other")
     return predictions.groupBy("outcome", kind.alias("answer_type")).agg(F.count("*").alias("n"))
 
@@ -127,3 +166,16 @@ def kept_features(names: list[str], allow=(), allow_patterns=(), deny=(), deny_p
 
     out = [n for n in names if n in allow or any(re.search(p, n) for p in allow_patterns)] if allow or allow_patterns else list(names)
     return [n for n in out if n not in deny and not any(re.search(p, n) for p in deny_patterns)]
+
+
+def filtered_features(names: list[str], allow=(), deny=()) -> tuple[list[str], dict]:
+    """Names that allow and deny lists leave, and a record of what they did; none left is an error."""
+    allow, deny = (list(dict.fromkeys(filter(None, x))) for x in (allow, deny))
+    kept = [n for n in names if (not allow or n in allow) and n not in deny]
+    if not kept:
+        raise ValueError("the allow and deny lists leave no feature")
+    record = {"allow": allow, "deny": deny, "original_feature_count": len(names), "kept_feature_count": len(kept), "dropped_feature_count": len(names) - len(kept), "dropped_features": [n for n in names if n not in set(kept)]}
+    for side, given in (("allow", allow), ("deny", deny)):
+        if missing := sorted(set(given) - set(names)):
+            record[f"missing_from_{side}"] = missing
+    return kept, record

@@ -79,7 +79,10 @@ class GroundednessClassifier:
         return cls(**meta, model=LogisticRegressionModel.load(f"{path}/model"))
 
 
-def cross_validate(rows: DataFrame, key: str, features: list[str], grid=(0.1, 0.3, 1.0, 3.0, 10.0), k: int = 5, seed: int = 42, min_precision: float | None = None) -> tuple[float, float, list[dict]]:
+METRICS = ("f1", "precision", "recall", "pr_auc", "roc_auc", "brier")
+
+
+def cross_validate(rows: DataFrame, key: str, features: list[str], grid=(0.1, 0.3, 1.0, 3.0, 10.0), k: int = 5, seed: int = 42, min_precision: float | None = None, beta: float = 1.0) -> tuple[float, float, list[dict]]:
     """Best C by mean F1 (the first on ties), its mean threshold, and a record of every fold."""
     folds = rows.join(evaluation.stratified_folds(rows, key, k, seed).select(key, "fold"), key)
     records = []
@@ -87,9 +90,48 @@ def cross_validate(rows: DataFrame, key: str, features: list[str], grid=(0.1, 0.
         for fold in range(k):
             model = GroundednessClassifier(features, C).fit(folds.where(F.col("fold") != fold))
             scored = model.score(folds.where(F.col("fold") == fold), key)
-            best = evaluation.pick_threshold(scored, min_precision=min_precision).first()
-            at = evaluation.metrics_by(scored, best["threshold"]).first()
-            records.append({"C": C, "fold": fold, "threshold": best["threshold"], "f1": at["f1"], "precision": at["precision"], "recall": at["recall"], "pr_auc": evaluation.average_precision(scored).first()[0], "roc_auc": evaluation.roc_auc(scored).first()[0], "brier": evaluation.brier(scored).first()[0]})
+            best = evaluation.pick_threshold(scored, beta, min_precision).first()
+            records.append({"C": C, "fold": fold, "threshold": best["threshold"], **evaluation.evaluated(scored, best["threshold"])})
     mean = lambda C, m: sum(r[m] for r in records if r["C"] == C) / k
     best = max(grid, key=lambda C: (mean(C, "f1"), -grid.index(C)))
     return best, mean(best, "threshold"), records
+
+
+def mean_metrics(records: list[dict], C: float) -> dict[str, float]:
+    own = [r for r in records if r["C"] == C]
+    return {m: sum(r[m] for r in own) / len(own) for m in METRICS}
+
+
+def final_fit(train: DataFrame, key: str, features: list[str], test: DataFrame | None = None, gate: bool = False, **options) -> tuple[GroundednessClassifier, dict]:
+    """The model of the best C on all training rows, with the mean threshold of its folds, and
+    the whole record: folds, and of ``test`` its figures, by answer type where it has them."""
+    C, threshold, records = cross_validate(train, key, features, **options)
+    model = GroundednessClassifier(features, C, gate=gate, threshold=threshold).fit(train)
+    record = {
+        "bestC": C,
+        "final_threshold": threshold,
+        "n_train": train.count(),
+        "feature_fingerprint": analysis.fingerprint(features),
+        "cv": {"n_splits": options.get("k", 5), "seed": options.get("seed", 42), "objective": "f1", "beta": options.get("beta", 1.0), "min_precision": options.get("min_precision"), "selected": {"fold_metrics": [r for r in records if r["C"] == C], "mean_metrics": mean_metrics(records, C)}, "folds": records},
+    }
+    if test is not None:
+        keep = [key, *(["answer_type"] if "answer_type" in test.columns else [])]
+        scored = model.score(test, *keep)
+        record["test"] = evaluation.evaluated(scored, threshold)
+        if "answer_type" in keep:
+            record["test"]["by_answer_type"] = {r["answer_type"]: r.asDict() for r in evaluation.by_answer_type(scored, threshold).collect()}
+    return model, record
+
+
+def predictions(model: GroundednessClassifier, rows: DataFrame, key: str, *keep: str, k: int = 10) -> DataFrame:
+    """Kept columns, y_true, y_pred, probability and the k largest contributions of each row.
+
+    A contribution is a coefficient times the scaled value; the value itself is as given.
+    """
+    aligned = analysis.reprojected(rows, model.features, [key, "y", *keep])
+    scaled = {f: (F.col(f"`{f}`") - m) / (d if d > 0 else 1.0) for f, m, d in zip(model.features, model.means, model.deviations)}
+    own = model.coefficients()
+    each = F.array(*[F.struct((-F.abs(x * own[f])).alias("k"), F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value"), F.lit(own[f]).alias("coefficient"), (x * own[f]).alias("contribution")) for f, x in scaled.items()])
+    top = F.transform(F.slice(F.sort_array(each), 1, k), lambda x: F.struct(*[x[c].alias(c) for c in ("feature", "value", "coefficient", "contribution")]))
+    scored = model.score(rows, key).select(key, F.col("p").alias("probability"), F.col("predicted").alias("y_pred"))
+    return aligned.select(key, *keep, F.col("y").alias("y_true"), top.alias("top_features")).join(scored, key)

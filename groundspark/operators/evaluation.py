@@ -70,14 +70,44 @@ def metrics_by(scored: DataFrame, threshold: float, *keys: str) -> DataFrame:
     return scored.groupBy(*keys).agg(F.count("*").alias("support"), *confusion_metrics(tp, fp, fn))
 
 
+def average_precision_by(scored: DataFrame, key: str) -> DataFrame:
+    """key, pr_auc: average precision within each value of the key; null where all rows are of
+    one class. Rows of equal score are one point, so windows run over distinct scores."""
+    by = scored.groupBy(key, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    down = W.partitionBy(key).orderBy(F.col("p").desc()).rowsBetween(W.unboundedPreceding, 0)
+    steps = by.select(key, "pos", "n", (F.sum("pos").over(down) / F.sum("n").over(down)).alias("precision"))
+    total, rows = F.sum("pos"), F.sum("n")
+    return steps.groupBy(key).agg(F.when((total > 0) & (total < rows), F.sum(F.col("precision") * F.col("pos")) / total).alias("pr_auc"))
+
+
+def by_answer_type(scored: DataFrame, threshold: float, key: str = "answer_type") -> DataFrame:
+    """Support, precision, recall, F1 and pr_auc by answer type; blank types are unknown."""
+    kind = F.coalesce(F.nullif(F.trim(key), F.lit("")), F.lit("unknown"))
+    rows = scored.withColumn(key, kind)
+    return metrics_by(rows, threshold, key).join(average_precision_by(rows, key), key)
+
+
+def evaluated(scored: DataFrame, threshold: float) -> dict[str, float]:
+    """Figures of scored rows at a threshold: one row each, gathered on the driver."""
+    at = metrics_by(scored, threshold).first()
+    return {
+        "f1": at["f1"] if at else 0.0,
+        "precision": at["precision"] if at else 0.0,
+        "recall": at["recall"] if at else 0.0,
+        "pr_auc": average_precision(scored).first()[0],
+        "roc_auc": roc_auc(scored).first()[0],
+        "brier": brier(scored).first()[0],
+    }
+
+
 def stratified_folds(rows: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """key, y, fold: rows of each class, in the order of a hash of key and seed, dealt in turn.
 
-    The rank within a class is a running count over 2 ** 10 ranges of the hash first, then
+    The rank within a class is a running count over 2 ** 12 ranges of the hash first, then
     within each range, so that no task orders a whole class.
     """
-    h = F.crc32(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
-    rows = rows.select(key, "y", h.alias("h"), F.shiftright(h, 22).alias("cell"))
+    h = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    rows = rows.select(key, "y", h.alias("h"), F.substring(h, 1, 3).alias("cell"))
     sizes = rows.groupBy("y", "cell").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("y").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.join(sizes.select("y", "cell", before.alias("before")), ["y", "cell"])

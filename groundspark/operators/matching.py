@@ -44,27 +44,83 @@ def matched(answer: Column, context: Column) -> Column:
     return F.aggregate(answer, start, step, lambda acc: acc["hits"])
 
 
+def pairs(answer: Column, context: Column) -> Column:
+    """The answer's entities e, each with whether it was found, h. Kinds don't compete, so what
+    holds for all kinds holds for some of them alone."""
+    return F.zip_with(answer, matched(answer, context), lambda e, h: F.struct(e.alias("e"), h.alias("h")))
+
+
+def _found(found: Column) -> Column:
+    return F.filter(found, lambda p: p["h"])
+
+
+def _numeric(found: Column) -> Column:
+    return F.filter(found, lambda p: p["e"]["type"].isin(*NUMERIC))
+
+
+def share_found(found: Column) -> Column:
+    """Share of ``pairs`` that are found; 1 without any."""
+    return F.when(F.size(found) == 0, 1.0).otherwise(F.size(_found(found)) / F.size(found))
+
+
+def numeric_share(found: Column) -> Column:
+    """The same of money, numbers and percents."""
+    return share_found(_numeric(found))
+
+
 def numeric_match(answer: Column, context: Column) -> Column:
     """Share of the answer's money, numbers and percents found in the context; 1 without any."""
     keep = lambda x: x["type"].isin(*NUMERIC)
-    hits = matched(F.filter(answer, keep), F.filter(context, keep))
-    return F.when(F.size(hits) == 0, 1.0).otherwise(F.size(F.filter(hits, lambda h: h)) / F.size(hits))
+    return share_found(pairs(F.filter(answer, keep), F.filter(context, keep)))
 
 
-def coverage(answer: Column, context: Column) -> Column:
+def coverage_of(found: Column) -> Column:
     """Struct: overall share of entities found (1 without any), counts found and asked by type."""
-    hits = matched(answer, context)
-    pairs = F.zip_with(answer, hits, lambda e, h: F.struct(e["type"].alias("t"), h.alias("h")))
 
     def counts(kind: str) -> Column:
-        own = F.filter(pairs, lambda p: p["t"] == kind)
-        return F.struct(F.size(own).alias("asked"), F.size(F.filter(own, lambda p: p["h"])).alias("found")).alias(kind)
+        own = F.filter(found, lambda p: p["e"]["type"] == kind)
+        return F.struct(F.size(own).alias("asked"), F.size(_found(own)).alias("found")).alias(kind)
 
-    overall = F.when(F.size(hits) == 0, 1.0).otherwise(F.round(F.size(F.filter(hits, lambda h: h)) / F.size(hits), 4))
-    return F.struct(overall.alias("overall"), F.struct(*map(counts, TYPES)).alias("by_type"))
+    return F.struct(F.round(share_found(found), 4).alias("overall"), F.struct(*map(counts, TYPES)).alias("by_type"))
+
+
+def coverage(answer: Column, context: Column) -> Column:
+    return coverage_of(pairs(answer, context))
+
+
+def lost(found: Column) -> Column:
+    """The entities of ``pairs`` that found no partner, as TYPE:value."""
+    return F.transform(F.filter(found, lambda p: ~p["h"]), lambda p: F.concat_ws(":", p["e"]["type"], p["e"]["value"]))
+
+
+def lost_numbers(found: Column) -> Column:
+    return lost(_numeric(found))
 
 
 def unsupported(answer: Column, context: Column) -> Column:
-    """The answer's entities that found no partner, as TYPE:surface."""
-    pairs = F.zip_with(answer, matched(answer, context), lambda e, h: F.struct(e.alias("e"), h.alias("h")))
-    return F.transform(F.filter(pairs, lambda p: ~p["h"]), lambda p: F.concat_ws(":", p["e"]["type"], p["e"]["text"]))
+    """The answer's entities that found no partner, as TYPE:value."""
+    return lost(pairs(answer, context))
+
+
+def alignment(coverage: Column, found: Column) -> tuple[Column, Column]:
+    """How the answer's entities stand to the contexts': structs of match and supported, from a
+    column of ``coverage_of`` and one of ``pairs``.
+
+    match: overall share (1 without entities), unsupported values, and by type whether the
+    answer has any, whether all of them were found as 1 or 0, and the same as a state of 1.0
+    or 0.0; an answer without entities has empty maps. supported: the found ones with their
+    places, their number by type and in all.
+    """
+    of = lambda t: coverage["by_type"][t]
+
+    def by_type(value, kind: str) -> Column:
+        made = F.create_map(*[x for t in TYPES for x in (F.lit(t), value(of(t)).cast(kind))])
+        return F.when(F.size(found) > 0, made).otherwise(F.create_map().cast(f"map<string,{kind}>"))
+
+    any_of = lambda x: (x["asked"] > 0).cast("int")
+    all_of = lambda x: ((x["asked"] > 0) & (x["asked"] == x["found"])).cast("int")
+    hits = _found(found)
+    items = F.transform(hits, lambda p: F.struct(*[p["e"][f].alias(f) for f in ("type", "text", "start", "end")]))
+    counts = F.map_filter(F.create_map(*[x for t in TYPES for x in (F.lit(t), of(t)["found"])]), lambda k, v: v > 0)
+    match = F.struct(coverage["overall"].alias("overall"), lost(found).alias("unsupported"), by_type(any_of, "int").alias("presence_by_type"), by_type(all_of, "double").alias("state_by_type"), by_type(all_of, "int").alias("all_matched_by_type"))
+    return match, F.struct(items.alias("items"), counts.alias("by_type"), F.size(hits).alias("count"))

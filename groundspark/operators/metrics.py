@@ -6,7 +6,7 @@ step after the terms are counted is keyed by trace_id and shares one partitionin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -161,7 +161,7 @@ def unsupported_extras(traces: DataFrame) -> DataFrame:
         F.col("k").cast("long").alias("unsupported_topk_count"),
         F.round(ratio(F.col("unsupported_term_count"), F.col("a_terms")), 4).alias("unsupported_term_rate"),
         F.round("sup", 4).alias("supported_topk_impact"),
-        F.round(F.col("top") / (F.col("sup") + 1e-6), 2).alias("unsupported_to_supported_ratio"),
+        F.round(F.col("top") / (F.col("sup") + 1e-6), 4).alias("unsupported_to_supported_ratio"),
     )
 
 
@@ -183,26 +183,136 @@ def quickwins(traces: DataFrame) -> DataFrame:
     )
 
 
-def simple_scores(traces: DataFrame) -> DataFrame:
-    """Per trace, over all contexts joined by a space: word overlap, confidence, completeness."""
+def simple_columns() -> dict[str, Column]:
+    """Over all contexts joined by a space: word overlap, confidence and completeness."""
     ctx = F.array_join("c", " ")
     words, n_a, n_c, n_q = X.word_set(F.col("a")), X.word_count(F.col("a")), X.word_count(ctx), X.word_count(F.col("q"))
     overlap = F.size(F.array_intersect(words, X.word_set(ctx)))
-    return traces.select(
-        "trace_id",
-        F.round(ratio(overlap, F.size(words)), 4).alias("faithfulness"),
-        F.when((n_a > 10) & (n_c > 50), "High").when((n_a > 5) & (n_c > 20), "Medium").otherwise("Low").alias("confidence"),
-        F.round(F.when((n_a == 0) | (n_q == 0), 0.0).otherwise(F.least(F.lit(1.0), n_a / F.when(n_q < 5, 20).otherwise(30))), 4).alias("completeness"),
-    )
+    return {
+        "faithfulness": F.round(ratio(overlap, F.size(words)), 4),
+        "confidence": F.when((n_a > 10) & (n_c > 50), "High").when((n_a > 5) & (n_c > 20), "Medium").otherwise("Low"),
+        "completeness": F.round(F.when((n_a == 0) | (n_q == 0), 0.0).otherwise(F.least(F.lit(1.0), n_a / F.when(n_q < 5, 20).otherwise(30))), 4),
+    }
+
+
+def simple_scores(traces: DataFrame) -> DataFrame:
+    return traces.select("trace_id", *[c.alias(name) for name, c in simple_columns().items()])
+
+
+def inference(precision: Column, numeric: Column, overall: Column, cosine: Column) -> tuple[Column, Column]:
+    """Score and flag of an answer that is inferred rather than paraphrased; nulls are 0."""
+    precision, numeric, overall, cosine = (F.coalesce(x, F.lit(0.0)) for x in (precision, numeric, overall, cosine))
+    typed = F.greatest(numeric, overall)
+    fits = (precision < 0.45) & (typed >= 0.9) & (cosine >= 0.35)
+    score = F.when(fits, F.least(F.lit(1.0), 0.5 * (1 - precision) + 5.0 * (typed - 0.9))).otherwise(0.0)
+    return F.round(score, 4), score >= 0.5
 
 
 def inference_signal(rows: DataFrame) -> DataFrame:
-    """score and flag of an answer that is inferred rather than paraphrased.
+    """trace_id, inference_score, inference_likely of rows with trace_id, precision_token,
+    numeric_match, entity_overall, cosine_tfidf."""
+    score, likely = inference(*map(F.col, ("precision_token", "numeric_match", "entity_overall", "cosine_tfidf")))
+    return rows.select("trace_id", score.alias("inference_score"), likely.alias("inference_likely"))
+
+
+def inference_sem(precision: Column, overall: Column, has_entities: Column, cosine: Column) -> tuple[Column, Column]:
+    """Score and flag of inference by vectors: the typed gap (1 without entities) times the
+    share of precision in the cosine of question and answer; null without such a cosine."""
+    bound = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    gap = F.when(~has_entities | overall.isNull(), 1.0).otherwise(bound(1 - bound(overall)))
+    score = F.when(precision.isNotNull() & (cosine > 1e-6), bound(gap * F.least(F.lit(1.0), bound(precision) / cosine)))
+    return F.round(score, 4), score >= 0.5
+
+
+def total(items: Column, of) -> Column:
+    """Sum of ``of(x)`` over an array."""
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + of(x))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, where a lambda would do so at every element."""
+    return F.transform(F.array(value), body)[0]
+
 
-    rows: trace_id, precision_token, numeric_match, entity_overall, cosine_tfidf; nulls are 0.
+def facts(traces: DataFrame) -> DataFrame:
+    """One row a trace that has any term, with all that its terms tell.
+
+    Texts are dealt by trace_id once; every count, window and sum after that stays in the
+    partition. Columns: trace_id, precision_token, cosine_tfidf, answer_covers_question, a_len,
+    q_len; terms (term, idf, a, q, c) of the whole trace; and, of those that have terms, the
+    contexts (no, dl, weight, hit, found) and the answer's sentences (no, precision,
+    unsupported), in no order.
     """
-    v = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("precision_token", "numeric_match", "entity_overall", "cosine_tfidf")}
-    typed = F.greatest(v["numeric_match"], v["entity_overall"])
-    fits = (v["precision_token"] < 0.45) & (typed >= 0.9) & (v["cosine_tfidf"] >= 0.35)
-    score = F.when(fits, F.least(F.lit(1.0), 0.5 * (1 - v["precision_token"]) + 5.0 * (typed - 0.9))).otherwise(0.0)
-    return rows.select("trace_id", F.round(score, 4).alias("inference_score"), (score >= 0.5).alias("inference_likely"))
+    piece = lambda p, texts: F.transform(texts, lambda x, i: F.struct(F.lit(p).alias("part"), i.alias("no"), x.alias("text")))
+    rows = traces.repartition("trace_id").select("trace_id", F.size("c").alias("n"), F.inline(F.concat(piece("q", F.array("q")), piece("s", X.sentences(F.col("a"))), piece("c", F.col("c")))))
+    counted = terms(rows, "trace_id", "n", "part", "no")
+    same = W.partitionBy("trace_id", "term")
+    own = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("cnt"))).over(same), F.lit(0))
+    entry = counted.select("*", own("s").alias("a"), own("q").alias("q"), own("c").alias("c"), F.count_if(F.col("part") == "c").over(same).alias("in_c"), F.row_number().over(same.orderBy("part", "no")).alias("turn"))
+    df = F.col("in_c") + (F.col("a") > 0).cast("int") + (F.col("q") > 0).cast("int")
+    entry = entry.withColumn("idf", F.log((F.col("n") + 3) / (df + 1)) + 1)
+    idf, a, q, c, cnt, s = *(F.col(x) for x in ("idf", "a", "q", "c", "cnt")), F.sum
+    once = lambda x: s(F.when(F.col("turn") == 1, x))
+    sums = {"ac": idf * F.least(a, c), "aw": idf * a, "dot": idf * idf * a * q, "aa": idf * idf * a * a, "qq": idf * idf * q * q, "qa": idf * F.least(a, q), "qw": idf * q, "a_len": a, "q_len": q}
+    part = entry.groupBy("trace_id", "part", "no").agg(
+        s(cnt).alias("dl"),
+        s(idf * cnt).alias("weight"),
+        s(idf * F.least(cnt, a)).alias("hit"),
+        s(idf * F.least(cnt, c)).alias("known"),
+        F.collect_list(F.when((F.col("part") == "c") & (a > 0), F.struct("idf", "cnt"))).alias("found"),
+        F.collect_list(F.when((F.col("part") == "s") & (c == 0), ranked(F.col("term"), cnt, idf))).alias("lost"),
+        F.collect_list(F.when(F.col("turn") == 1, F.struct("term", "idf", "a", "q", "c"))).alias("terms"),
+        *[once(x).alias(f"_{name}") for name, x in sums.items()],
+    )
+    of = lambda p, made: F.collect_list(F.when(F.col("part") == p, made))
+    whole = part.groupBy("trace_id").agg(
+        F.flatten(F.collect_list("terms")).alias("terms"),
+        of("c", F.struct("no", "dl", "weight", "hit", "found")).alias("contexts"),
+        of("s", F.struct(F.col("no"), F.round(ratio(F.col("known"), F.col("weight")), 4).alias("precision"), in_order(F.col("lost")).alias("unsupported"))).alias("sentences"),
+        *[F.coalesce(s(f"_{name}"), F.lit(0)).alias(name) for name in sums],
+    )
+    ac, aw, dot, aa, qq, qa, qw = (F.col(x) for x in ("ac", "aw", "dot", "aa", "qq", "qa", "qw"))
+    return whole.select(
+        "trace_id",
+        ratio(ac, aw).alias("precision_token"),
+        F.when((aa > 0) & (qq > 0), dot / F.sqrt(aa * qq)).otherwise(F.lit(0.0)).alias("cosine_tfidf"),
+        ratio(qa, qw).alias("answer_covers_question"),
+        F.col("a_len").cast("long").alias("a_len"),
+        F.col("q_len").cast("long").alias("q_len"),
+        "terms",
+        "contexts",
+        "sentences",
+    )
+
+
+def best_of(contexts: Column, size: Column, bm25: bool = True) -> Column:
+    """Struct (no, dl, recall) of the best of ``size`` contexts, of which those with terms are
+    given: by BM25 for the answer's terms or by the share of the weight that the answer has, to
+    12 places, the first on ties. One that has nothing of the answer counts as 0, like one
+    without terms, and then the first of all is the best."""
+    some = F.filter(contexts, lambda x: F.size(x["found"]) > 0)
+
+    def scored(mean: Column) -> Column:
+        def of(x: Column) -> Column:
+            norm = BM25_K1 * (1 - BM25_B + BM25_B * ratio(x["dl"], mean))
+            score = let(norm, lambda n: total(x["found"], lambda h: h["idf"] * h["cnt"] * (BM25_K1 + 1) / (h["cnt"] + n))) if bm25 else ratio(x["hit"], x["weight"])
+            return F.struct(F.round(score, 12).alias("score"), (-x["no"]).alias("first"), x["dl"].alias("dl"), ratio(x["hit"], x["weight"]).alias("recall"))
+
+        return F.array_max(F.transform(some, of))
+
+    best = let(ratio(total(contexts, lambda x: x["dl"]), size), scored)
+    first = F.filter(contexts, lambda x: x["no"] == 0)
+    none = F.struct(F.lit(0).alias("no"), F.coalesce(F.get(first, F.lit(0))["dl"], F.lit(0).cast("long")).alias("dl"), F.lit(0.0).alias("recall"))
+    made = let(best, lambda b: F.when(b.isNull(), none).otherwise(F.struct((-b["first"]).alias("no"), b["dl"].alias("dl"), b["recall"].alias("recall"))))
+    return F.when(size > 0, made)
+
+
+def ranked(term: Column, count: Column, idf: Column) -> Column:
+    """A term's entry with its sort key first: impact down, then the term."""
+    impact = F.round(count * idf, 10)
+    return F.struct((-impact).alias("key"), term.alias("term"), count.alias("cnt"), F.round(idf, 4).alias("idf"), F.round(impact, 4).alias("impact"))
+
+
+def in_order(entries: Column) -> Column:
+    """``ranked`` entries sorted, without their key."""
+    return F.transform(F.sort_array(entries), lambda x: F.struct(*[x[f].alias(f) for f in ("term", "cnt", "idf", "impact")]))

@@ -6,85 +6,279 @@ figures and no grounding. Nulls stay in the report and become 0 in the feature r
 
 from __future__ import annotations
 
+import fnmatch
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.functions.entities import ExtractorConfig, entities_of
+from groundspark.functions import text as X
+from groundspark.functions.entities import ExtractorConfig, entities_of, entities_of_all
 from groundspark.operators import matching
 from groundspark.operators import metrics as M
 from groundspark.operators.vectors import cosine
 
+#: Columns that only an answer with contexts has.
+GROUNDED = (
+    "precision_token", "recall_context", "unsupported_mass", "best_context_share", *M.EXTRAS, *M.SIZES, "entity_overall", "unsupported_entities", "unsupported_term_count", "unsupported_numeric_count",
+    "unsupported_entity_count", "min_sentence_precision", "mean_sentence_precision", "p90_sentence_precision", "low_frac", "medium_frac", "high_frac", "inference_score", "inference_likely",
+)
+POS = ("content_precision_token", "content_unsupported_mass", "content_term_support_rate", "head_noun_support_rate")
+#: Least cosine with the answer at which a term of the question counts as covered.
+TERM_COSINE = 0.5
+
 
 @dataclass(frozen=True)
 class ReportConfig:
-    """extractor: which entities; entities: whether to match them; drop: metrics left out."""
+    """What a report holds.
+
+    extractor: which entities; entities: whether to match them; inference: whether to judge
+    inference; drop: columns left out; bm25: choose the best context by BM25, else by the share
+    of its weight that the answer has. embed gives, once a worker, a function list of texts ->
+    list of vectors; pos one of text -> (content terms, head nouns). Without them the columns
+    that need them are null.
+    """
 
     extractor: ExtractorConfig = field(default_factory=ExtractorConfig)
     entities: bool = True
+    inference: bool = True
     drop: tuple[str, ...] = ()
+    bm25: bool = True
+    embed: Callable[[], Callable] | None = None
+    pos: Callable[[], Callable] | None = None
+
+
+@lru_cache(maxsize=4)
+def _loaded(load: Callable) -> Callable:
+    return load()
+
+
+def embedded(texts: Column, embed: Callable) -> Column:
+    """Vectors of an array of texts; a batch's texts go to the model in one call."""
+
+    @F.arrow_udf("array<array<double>>")
+    def run(lists: pa.Array) -> pa.Array:
+        lists = lists.to_pylist()
+        flat = [t or "" for own in lists for t in own or ()]
+        vectors = iter(_loaded(embed)(flat) if flat else ())
+        made = [None if own is None else [[float(x) for x in next(vectors)] for _ in own] for own in lists]
+        return pa.array(made, pa.list_(pa.list_(pa.float64())))
+
+    return run(texts)
+
+
+def with_vectors(rows: DataFrame, embed: Callable) -> DataFrame:
+    """qe, ae, ce and te: vectors of question, answer, contexts and the question's terms."""
+    asked = F.transform(F.filter("terms", lambda t: t["q"] > 0), lambda t: t["term"])
+    rows = rows.withColumn("_v", embedded(F.concat(F.array(F.coalesce("q", F.lit("")), F.coalesce("a", F.lit(""))), "c"), embed))
+    rows = rows.withColumns({"qe": F.when(F.length(F.coalesce("q", F.lit(""))) > 0, F.col("_v")[0]), "ae": F.col("_v")[1], "ce": F.slice("_v", 3, F.greatest(F.size("c"), F.lit(1)))})
+    rows = rows.withColumn("te", F.map_from_arrays(F.coalesce(asked, F.array().cast("array<string>")), embedded(F.coalesce(asked, F.array().cast("array<string>")), embed)))
+    return rows.drop("_v")
 
 
 def build_report(traces: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
-    """traces: trace_id, q, a, c and, for the semantic part, qe, ae (vectors) and ce (array of them).
+    """traces: trace_id (a key), q, a, c and, for the semantic part without a model, qe, ae
+    (vectors), ce (array of them) and te (map of the question's terms to theirs, or absent).
 
-    Every part is keyed by trace_id. Texts are extracted once: the entities of a trace's
-    answer and contexts are columns that all entity metrics read.
+    Traces are dealt by trace_id once; terms are counted there (``metrics.facts``), and every
+    metric is an expression over its trace's row.
     """
-    traces = traces.withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
-    prof = M.profile(traces)
-    lex = M.lexical(prof).select("trace_id", "precision_token", "cosine_tfidf", "answer_covers_question")
-    out = traces
-    for part in (lex, M.recall_context(traces).select("trace_id", "recall_context"), M.sentence_summary(traces), M.unsupported_extras(traces), M.quickwins(traces), M.simple_scores(traces)):
-        out = out.join(part, "trace_id", "left")
-    terms = lambda df, name: df.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "cnt", "idf"))).alias(name))
-    out = out.join(terms(M.supported_terms(prof), "supported_terms"), "trace_id", "left").join(terms(M.unsupported_terms(prof), "unsupported_terms"), "trace_id", "left")
+    base = traces.withColumn("c", F.coalesce("c", F.array().cast("array<string>"))).repartition("trace_id")
+    out = lexical(base.join(M.facts(base.select("trace_id", "q", "a", "c")), "trace_id", "left"), config)
     blank = F.coalesce(F.trim("a"), F.lit("")) == ""
     alone = (F.size("c") == 0) & ~blank
-    for name in ("precision_token", "recall_context", "unsupported_mass", "best_context_share"):
-        out = out.withColumn(name, F.when(~blank & ~alone, F.coalesce(name, F.lit(0.0))))
-    # on the two short paths these are absent
-    for name in (*M.EXTRAS, *M.SIZES):
-        out = out.withColumn(name, F.when(~blank & ~alone, F.col(name)))
-    for name in ("cosine_tfidf", "answer_covers_question"):
-        out = out.withColumn(name, F.when(~blank, F.coalesce(name, F.lit(0.0))))
+    answered, grounded = ~blank, ~blank & ~alone
     if config.entities:
-        out = out.withColumn("a_entities", entities_of(F.col("a"), config.extractor)).withColumn("c_entities", entities_of(F.array_join("c", "\n"), config.extractor))
-        out = out.withColumn("coverage", matching.coverage(F.col("a_entities"), F.col("c_entities")))
-        out = out.withColumn("numeric_match", F.when(~blank, matching.numeric_match(F.col("a_entities"), F.col("c_entities"))))
-        out = out.withColumn("entity_overall", F.when(~blank & ~alone, F.col("coverage.overall")))
-        out = out.withColumn("unsupported_entities", F.when(~blank & ~alone, matching.unsupported(F.col("a_entities"), F.col("c_entities"))))
+        out = out.withColumns({"a_entities": entities_of(F.col("a"), config.extractor), "c_entities": entities_of_all(F.col("c"), config.extractor)})
+        out = out.withColumn("pairs", matching.pairs(F.col("a_entities"), F.col("c_entities")))
+        found = F.col("pairs")
+        out = out.withColumns({"coverage": matching.coverage_of(found), "numeric_match": F.when(answered, matching.numeric_share(found)), "unsupported_numbers": F.when(answered, matching.lost_numbers(found))})
+        match, supported = matching.alignment(F.col("coverage"), found)
+        out = out.withColumns({"entity_match": F.when(grounded, match), "supported_entities": F.when(grounded, supported)}).drop("pairs")
+        out = out.withColumns({"entity_overall": F.col("entity_match.overall"), "unsupported_entities": F.col("entity_match.unsupported"), "unsupported_numeric_count": F.size("unsupported_numbers").cast("long"), "unsupported_entity_count": F.size("entity_match.unsupported").cast("long")})
     else:
         out = out.withColumns({"numeric_match": F.lit(None).cast("double"), "entity_overall": F.lit(None).cast("double")})
-    out = out.join(M.inference_signal(out), "trace_id", "left")
-    if {"qe", "ae", "ce"} <= set(traces.columns):
-        out = semantic(out)
-    return out.drop(*config.drop)
-
-
-def semantic(rows: DataFrame) -> DataFrame:
-    """Vector metrics from columns qe, ae, ce: similarities, gaps and novelty; null without vectors."""
-    near = F.transform("ce", lambda v: cosine(F.col("ae"), v))
-    out = rows.withColumn("cosine_embed", F.round(cosine(F.col("qe"), F.col("ae")), 4))
-    out = out.withColumn("best_context_similarity", F.round(F.array_max(near), 4))
-    out = out.withColumn("answer_context_similarity", F.round(F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("ce"), F.lit(0)), 4))
+    if config.inference:
+        score, likely = M.inference(*map(F.col, ("precision_token", "numeric_match", "entity_overall", "cosine_tfidf")))
+        out = out.withColumns({"inference_score": score, "inference_likely": likely})
+    always = {n: F.when(answered, F.col(n)) for n in ("cosine_tfidf", "answer_covers_question")}
+    out = out.withColumns({n: F.when(grounded, F.col(n)) for n in GROUNDED if n in out.columns} | always)
+    if config.embed is not None:
+        out = with_vectors(out, config.embed)
+    if {"qe", "ae", "ce"} <= set(out.columns):
+        out = semantic(out, config)
+    else:
+        out = out.withColumn("qa_context_coverage_gap", F.round("answer_covers_question", 4))
+    out = pos_stats(out, config.pos)
+    out = out.withColumn("summary", summary(out.columns, blank, alone))
+    rounded = ("precision_token", "recall_context", "numeric_match", "cosine_tfidf", "answer_covers_question")
+    return out.withColumns({c: F.round(c, 4) for c in rounded}).drop("terms", "contexts", "sentences", *config.drop)
+
+
+def answer_report(rows: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
+    """The report of answers alone, as with an empty question."""
+    return build_report(rows.withColumn("q", F.lit("")), config)
+
+
+def lexical(rows: DataFrame, config: ReportConfig) -> DataFrame:
+    """Everything that follows from a trace's terms, contexts and sentences."""
+    lost = "array<struct<term:string,cnt:bigint,idf:double,impact:double>>"
+    empty = {"contexts": "array<struct<no:int,dl:bigint,weight:double,hit:double,found:array<struct<idf:double,cnt:bigint>>>>", "terms": "array<struct<term:string,idf:double,a:bigint,q:bigint,c:bigint>>", "sentences": f"array<struct<no:int,precision:double,unsupported:{lost}>>"}
+    scores = ("precision_token", "cosine_tfidf", "answer_covers_question")
+    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in empty.items()} | {c: F.coalesce(c, F.lit(0.0)) for c in scores} | {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("a_len", "q_len")} | {"every": X.sentences(F.col("a"))})
+    terms = lambda keep: M.in_order(F.transform(F.filter("terms", lambda t: (t["a"] > 0) & keep(t)), lambda t: M.ranked(t["term"], t["a"], t["idf"])))
+    known = F.transform(F.filter("terms", lambda t: (t["a"] > 0) & (t["c"] > 0)), lambda t: t["term"])
+    # a sentence without an informative term has precision 0
+    own = F.map_from_entries(F.transform("sentences", lambda x: F.struct(x["no"], x["precision"])))
+    own_lost = F.map_from_entries(F.transform("sentences", lambda x: F.struct(x["no"], x["unsupported"])))
+    rows = rows.withColumn("located", X.token_spans(F.col("a"))).withColumns({
+        "best": M.best_of(F.col("contexts"), F.size("c"), config.bm25),
+        "supported_terms": terms(lambda t: t["c"] > 0),
+        "unsupported_terms": terms(lambda t: t["c"] == 0),
+        "spans": M.let(known, lambda kn: F.filter(X.informative_of(F.col("located")), lambda t: F.array_contains(kn, t["term"]))),
+    })
+    rows = rows.withColumns({
+        "recall_context": F.coalesce("best.recall", F.lit(0.0)),
+        "best_context_len": F.coalesce("best.dl", F.lit(0)).cast("long"),
+        "per_sentence": M.let(own, lambda by: F.transform("every", lambda x, i: F.coalesce(F.try_element_at(by, i), F.lit(0.0)))),
+        "unsupported_terms_per_sentence": M.let(own_lost, lambda by: F.transform("every", lambda x, i: F.struct(x.alias("sentence"), F.coalesce(F.try_element_at(by, i), F.array().cast(lost)).alias("unsupported_terms")))),
+        "n_sentences": F.size("every").cast("long"),
+    })
+    values = F.sort_array("per_sentence")
+    size = F.nullif(F.col("n_sentences"), F.lit(0))
+    units = F.aggregate("per_sentence", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long"))
+    share = lambda test: F.round(F.size(F.filter("per_sentence", test)) / size, 4)
+    top = F.slice("unsupported_terms", 1, M.TOP_K)
+    a_terms = F.size("supported_terms") + F.size("unsupported_terms")
+    raw = F.aggregate(F.transform("c", lambda x: F.size(X.tokens(x))), F.lit(0), lambda s, x: s + x)
+    rows = rows.withColumns({
+        "min_sentence_precision": F.coalesce(F.array_min("per_sentence"), F.lit(0.0)),
+        "mean_sentence_precision": F.coalesce(F.floor((2 * units + size) / (2 * size)) / 10000, F.lit(0.0)),
+        "p90_sentence_precision": F.coalesce(F.get(values, F.floor(F.lit(0.9) * (size - 1)).cast("int")), F.lit(0.0)),
+        "low_frac": share(lambda x: x < 0.3),
+        "medium_frac": share(lambda x: (x >= 0.3) & (x < 0.6)),
+        "high_frac": share(lambda x: x >= 0.6),
+        "supported_terms_per_sentence": supported_spans(F.col("every")),
+        "unsupported_mass": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("precision_token"))), 4),
+        "unsupported_topk_count": F.size(top).cast("long"),
+        "top": M.total(top, lambda t: t["impact"]),
+        # as many supported terms as there are among the largest unsupported ones
+        "sup": M.total(F.slice("supported_terms", F.lit(1), F.size(top)), lambda t: t["cnt"] * t["idf"]),
+        "unsupported_term_count": F.size("unsupported_terms").cast("long"),
+        "unsupported_term_rate": F.round(M.ratio(F.size("unsupported_terms"), a_terms), 4),
+        "num_contexts": F.size("c").cast("long"),
+        "avg_ctx_len_tokens": F.round(M.ratio(raw, F.size("c")), 4),
+        "qa_len_ratio": F.round(F.col("a_len") / F.greatest(F.lit(1), "q_len"), 4),
+        "best_context_share": F.round(F.col("precision_token") * F.col("recall_context"), 4),
+        **M.simple_columns(),
+    })
+    return rows.withColumns({
+        "unsupported_topk_impact": F.round("top", 4),
+        "supported_topk_impact": F.round("sup", 4),
+        "unsupported_to_supported_ratio": F.round(F.col("top") / (F.col("sup") + 1e-6), 4),
+    }).drop("top", "sup", "best", "every", "located", "spans")
+
+
+def supported_spans(sentences: Column) -> Column:
+    """Each sentence of ``a`` with its supported terms, those of ``spans`` that lie in it, by
+    their places in the answer, where a sentence stands for its first occurrence there."""
+
+    def of(s: Column, spans: Column) -> Column:
+        place = F.struct((F.call_function("locate", s, F.col("a")) - 1).alias("a"), F.length(s).alias("n"))
+        own = M.let(place, lambda at: F.filter(spans, lambda t: (t["start"] >= at["a"]) & (t["end"] <= at["a"] + at["n"])))
+        return F.struct(s.alias("sentence"), F.transform(own, lambda t: F.struct(t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end"))).alias("supported_terms"))
+
+    return M.let(F.col("spans"), lambda spans: F.transform(sentences, lambda s: of(s, spans)))
+
+
+def semantic(rows: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
+    """Vector metrics from qe, ae, ce and te: similarities, gaps, novelty and inference."""
+    both = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), cosine(x, y))
+    near = F.transform("ce", lambda v: both(F.col("ae"), v))
+    some = F.nullif(F.size("ce"), F.lit(0))
+    out = rows.withColumn("near", near).withColumn("cosine_embed", F.round(both(F.col("qe"), F.col("ae")), 4))
+    out = out.withColumn("best_context_similarity", F.round(F.array_max("near"), 4))
+    out = out.withColumn("answer_context_similarity", F.round(M.total(F.col("near"), lambda x: x) / some, 4))
     out = out.withColumn("per_sentence_semantic_alignment", F.round(F.col("best_context_similarity") / F.nullif(F.col("n_sentences"), F.lit(0)), 4))
     out = out.withColumn("answer_novelty_ratio", F.round(F.when(F.col("cosine_embed") > 0, F.col("precision_token") / F.col("cosine_embed")), 4))
-    out = out.withColumn("semantic_gap", F.round(F.col("answer_context_similarity") * F.col("precision_token") / F.greatest(F.lit(1), "best_context_len"), 4))
+    if "contexts" in out.columns:
+        # the length of the context that is nearest by vector, the first on ties
+        at = F.array_position("near", F.array_max("near")).cast("int")
+        length = F.coalesce(F.get(F.filter("contexts", lambda x: x["no"] == at - 1), F.lit(0))["dl"], F.lit(0))
+    else:
+        length = F.col("best_context_len")
+    out = out.withColumn("semantic_gap", F.round(F.col("answer_context_similarity") * F.col("precision_token") / F.greatest(F.lit(1), length), 4))
     gap = F.greatest(F.lit(0.0), F.col("answer_covers_question") - F.col("best_context_similarity"))
-    return out.withColumn("qa_context_coverage_gap", F.round(F.coalesce(gap, F.col("answer_covers_question")), 4))
+    out = out.withColumn("qa_context_coverage_gap", F.round(F.coalesce(F.when(F.col("best_context_similarity").isNotNull(), gap), F.col("answer_covers_question")), 4))
+    if {"te", "terms"} <= set(out.columns):
+        asked = F.filter("terms", lambda t: t["q"] > 0)
+        covered = M.total(asked, lambda t: F.when(cosine(F.col("te")[t["term"]], F.col("ae")) >= TERM_COSINE, t["idf"] * t["q"]).otherwise(0.0))
+        whole = M.total(asked, lambda t: t["idf"] * t["q"])
+        out = out.withColumn("answer_covers_question_sem", F.round(F.when(F.col("cosine_embed").isNotNull(), F.when(whole > 0, covered / whole).otherwise(1.0)), 4))
+    if config.inference and "entity_overall" in out.columns:
+        any_entity = F.size("a_entities") > 0 if "a_entities" in out.columns else F.lit(False)
+        score, likely = M.inference_sem(F.col("precision_token"), F.col("entity_overall"), any_entity, F.col("cosine_embed"))
+        out = out.withColumns({"inference_sem_score": score, "inference_sem_likely": likely})
+    return out.drop("near")
+
+
+def pos_stats(rows: DataFrame, pos: Callable | None) -> DataFrame:
+    """Support of the answer's content words and head nouns; null without a tagger."""
+    if pos is None:
+        return rows.withColumns({c: F.lit(None).cast("double") for c in POS})
+
+    @F.arrow_udf("array<struct<terms:array<string>,heads:array<string>>>")
+    def tagged(lists: pa.Array) -> pa.Array:
+        tag = _loaded(pos)
+        made = [[dict(zip(("terms", "heads"), tag(t or ""))) for t in own or ()] for own in lists.to_pylist()]
+        return pa.array(made, pa.list_(pa.struct([("terms", pa.list_(pa.string())), ("heads", pa.list_(pa.string()))])))
+
+    rows = rows.withColumn("_t", tagged(F.concat(F.array(F.coalesce("a", F.lit(""))), "c")))
+    own, rest = F.col("_t")[0], F.filter("_t", lambda x, i: i > 0)
+    a, heads = own["terms"], F.array_distinct(own["heads"])
+    c, c_heads = F.flatten(F.transform(rest, lambda x: x["terms"])), F.flatten(F.transform(rest, lambda x: x["heads"]))
+    weights = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["idf"])))
+    idf = lambda t: F.coalesce(weights[t], F.lit(1.0))
+    count = lambda items, t: F.size(F.filter(items, lambda x: x == t))
+    kinds = F.array_distinct(a)
+    hit = M.total(kinds, lambda t: idf(t) * F.least(count(a, t), count(c, t)))
+    precision = F.when(F.size(a) > 0, M.ratio(hit, M.total(kinds, lambda t: idf(t) * count(a, t))))
+    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+    return rows.withColumns(dict(zip(POS, (F.round(x, 4) for x in (precision, 1 - precision, share(kinds, c), share(heads, c_heads)))))).drop("_t")
+
+
+def summary(columns: list[str], blank: Column, alone: Column) -> Column:
+    """The report in one line."""
+    pct = lambda c: F.concat(F.round(F.coalesce(F.col(c), F.lit(0.0)) * 100, 1).cast("string"), F.lit("% "))
+    two = lambda c: F.round(c, 2).cast("string")
+    parts = [F.concat(pct(c), F.lit(what)) for c, what in (("precision_token", "grounded"), ("recall_context", "best-context recall"), ("numeric_match", "numeric"), ("entity_overall", "entity"))]
+    plain = F.concat(F.lit("Q↔A tfidf "), two("cosine_tfidf"))
+    if "cosine_embed" in columns:
+        by_vector = F.concat(F.lit("Q↔A embed "), two("cosine_embed"), F.coalesce(F.concat(F.lit("; A↔C embed "), two("answer_context_similarity")), F.lit("")))
+        plain = F.coalesce(by_vector, plain)
+    return F.when(blank, "N/A (No answer generated)").when(alone, "N/A (No retrieved context provided).").otherwise(F.concat(F.concat_ws("; ", *parts, plain), F.lit(".")))
 
 
 #: Feature name and the expression over a report row that gives it.
 FLAT = {
     **dict.fromkeys(
         "precision_token recall_context numeric_match unsupported_mass unsupported_topk_impact unsupported_topk_count unsupported_term_rate supported_topk_impact unsupported_to_supported_ratio num_contexts avg_ctx_len_tokens "
-        "q_len a_len qa_len_ratio best_context_len best_context_share min_sentence_precision mean_sentence_precision p90_sentence_precision low_frac medium_frac high_frac inference_score".split()
+        "q_len a_len qa_len_ratio best_context_len best_context_share min_sentence_precision mean_sentence_precision p90_sentence_precision low_frac medium_frac high_frac inference_score "
+        "unsupported_term_count unsupported_numeric_count unsupported_entity_count qa_context_coverage_gap semantic_gap answer_novelty_ratio per_sentence_semantic_alignment inference_sem_score".split()
     ),
+    **dict.fromkeys(POS),
     "qr_alignment.cosine_tfidf": "cosine_tfidf",
     "qr_alignment.answer_covers_question": "answer_covers_question",
+    "qr_alignment.cosine_embed": "cosine_embed",
+    "qr_alignment.answer_covers_question_sem": "answer_covers_question_sem",
+    "context_alignment.answer_context_similarity": "answer_context_similarity",
+    "context_alignment.best_context_similarity": "best_context_similarity",
     "inference_likely_bool": "cast(inference_likely as double)",
+    "inference_sem_likely_bool": "cast(inference_sem_likely as double)",
     "per_sentence__len": "n_sentences",
     "supported_terms__len": "size(supported_terms)",
     "unsupported_terms__len": "size(unsupported_terms)",
@@ -98,16 +292,35 @@ FLAT = {
 }
 
 
-def feature_rows(report: DataFrame, keep: tuple[str, ...] = ("trace_id", "y")) -> DataFrame:
+def feature_names(allow: tuple[str, ...] = (), names: list[str] | None = None) -> list[str]:
+    """The features that an allow-list of dotted paths and globs lets through; all without one.
+
+    A path lets through itself and what lies below it; a glob is held against the whole path,
+    whose dots are letters like others.
+    """
+    names = list(FLAT) if names is None else names
+    ok = lambda n: any(n == p or n.startswith((p + ".", p + "__")) or fnmatch.fnmatchcase(n, p) for p in allow)
+    return [n for n in names if not allow or ok(n)]
+
+
+def feature_rows(report: DataFrame, keep: tuple[str, ...] = ("trace_id", "y"), allow: tuple[str, ...] = ()) -> DataFrame:
     """Flat doubles in a fixed order; what a report lacks or holds as null is 0."""
     have = set(report.columns)
 
     def value(name: str, how):
         text = how or name
-        root = text.split("(")[-1].split(".")[0].split(" ")[0] if "1 - " not in text else text.split(" - ")[1]
+        # the column that the expression starts from, behind any function
+        root = next(w for w in re.findall(r"[A-Za-z_]\w*", text) if w not in ("size", "cast", "int"))
         return F.greatest(F.coalesce(F.expr(text).cast("double"), F.lit(0.0)), F.lit(-1e300)).alias(name) if root in have else F.lit(0.0).alias(name)
 
-    return report.select(*[k for k in keep if k in have], *[value(n, how) for n, how in FLAT.items()])
+    return report.select(*[k for k in keep if k in have], *[value(n, FLAT[n]) for n in feature_names(allow)])
+
+
+def usable(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Traces that a report can be made of, and the others with what is wrong in ``error``."""
+    wrong = F.when(F.col("trace_id").isNull(), "no trace_id").when(F.col("q").isNull(), "no question").when(F.col("a").isNull(), "no answer").when(F.col("c").isNull(), "no contexts")
+    marked = traces.withColumn("error", wrong)
+    return marked.where("error is null").drop("error"), marked.where("error is not null")
 
 
 def varying(rows: DataFrame, features: list[str]) -> list[str]:

@@ -172,5 +172,84 @@ ORACLE_SQL |= {
     "entity_coverage": f"with {RENDERED} select k as trace_id, round((5 - m - d - w) / 5.0::double, 4) as overall, (m + d + w)::bigint as n_unsupported from v",
     "relative_weekday": """select o_orderkey, strftime(o_orderdate::date + ((5 - isodow(o_orderdate::date) - 1 + 7) % 7 + 1)::int, '%Y-%m-%d') as next_friday,
         strftime(o_orderdate::date - ((isodow(o_orderdate::date) - 5 - 1 + 7) % 7 + 1)::int, '%Y-%m-%d') as last_friday from orders""",
-    # crc32 has no SQL form here, so folds are held against their definition in the tests
+    "entity_report": f"""with {RENDERED} select k as trace_id, round((3 - m) / 3.0::double, 4) as numeric_match, round((5 - m - d - w) / 5.0::double, 4) as entity_overall, m::bigint as unsupported_numeric_count,
+        (m + d + w)::bigint as unsupported_entity_count, (5 - m - d - w)::bigint as n_supported, (1 - m)::int as all_money, 1::int as all_percent, (1 - d)::int as all_date, (1 - w)::int as all_quantity from v""",
+    "stratified_folds": f"with {SCORED} select doc_id, y, ((row_number() over (partition by y order by md5(doc_id || '/42'), doc_id) - 1) % 5)::int as fold from sc",
+    "sentence_unsupported": f"with {SENT} select st.trace_id, st.sentence, st.term, st.cnt, round(round(st.cnt * p.idf, 10), 4) as impact from st join prof p using (trace_id, term) where p.c = 0",
+    "best_context_plain": f"""with {BM25}, w as (
+        select t.trace_id, t.no, sum(p.idf * least(t.cnt, p.a)) / sum(p.idf * t.cnt) as p from terms t join prof p using (trace_id, term) where t.part = 'c' group by all)
+        select trace_id, no as best_no, dl as best_context_len from (
+          select l.trace_id, l.no, l.dl, row_number() over (partition by l.trace_id order by round(coalesce(w.p, 0), 12) desc, l.no) as r from len2 l left join w using (trace_id, no)) where r = 1""",
+    "semantic_metrics": """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+        j as (select q.vec_id as k, list_cosine_similarity(q.v, a.v) as qa, list_cosine_similarity(a.v, c.v) as s0, list_cosine_similarity(a.v, d.v) as s1
+          from e q join e a on a.vec_id = q.vec_id + 1 join e c on c.vec_id = q.vec_id + 2 join e d on d.vec_id = q.vec_id + 3),
+        f as (select k, round(qa, 4) as cos, round(greatest(s0, s1), 4) as best, round((s0 + s1) / 2, 4) as mean, (k % 11) / 11 as p, (k % 7) / 7 as cov, k % 2 * 3 as n, k % 9 as len, case when k % 3 > 0 then (k % 5) / 5 end as ov from j)
+        select k as trace_id, cos as cosine_embed, best as best_context_similarity, mean as answer_context_similarity, round(best / nullif(n, 0), 4) as per_sentence_semantic_alignment,
+          round(case when cos > 0 then p / cos end, 4) as answer_novelty_ratio, round(mean * p / greatest(1, len), 4) as semantic_gap, round(greatest(0, cov - best), 4) as qa_context_coverage_gap,
+          round(case when cos > 1e-6 then least(1, p / cos) end, 4) as inference_sem_score from f""",
+    "pr_auc_by_type": f"""with {SCORED}, c as (select answer_type, count(*) as support, count(*) filter (p >= 0.5 and y = 1) as tp, count(*) filter (p >= 0.5 and y = 0) as fp, count(*) filter (p < 0.5 and y = 1) as fn, sum(y) as pos, count(*) as n from sc group by 1),
+        b as (select answer_type, p, sum(y) as pos, count(*) as n from sc group by all), s as (select answer_type, pos, sum(pos) over w / (sum(n) over w)::double as precision from b window w as (partition by answer_type order by p desc rows between unbounded preceding and current row)),
+        ap as (select answer_type, sum(precision * pos) as x from s group by 1)
+        select c.answer_type, support, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1,
+          round(case when pos > 0 and pos < n then x / pos end, 6) as pr_auc from c join ap using (answer_type)""",
+    "top_coefficients": "select direction, rank::bigint as rank, feature, coefficient::double as coefficient from (values ('positive', 1, 'quality', 1.5), ('positive', 2, 'lang_len', 0.25), ('negative', 1, 'phase', -0.5), ('negative', 2, 'chars2', -0.0004)) t(direction, rank, feature, coefficient)",
+    "canonical_dates": "select o_orderkey, strftime(o_orderdate::date, '%Y-%m-%d') as day from orders",
 }
+
+#: All that follows from texts alone, one row a trace; null where there are no contexts.
+REPORT = rf"""{BM25},
+sen as ({_SENTENCES}), st as ({_terms("sen", "trace_id, sentence")}),
+sp as (
+  select s.trace_id, s.sentence, coalesce(any_value(x.p), 0) as precision from sen s left join (
+    select st.trace_id, st.sentence, round(sum(p.idf * least(st.cnt, p.c)) / sum(p.idf * st.cnt), 4) as p
+    from st join prof p using (trace_id, term) group by all) x using (trace_id, sentence) group by all),
+sv as (select trace_id, list_sort(list(precision)) as v, sum(round(precision * 10000)::bigint) as m from sp group by trace_id),
+uns as (
+  select trace_id, term, round(round(a * idf, 10), 4) as impact, row_number() over (partition by trace_id order by round(a * idf, 10) desc, term) as rank from prof where a > 0 and c = 0),
+sup as (
+  select trace_id, term, a as cnt, round(idf, 4) as idf, row_number() over (partition by trace_id order by round(a * idf, 10) desc, term) as rank from prof where a > 0 and c > 0),
+tp as (select trace_id, sum(impact) as top, count(*) as k from uns where rank <= 5 group by 1),
+sk as (select s.trace_id, sum(s.cnt * s.idf) as sup from sup s join tp using (trace_id) where s.rank <= k group by 1),
+raw as (select trace_id, sum(len({_tokens("text")})) as raw from ctx group by 1),
+j as (select t.trace_id, any_value(t.q) as q, any_value(t.a) as a, coalesce(string_agg(c.text, ' ' order by c.no), '') as c from tr t left join ctx c using (trace_id) group by 1),
+nw as (select trace_id, list_distinct(regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}_]+')) as aw, list_distinct(regexp_extract_all(lower(c), '[\p{{L}}\p{{N}}_]+')) as cw,
+  len(regexp_extract_all(a, '[^\s]+')) as na, len(regexp_extract_all(c, '[^\s]+')) as nc, len(regexp_extract_all(q, '[^\s]+')) as nq from j),
+rp as (
+  select s.trace_id, n_ctx = 0 as alone, round(coalesce(precision_token, 0), 4) as precision_token, round(coalesce(recall_context, 0), 4) as recall_context, round(coalesce(cosine_tfidf, 0), 4) as cosine_tfidf,
+    round(coalesce(answer_covers_question, 0), 4) as answer_covers_question, coalesce(len(v), 0) as n_sentences, v[1] as min_sentence_precision, ((2 * m + len(v)) // (2 * len(v))) / 10000 as mean_sentence_precision,
+    v[floor(0.9 * (len(v) - 1))::int + 1] as p90_sentence_precision, round(len(list_filter(v, lambda x: x < 0.3)) / len(v), 4) as low_frac, round(len(list_filter(v, lambda x: x >= 0.3 and x < 0.6)) / len(v), 4) as medium_frac,
+    round(len(list_filter(v, lambda x: x >= 0.6)) / len(v), 4) as high_frac, round(greatest(0, least(1, 1 - coalesce(precision_token, 0))), 4) as unsupported_mass, round(coalesce(top, 0), 4) as unsupported_topk_impact,
+    coalesce(k, 0)::bigint as unsupported_topk_count, round(case when a_terms > 0 then uns / a_terms else 0 end, 4) as unsupported_term_rate, coalesce(uns, 0)::bigint as unsupported_term_count, round(coalesce(sup, 0), 4) as supported_topk_impact,
+    n_ctx as num_contexts, round(case when n_ctx > 0 then raw / n_ctx else 0 end, 4) as avg_ctx_len_tokens, coalesce(q_len, 0)::bigint as q_len, coalesce(a_len, 0)::bigint as a_len, round(coalesce(a_len, 0) / greatest(1, coalesce(q_len, 0)), 4) as qa_len_ratio,
+    coalesce(best_context_len, 0)::bigint as best_context_len, round(coalesce(precision_token * recall_context, 0), 4) as best_context_share,
+    round(case when len(aw) > 0 then len(list_intersect(aw, cw)) / len(aw) else 0 end, 4) as faithfulness, case when na > 10 and nc > 50 then 'High' when na > 5 and nc > 20 then 'Medium' else 'Low' end as confidence,
+    round(case when na = 0 or nq = 0 then 0 else least(1, na / case when nq < 5 then 20 else 30 end) end, 4) as completeness
+  from size s left join lex using (trace_id) left join rec using (trace_id) left join sv using (trace_id) left join tp using (trace_id) left join sk using (trace_id) left join raw using (trace_id) join nw using (trace_id))"""
+_ALWAYS = ("cosine_tfidf", "answer_covers_question", "n_sentences", "faithfulness", "confidence", "completeness")
+_FEATURES = ("precision_token", "recall_context", "unsupported_topk_impact", "unsupported_topk_count", "unsupported_term_rate", "supported_topk_impact", "q_len", "a_len", "best_context_len", "best_context_share", "min_sentence_precision", "mean_sentence_precision", "p90_sentence_precision", "low_frac", "medium_frac", "high_frac", "unsupported_term_count")
+
+
+def _report_columns(names) -> str:
+    return ", ".join(n if n in _ALWAYS else f"case when not alone then {n} end as {n}" for n in names)
+
+
+def report_sql(names) -> str:
+    """The columns of a report that follow from texts alone."""
+    return f"with {REPORT} select trace_id, {_report_columns(names)} from rp"
+
+
+ORACLE_SQL |= {
+    "lexical_features": f"with {REPORT} select trace_id, "
+    + ", ".join(f"coalesce(case when not alone then {n} end, 0)::double as {n}" for n in _FEATURES)
+    + """, cosine_tfidf::double as "qr_alignment.cosine_tfidf", answer_covers_question::double as "qr_alignment.answer_covers_question", 0.0::double as "qr_alignment.cosine_embed", 0.0::double as "qr_alignment.answer_covers_question_sem",
+        len(list_distinct(coalesce((select list(term) from uns u where u.trace_id = rp.trace_id), [])))::double as unsupported_terms__len from rp""",
+}
+
+
+def grounding_report() -> str:
+    from groundspark.plans.queries import LEXICAL
+
+    return report_sql(LEXICAL)
+
+
+ORACLE_SQL["grounding_report"] = grounding_report()

@@ -203,7 +203,7 @@ QUERIES = {
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers and contexts written from orders; amounts, dates and weights differ by the key's remainders."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.to_date("o_orderdate").alias("day"))
+    o = dealt(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.to_date("o_orderdate").alias("day"))
 
     def sentence(cents, day, weight):
         money = F.concat(F.lit("$"), F.format_number(F.floor(cents / 100).cast("long"), 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
@@ -214,17 +214,25 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("k").alias("trace_id"), F.lit("What did the order cost?").alias("q"), sentence(F.col("cents"), F.col("day"), w).alias("a"), F.array(context).alias("c"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a table that comes in fewer files than there are cores, dealt to all of them, for
+    what follows costs far more than to move them; a table of many files stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from groundspark.functions.entities import with_entities
+    from groundspark.functions.entities import entities_of, entities_of_all
 
-    rows = with_entities(with_entities(rendered(spark, sf_dir), "a", "ea").withColumn("ct", F.col("c")[0]), "ct", "ec")
-    return rows
+    return rendered(spark, sf_dir).withColumns({"ea": entities_of(F.col("a")), "ec": entities_of_all(F.col("c"))})
 
 
 def _typed(spark, sf_dir, kind: str) -> DataFrame:
-    from groundspark.functions.entities import with_entities
+    """Entities of one kind; kinds of lower rank, which cannot take its place, aren't read."""
+    from groundspark.functions.entities import RANK, ExtractorConfig, with_entities
 
-    return with_entities(rendered(spark, sf_dir), "a").select("trace_id", F.inline(F.filter("entities", lambda e: e["type"] == kind)))
+    config = ExtractorConfig(types=tuple(t for t in ExtractorConfig().types if RANK[t] >= RANK[kind]))
+    return with_entities(rendered(spark, sf_dir), "a", config=config).select("trace_id", F.inline(F.filter("entities", lambda e: e["type"] == kind)))
 
 
 def money_entities(spark, sf_dir):
@@ -266,10 +274,22 @@ def relative_weekday(spark, sf_dir):
     return rows.select("o_orderkey", F.col("next_friday").cast("string").alias("next_friday"), F.col("last_friday").cast("string").alias("last_friday"))
 
 
+#: Columns of a report that follow from texts alone.
+LEXICAL = ("precision_token", "recall_context", "cosine_tfidf", "answer_covers_question", "n_sentences", "min_sentence_precision", "mean_sentence_precision", "p90_sentence_precision", "unsupported_mass", "unsupported_topk_impact", "unsupported_topk_count", "unsupported_term_rate", "unsupported_term_count", "supported_topk_impact", "num_contexts", "avg_ctx_len_tokens", "q_len", "a_len", "qa_len_ratio", "best_context_len", "best_context_share", "faithfulness", "confidence", "completeness")
+
+
 def grounding_report(spark, sf_dir):
     from groundspark.operators.report import build_report
 
-    return build_report(traces(spark, sf_dir)).select("trace_id", "precision_token", "recall_context", "cosine_tfidf", "numeric_match", "entity_overall", "inference_score", "n_sentences")
+    return build_report(traces(spark, sf_dir)).select("trace_id", *LEXICAL)
+
+
+def entity_report(spark, sf_dir):
+    from groundspark.operators.report import build_report
+
+    report = build_report(rendered(spark, sf_dir))
+    state = lambda t: F.col("entity_match.all_matched_by_type")[t].alias(f"all_{t.lower()}")
+    return report.select("trace_id", F.round("numeric_match", 4).alias("numeric_match"), "entity_overall", "unsupported_numeric_count", "unsupported_entity_count", F.size("supported_entities.items").cast("long").alias("n_supported"), *map(state, ("MONEY", "PERCENT", "DATE", "QUANTITY")))
 
 
 def feature_matrix(spark, sf_dir):
@@ -278,6 +298,61 @@ def feature_matrix(spark, sf_dir):
     return feature_rows(build_report(traces(spark, sf_dir)))
 
 
+def lexical_features(spark, sf_dir):
+    from groundspark.operators.report import ReportConfig, build_report, feature_rows
+
+    report = build_report(traces(spark, sf_dir), ReportConfig(entities=False))
+    return feature_rows(report, allow=("*sentence_precision", "*_frac", "unsupported_topk*", "unsupported_term*", "supported_topk_impact", "precision_token", "recall_context", "best_context*", "qr_alignment", "?_len"))
+
+
+def sentence_unsupported(spark, sf_dir):
+    rows = M.facts(traces(spark, sf_dir)).select("trace_id", F.inline("sentences"))
+    return rows.select("trace_id", F.col("no").alias("sentence"), F.inline("unsupported")).select("trace_id", "sentence", "term", "cnt", "impact")
+
+
+def supported_spans(spark, sf_dir):
+    from groundspark.operators.report import ReportConfig, build_report
+
+    report = build_report(traces(spark, sf_dir), ReportConfig(entities=False))
+    rows = report.select("trace_id", F.posexplode("supported_terms_per_sentence").alias("sentence", "s"))
+    return rows.select("trace_id", "sentence", F.inline("s.supported_terms"))
+
+
+def best_context_plain(spark, sf_dir):
+    rows = traces(spark, sf_dir).where("size(c) > 0")
+    rows = rows.join(M.facts(rows.select("trace_id", "q", "a", "c")), "trace_id", "left")
+    none = F.array().cast("array<struct<no:int,dl:bigint,weight:double,hit:double,found:array<struct<idf:double,cnt:bigint>>>>")
+    rows = rows.withColumn("b", M.best_of(F.coalesce("contexts", none), F.size("c"), bm25=False))
+    return rows.select("trace_id", F.col("b.no").cast("long").alias("best_no"), F.col("b.dl").alias("best_context_len"))
+
+
+def semantic_metrics(spark, sf_dir):
+    from groundspark.operators.report import semantic
+
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    at = lambda k, name: v.select((F.col("vec_id") - k).alias("vec_id"), F.col("e").alias(name))
+    rows = v.withColumnRenamed("e", "qe").join(at(1, "ae"), "vec_id").join(at(2, "c0"), "vec_id").join(at(3, "c1"), "vec_id")
+    k = F.col("vec_id")
+    rows = rows.select(k.alias("trace_id"), "qe", "ae", F.array("c0", "c1").alias("ce"), ((k % 11) / 11).alias("precision_token"), ((k % 7) / 7).alias("answer_covers_question"), (k % 2 * 3).alias("n_sentences"), (k % 9).alias("best_context_len"), F.when(k % 3 > 0, (k % 5) / 5).alias("entity_overall"))
+    names = ("cosine_embed", "best_context_similarity", "answer_context_similarity", "per_sentence_semantic_alignment", "answer_novelty_ratio", "semantic_gap", "qa_context_coverage_gap", "inference_sem_score")
+    return semantic(rows).select("trace_id", *[F.round(n, 4).alias(n) for n in names])
+
+
+def pr_auc_by_type(spark, sf_dir):
+    return V.by_answer_type(scored(spark, sf_dir), 0.5).select("answer_type", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "pr_auc")])
+
+
+def top_coefficients(spark, sf_dir):
+    return A.coefficient_table(spark, COEFFICIENTS, 2).select("direction", F.col("rank").cast("long").alias("rank"), "feature", "coefficient")
+
+
+def canonical_dates(spark, sf_dir):
+    from groundspark.functions.entities import canonical_date
+
+    iso = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.when(F.col("o_orderkey") % 2 == 0, "T10:30").otherwise(""))
+    return table(spark, sf_dir, "orders").select("o_orderkey", canonical_date(iso).alias("day"))
+
+
 def classifier_scores(spark, sf_dir):
     from groundspark.operators.classifier import GroundednessClassifier
 
@@ -294,7 +369,7 @@ def classifier_scores(spark, sf_dir):
 
 QUERIES |= {
     f.__name__: f
-    for f in (money_entities, date_entities, percent_entities, quantity_entities, entity_spans, numeric_match, entity_coverage, relative_weekday, grounding_report, feature_matrix, classifier_scores)
+    for f in (money_entities, date_entities, percent_entities, quantity_entities, entity_spans, numeric_match, entity_coverage, relative_weekday, grounding_report, entity_report, feature_matrix, lexical_features, sentence_unsupported, supported_spans, best_context_plain, semantic_metrics, pr_auc_by_type, top_coefficients, canonical_dates, classifier_scores)
 }
 
 

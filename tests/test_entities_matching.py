@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from groundspark.functions.entities import ExtractorConfig, extract, number_words, relative_weekday
+from groundspark.functions.entities import Entity, ExtractorConfig, extract, number_words, relative_weekday, resolve
 from groundspark.operators import matching
 
 DAY = ExtractorConfig(reference=dt.date(2024, 5, 15))
@@ -57,7 +57,7 @@ def test_spans_and_phone():
 
 
 def entity(type, num=None, currency=None, unit=None, iso=None):
-    return (type, "x", 0, 1, num, currency, unit, iso, None, "t")
+    return (type, "x", 0, 1, num, currency, unit, iso, None, "t", "v")
 
 
 @pytest.mark.parametrize(
@@ -89,3 +89,66 @@ def test_greedy_uses_each_once(spark):
     got = [tuple(r) for r in df.select(matching.matched(F.col("a"), F.col("c")), matching.numeric_match(F.col("a"), F.col("c")), matching.coverage(F.col("a"), F.col("c"))["overall"]).collect()]
     assert got[0][0] == [True, False, True] and abs(got[0][1] - 2 / 3) < 1e-9 and got[0][2] == 0.6667
     assert got[1] == ([], 1.0, 1.0) and got[2] == ([False] * 3, 0.0, 0.0)
+
+
+ALL = ExtractorConfig(types=("MONEY", "NUMBER", "PERCENT", "DATE", "QUANTITY", "PHONE"), reference=DAY.reference)
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("raised $3m from 12 funds", [("MONEY", 3e6), ("NUMBER", 12.0)]),
+        ("about 40 km in 2 hours", [("QUANTITY", 40.0), ("QUANTITY", 2.0)]),
+        ("up 7% on 2021-03-04", [("PERCENT", 7.0), ("DATE", None)]),
+        ("forty-two ships", [("NUMBER", 42.0)]),
+        ("2.5k people and 3m coins", [("NUMBER", 2500.0), ("QUANTITY", 3.0)]),
+        ("nothing to see", []),
+    ],
+)
+def test_kinds_together(text, want):
+    assert [(e.type, e.num) for e in extract(text, ALL)] == want
+
+
+def test_scores_and_overlaps():
+    made = lambda kind, text, start, **more: Entity(kind, text, start, start + len(text), **more)
+    assert made("DATE", "4 May 2020", 0, iso="2020-05-04").score == pytest.approx(1.15)
+    assert made("MONEY", "$5k", 0, currency="USD").score == pytest.approx(1.10) and made("MONEY", "$5 k", 0, currency="USD").score == pytest.approx(1.0)
+    assert made("NUMBER", "5", 0, source="model").score == pytest.approx(0.60)
+    # the tail of number words stands beside the whole, but what comes next still decides
+    words, tail = made("NUMBER", "two hundred five", 0, source="number-words"), made("NUMBER", "five", 12, source="number-words-tail")
+    assert resolve([words, tail]) == [words, tail]
+    money = made("MONEY", "hundred five dollars", 4, currency="USD", source="money-words")
+    assert resolve([words, tail, money])[0] == money
+    model = made("NUMBER", "205", 0, num=205.0, source="model")
+    number = made("NUMBER", "205", 0, num=205.0, source="number")
+    assert resolve([model, number]) == [number]
+
+
+def _tagger():
+    def spans(text):
+        at = text.find("July 2024")
+        return [("DATE", at, at + 9)] * (at >= 0) + [("PERSON", 0, 1), ("MONEY", 0, 2)]
+
+    return spans
+
+
+def test_a_model_may_add_candidates():
+    config = ExtractorConfig(types=("DATE", "MONEY"), model=_tagger)
+    found = extract("on the 24th of July 2024", config)
+    assert [(e.iso, e.text) for e in found] == [("2024-07-24", "24th of July 2024")]
+    assert extract("ab", config) == []
+
+
+def test_values_as_text():
+    values = [e.value for e in extract("$1,200.50, 7%, 5 km, 2021-03-04, 12 and 415-555-2671", ALL)]
+    assert values == ["1200.5:USD", "7.0%", "5.0km", "2021-03-04", "12.0", "+14155552671"]
+    assert [e.value for e in extract("1,250", ExtractorConfig(types=("NUMBER",), whole=True))][0] == "1250.0"
+
+
+def test_columns_of_entities(spark):
+    from groundspark.functions.entities import canonical_date, entities_of, entities_of_all
+
+    df = spark.createDataFrame([(1, "pay $5", ["$5", None, "3 kg then"]), (2, None, []), (3, "", None)], "id long, a string, c array<string>")
+    rows = df.select("id", entities_of(F.col("a")).alias("a"), entities_of_all(F.col("c")).alias("c")).orderBy("id").collect()
+    assert [len(r.a) for r in rows] == [1, 0, 0] and [[(e.type, e.start) for e in r.c] for r in rows] == [[("MONEY", 0), ("QUANTITY", 0)], [], []]
+    assert df.select(canonical_date(F.lit("2020-01-02T10:00"))).first()[0] == "2020-01-02"

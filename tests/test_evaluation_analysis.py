@@ -1,7 +1,9 @@
+import hashlib
+import json
 import random
-import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from groundspark.operators import analysis as A
 from groundspark.operators import evaluation as V
@@ -48,7 +50,7 @@ def test_folds(scored):
     rows, df = scored
     got = {r.id: r.fold for r in V.stratified_folds(df, "id").collect()}
     for y in (0, 1):
-        order = sorted((i for i, v, _ in rows if v == y), key=lambda i: (zlib.crc32(f"{i}/42".encode()), i))
+        order = sorted((i for i, v, _ in rows if v == y), key=lambda i: (hashlib.md5(f"{i}/42".encode()).hexdigest(), i))
         assert [got[i] for i in order] == [k % 5 for k in range(len(order))]
 
 
@@ -87,3 +89,78 @@ def test_classifier_scores_every_labelled_row_out_of_its_fold(spark, tmp_path):
     spark.createDataFrame([(i, int(n > 400), 0) for i, _, n in docs if i < 50], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = QUERIES["classifier_scores"](spark, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == list(range(50))
+
+
+def table(spark, n=120, seed=4):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x = rng.gauss(0, 1)
+        rows.append((i, x, rng.gauss(0, 1), 1.0, int(x + rng.gauss(0, 0.5) > 0), rng.choice(["fact", "list", " ", None]), f"q{i}", f"a{i}"))
+    return spark.createDataFrame(rows, "trace_id long, x double, z double, k double, y int, answer_type string, q string, a string")
+
+
+def test_final_fit_and_its_tables(spark, tmp_path):
+    from groundspark.operators.classifier import final_fit, predictions
+    from groundspark.sources import readers, sinks
+
+    df = table(spark)
+    model, record = final_fit(df.where("trace_id < 90"), "trace_id", ["x", "z"], df.where("trace_id >= 90"), grid=(0.1, 1.0), k=3)
+    assert record["n_train"] == 90 and len(record["cv"]["folds"]) == 6 and record["bestC"] in (0.1, 1.0)
+    best = [r for r in record["cv"]["folds"] if r["C"] == record["bestC"]]
+    assert record["final_threshold"] == pytest.approx(sum(r["threshold"] for r in best) / 3) and record["cv"]["selected"]["fold_metrics"] == best
+    assert set(record["test"]["by_answer_type"]) == {"fact", "list", "unknown"} and record["test"]["roc_auc"] > 0.7
+    found = predictions(model, df.where("trace_id >= 90"), "trace_id", "q", "a", "answer_type", k=1)
+    for r in found.collect():
+        top = r.top_features[0]
+        assert r.y_pred == int(r.probability >= model.threshold) and top.coefficient == model.coefficients()[top.feature]
+    sinks.write_predictions(found, f"{tmp_path}/p")
+    back = readers.read_predictions(spark, f"{tmp_path}/p").collect()
+    assert len(back) == 30 and all(len(r.top_features) == 1 for r in back) and "unknown" in {r.answer_type for r in back}
+    sinks.write_estimation(spark, record, f"{tmp_path}/e", model.coefficients())
+    folds = spark.read.option("header", True).csv(f"{tmp_path}/e/cv_folds").collect()
+    assert [r.fold for r in folds] == ["1", "2", "3"]
+    macros = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/e/macros").collect())
+    assert f"\\newcommand{{\\EstTrainSize}}{{90}}" in macros and "\\newcommand{\\EstCvMinPrecision}{n/a}" in macros
+
+
+def test_by_answer_type(spark):
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.8), ("a", 1, 0.7), ("b", 1, 0.6), ("", 0, 0.1)], "answer_type string, y int, p double")
+    got = {r.answer_type: r for r in V.by_answer_type(df, 0.5).collect()}
+    assert got["a"].pr_auc == pytest.approx((1 + 2 / 3) / 2) and got["b"].pr_auc is None and got["unknown"].support == 1
+
+
+def test_feature_report_and_filters(spark):
+    df = table(spark, 60).withColumn("x2", F.col("x") * 2)
+    report = A.feature_report(df, ["x", "z", "k", "x2"], {"x": 2.0, "z": -1.0, "k": 0.5, "x2": 0.0})
+    assert report["zero_variance_features"] == ["k"] and [p[:2] for p in report["high_correlation_pairs"]] == [("x", "x2")]
+    assert report["top_corr_with_y"][0][0] in ("x", "x2") and report["top_positive_coefficients"][0] == ("x", 2.0) and report["top_negative_coefficients"][0] == ("z", -1.0)
+    with pytest.raises(ValueError):
+        A.correlated_pairs(df, ["x", "z"], most_features=1)
+    kept, record = A.filtered_features(["a", "b", "c"], ["a", "b", "a", "zz"], ["b", "yy"])
+    assert kept == ["a"] and record["missing_from_allow"] == ["zz"] and record["missing_from_deny"] == ["yy"] and record["dropped_features"] == ["b", "c"]
+    with pytest.raises(ValueError):
+        A.filtered_features(["a"], deny=["a"])
+
+
+def test_feature_sinks(spark, tmp_path):
+    from groundspark.sources import readers, sinks
+
+    df = table(spark, 20).withColumn("q", F.concat(F.lit('say "hi", '), "q"))
+    sinks.write_features(df, f"{tmp_path}/f", ["x", "z"])
+    back, names = sinks.read_features(spark, f"{tmp_path}/f")
+    assert names == ["x", "z"] and back.count() == 20
+    sinks.write_features_csv(df, f"{tmp_path}/c", ["x"], ["y", "q", "answer_type"])
+    rows = readers.read_test_rows(spark, f"{tmp_path}/c").collect()
+    assert sorted(r.q for r in rows) == sorted(r.q for r in df.collect()) and all(len(r.x.split(".")[1]) == 6 for r in rows)
+    stats = A.dataset_stats(readers.read_stats_rows(spark, f"{tmp_path}/c"))
+    record = sinks.stats_record(stats)
+    assert record["total_examples"] == 20 and record["positives"] == df.where("y = 1").count() and set(record["answer_type_positive_counts"]) <= {"fact", "list", "unknown"}
+    sinks.write_stats(stats, f"{tmp_path}/s")
+    assert json.loads("\n".join(r.value for r in spark.read.text(f"{tmp_path}/s").collect())) == record
+    wide, long = sinks.stats_tables(stats.withColumn("split", F.lit("train")))
+    assert wide.first().split == "train" and "other" in wide.columns and long.count() == stats.count()
+    bad = f"{tmp_path}/bad.csv"
+    open(bad, "w").write("y,answer_type\n1,fact\nmaybe,fact\n")
+    with pytest.raises(Exception, match="not a label: maybe"):
+        readers.read_stats_rows(spark, bad).collect()

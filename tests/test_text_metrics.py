@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import text as X
 from groundspark.operators import metrics as M
-from groundspark.operators.report import FLAT, build_report, feature_rows, varying
+from groundspark.operators.report import FLAT, ReportConfig, answer_report, build_report, feature_names, feature_rows, semantic, usable, varying
 from groundspark.sources import readers
 from groundspark.streaming.grounding import scored_stream
 
@@ -25,40 +25,38 @@ def test_tokens_and_sentences(spark):
     assert row[2].endswith("24 May") and row[3] == 11
 
 
+#: Words and the terms they count as; none for stop words.
+TERMS = {"revenue": "revenue", "growth": "growth", "margin": "margin", "was": None, "the": None, "reported": "report", "5.2b": "5.2b", "costs": "cost", "running": "runn", "prices": "price"}
+
+
 def terms(text):
-    import re
-
-    out = []
-    for t in re.findall(r"\b[\w$%.-]+\b", text or ""):
-        t = t.lower()
-        if re.fullmatch(r"[-+]?\d[\d,]*\.?\d*", t):
-            pass
-        elif t.endswith("s") and len(t) > 3:
-            t = t[:-1]
-        elif t.endswith("ed") and len(t) > 4:
-            t = t[:-2]
-        elif t.endswith("ing") and len(t) > 5:
-            t = t[:-3]
-        if t and t not in X.STOPWORDS and not t.isdigit():
-            out.append(t)
-    return out
+    return [TERMS[w] for w in (text or "").split() if TERMS[w]]
+
+
+def random_traces(n=20, seed=2):
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choice(list(TERMS)) for _ in range(n))
+    return [(i, text(6), text(9), [text(8) for _ in range(i % 4)], 1) for i in range(n)]
 
 
 def test_profile_by_hand(spark):
-    rng = random.Random(2)
-    words = "revenue growth guidance margin was the reported 5.2b costs running prices".split()
-    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    rows = [(i, text(6), text(9), [text(8) for _ in range(i % 4)], 1) for i in range(20)]
+    rows = random_traces()
     df = spark.createDataFrame(rows, TRACE)
     got = {r.trace_id: r for r in M.lexical(M.profile(df)).collect()}
+    facts = {r.trace_id: r for r in M.facts(df).collect()}
     best = {r.trace_id: r.recall_context for r in M.recall_context(df).collect()}
     for i, q, a, c, _ in rows:
         docs = [terms(x) for x in (*c, a, q)]
         idf = {t: math.log((len(docs) + 1) / (sum(t in d for d in docs) + 1)) + 1 for d in docs for t in d}
         A, Q, C = terms(a), terms(q), [t for x in c for t in terms(x)]
         over = lambda x, y: sum(idf[t] * min(x.count(t), y.count(t)) for t in set(x)) / max(1e-300, sum(idf[t] * x.count(t) for t in set(x)))
-        assert abs(got[i].precision_token - over(A, C)) < 1e-9
-        assert abs(got[i].answer_covers_question - over(Q, A)) < 1e-9
+        for have in (got[i], facts[i]):
+            assert abs(have.precision_token - over(A, C)) < 1e-9
+            assert abs(have.answer_covers_question - over(Q, A)) < 1e-9
+        assert len(facts[i].contexts) == sum(bool(terms(x)) for x in c)
+        for f in facts[i].contexts:
+            x = terms(c[f.no])
+            assert f.dl == len(x) and abs(f.hit / f.weight - over(x, A)) < 1e-9
         if c:
             sizes = [len(terms(x)) for x in c]
             mean = sum(sizes) / len(sizes)
@@ -67,6 +65,22 @@ def test_profile_by_hand(spark):
             assert abs(best[i] - over(terms(c[top]), A)) < 1e-9
 
 
+def test_report_equals_its_parts(spark):
+    df = spark.createDataFrame([r for r in random_traces(16, 5) if r[3]], TRACE)
+    report = {r.trace_id: r for r in build_report(df, ReportConfig(entities=False)).collect()}
+    for part in (M.unsupported_extras(df), M.quickwins(df), M.sentence_summary(df), M.simple_scores(df), M.recall_context(df)):
+        for r in part.collect():
+            for name in (c for c in part.columns if c in report[r.trace_id].__fields__):
+                x, y = r[name], report[r.trace_id][name]
+                assert x == y or abs(x - y) < 1e-4, name
+    for part, name in ((M.supported_terms(M.profile(df)), "supported_terms"), (M.unsupported_terms(M.profile(df)), "unsupported_terms")):
+        found = {}
+        for r in sorted(part.collect(), key=lambda r: r["rank"]):
+            found.setdefault(r.trace_id, []).append((r.term, r.cnt, r.idf))
+        for i, r in report.items():
+            assert [(t.term, t.cnt, t.idf) for t in r[name]] == found.get(i, [])
+
+
 def test_report_paths(spark):
     rows = [
         (1, "What was revenue?", "Revenue was $5.2B. Growth was 12%.", ["Revenue of $5.2B was reported, growth 12%."], 1),
@@ -91,16 +105,21 @@ def test_report_paths(spark):
     assert "precision_token" in varying(flat, list(FLAT)) and "entity_match.PHONE__len" not in varying(flat, list(FLAT))
 
 
-def test_known_figures(spark):
-    """Figures worked out by hand from the formulas: four documents, idf ln(5/4)+1 and ln(5/3)+1."""
-    row = (1, "What was the 2023 revenue and guidance?", "Revenue was $5.2B and guidance is 12% growth.", ["In 2023, the company reported revenue of $5.2B.", "Management expects growth of 12 percent next year."], 1)
+def test_figures_of_one_record(spark):
+    """Four documents; a term in k of them weighs ln(5 / (k + 1)) + 1."""
+    one, two, three = (math.log(5 / (k + 1)) + 1 for k in (1, 2, 3))
+    row = (1, "How tall is the tower?", "The tower is tall, red and haunted.", ["The tower was painted red.", "A tall mast stands nearby."], 1)
     df = spark.createDataFrame([row], TRACE)
-    lex = M.lexical(M.profile(df)).first()
-    assert [round(v, 4) for v in (lex.precision_token, lex.cosine_tfidf, lex.answer_covers_question)] == [0.7375, 0.4792, 0.5879]
-    assert round(M.recall_context(df).first().recall_context, 4) == 0.4163
-    quick, extra = M.quickwins(df).first(), M.unsupported_extras(df).first()
-    assert (quick.best_context_len, quick.q_len, quick.a_len, quick.qa_len_ratio, quick.avg_ctx_len_tokens, quick.best_context_share) == (4, 3, 4, 1.3333, 8.0, 0.3071)
-    assert (extra.supported_topk_impact, extra.unsupported_mass, extra.unsupported_term_rate) == (1.5108, 0.2625, 0.25)
+    r = build_report(df).first()
+    whole = 2 * three + two + one  # tower, tall, red, haunt
+    assert r.precision_token == round((2 * three + two) / whole, 4)
+    assert r.answer_covers_question == round(2 * three / (2 * three + one), 4)  # how, tall, tower
+    assert r.cosine_tfidf == round(2 * three**2 / math.sqrt((2 * three**2 + two**2 + one**2) * (2 * three**2 + one**2)), 4)
+    # tower, paint, red is the context that the answer has most of
+    assert r.recall_context == round((three + two) / (three + two + one), 4) and r.best_context_len == 3
+    assert [(t.term, t.impact) for t in r.unsupported_terms] == [("haunt", round(one, 4))]
+    assert (r.a_len, r.q_len, r.qa_len_ratio, r.unsupported_term_rate, r.unsupported_mass) == (4, 3, 1.3333, 0.25, round(1 - r.precision_token, 4))
+    assert r.summary == f"{round(r.precision_token * 100, 1)}% grounded; {round((three + two) / (three + two + one) * 100, 1)}% best-context recall; 100.0% numeric; 100.0% entity; Q↔A tfidf {round(r.cosine_tfidf, 2)}."
 
 
 def test_unsupported_and_supported_split_the_answer(spark):
@@ -131,3 +150,80 @@ def test_stream(spark, tmp_path):
     query = scored_stream(stream).writeStream.format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("scores").first().numeric_match == 1.0
+
+
+def test_spans_and_sentences_of_a_report(spark):
+    a = "Costs rose. Ships sailed on. Costs rose."
+    rows = [(1, "q", a, ["The costs rose."], 1), (2, "q", "Été ended.", ["nothing"], 1)]
+    got = {r.trace_id: r for r in build_report(spark.createDataFrame(rows, TRACE)).collect()}
+    per = got[1].supported_terms_per_sentence
+    assert [s.sentence for s in per] == ["Costs rose.", "Ships sailed on.", "Costs rose."]
+    assert [[(t.term, a[t.start : t.end]) for t in s.supported_terms] for s in per] == [[("cost", "Costs"), ("rose", "rose")], [], [("cost", "Costs"), ("rose", "rose")]]
+    assert [[t.term for t in s.unsupported_terms] for s in got[1].unsupported_terms_per_sentence] == [[], ["sail", "ship"], []]
+    assert got[1].per_sentence == [1.0, 0.0, 1.0]
+    spans = spark.createDataFrame(rows, TRACE).select(X.token_spans(F.col("a")).alias("s"), X.tokens(F.col("a")).alias("t"), "a").collect()
+    for r in spans:
+        assert [s.token for s in r.s] == r.t and all(r.a[s.start : s.end] == s.token for s in r.s)
+
+
+def test_entities_of_a_report(spark):
+    rows = [(1, "q", "It cost $20, then $30 and 5%.", ["It cost $20 at first.", "Later 5% more, or $31."], 1), (2, "q", "No figure here.", ["ctx $5"], 1)]
+    got = {r.trace_id: r for r in build_report(spark.createDataFrame(rows, TRACE)).collect()}
+    m = got[1].entity_match
+    assert m.overall == 0.6667 and m.unsupported == ["MONEY:30.0:USD"] and got[1].unsupported_numbers == ["MONEY:30.0:USD"]
+    assert m.presence_by_type["MONEY"] == m.presence_by_type["PERCENT"] == 1 and m.presence_by_type["DATE"] == 0
+    assert m.all_matched_by_type["MONEY"] == 0 and m.state_by_type["PERCENT"] == 1.0
+    assert got[1].supported_entities["count"] == 2 and got[1].supported_entities.by_type == {"MONEY": 1, "PERCENT": 1}
+    assert got[2].entity_match.overall == 1.0 and got[2].entity_match.presence_by_type == {}
+
+
+def _lengths():
+    return lambda texts: [[float(len(t)), 1.0 + t.count("a")] for t in texts]
+
+
+def _words():
+    return lambda text: ([w for w in text.lower().split() if len(w) > 3], text.lower().split()[:1])
+
+
+def test_models_as_hooks(spark):
+    rows = [(1, "abc anna", "a banana tree", ["trees are tall", "banana cake"], 1), (2, "", "only an answer", ["only"], 1)]
+    config = ReportConfig(embed=_lengths, pos=_words)
+    got = {r.trace_id: r for r in build_report(spark.createDataFrame(rows, TRACE), config).collect()}
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    v = lambda t: [float(len(t)), 1.0 + t.count("a")]
+    near = [cos(v(rows[0][2]), v(c)) for c in rows[0][3]]
+    assert got[1].cosine_embed == round(cos(v(rows[0][1]), v(rows[0][2])), 4)
+    assert got[1].best_context_similarity == round(max(near), 4) and got[1].answer_context_similarity == round(sum(near) / 2, 4)
+    assert got[1].answer_covers_question_sem == 1.0 and got[1].inference_sem_score is not None and "A↔C embed" in got[1].summary
+    longest = near.index(max(near))
+    size = len([w for w in rows[0][3][longest].split() if w not in X.STOPWORDS])
+    precision = M.lexical(M.profile(spark.createDataFrame(rows[:1], TRACE))).first().precision_token
+    assert abs(got[1].semantic_gap - round(sum(near) / 2 * precision / size, 4)) <= 1e-4
+    assert got[1].content_term_support_rate == 0.5 and got[1].head_noun_support_rate == 0.0
+    assert got[2].cosine_embed is None and got[2].answer_novelty_ratio is None and got[2].head_noun_support_rate == 1.0
+
+
+def test_semantic_of_given_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 1.0], [[1.0, 0.0], [0.0, 1.0]], 0.5, 0.9, 2, 4)], "trace_id long, qe array<double>, ae array<double>, ce array<array<double>>, precision_token double, answer_covers_question double, n_sentences long, best_context_len long")
+    r = semantic(rows).first()
+    assert r.cosine_embed == r.best_context_similarity == r.answer_context_similarity == 0.7071
+    assert (r.per_sentence_semantic_alignment, r.answer_novelty_ratio, r.semantic_gap, r.qa_context_coverage_gap) == (0.3536, 0.7071, 0.0884, 0.1929)
+
+
+def test_feature_lists_and_skipped_rows(spark):
+    assert feature_names(("qr_alignment",)) == [n for n in FLAT if n.startswith("qr_alignment.")]
+    assert feature_names(("entity_match.*DATE",)) == ["entity_match.presence_by_type.DATE", "entity_match.all_matched_by_type.DATE"]
+    assert feature_names(("*_frac", "a_len")) == ["a_len", "low_frac", "medium_frac", "high_frac"]
+    rows = spark.createDataFrame([(1, "q", "a", ["c"], 1), (2, "q", None, ["c"], 1), (None, "q", "a", ["c"], 0), (4, "q", "a", None, 0)], TRACE)
+    good, bad = usable(rows)
+    assert [r.trace_id for r in good.collect()] == [1]
+    assert sorted(r.error for r in bad.collect()) == ["no answer", "no contexts", "no trace_id"]
+    alone = answer_report(good.drop("q")).first()
+    assert alone.q_len == 0 and alone.answer_covers_question == 0.0
+
+
+def test_best_context_without_bm25(spark):
+    # the short context lies in the answer as a whole, the long one shares more of it
+    df = spark.createDataFrame([(1, "q", "alpha beta gamma delta", ["alpha beta gamma omega sigma tau", "delta"], 1)], TRACE)
+    assert build_report(df).first().best_context_len == 6
+    assert build_report(df, ReportConfig(bm25=False)).first().best_context_len == 1
