@@ -296,7 +296,7 @@ def sorted_runs(contexts: DataFrame, targets: int) -> DataFrame:
     return arrow_map(contexts.select("gram", "hi", "lo", "windows", "off", "copies", "context"), make, _RUN_SCHEMA)
 
 
-def merged_repeats(runs: DataFrame, window: int, gram: int) -> DataFrame:
+def merged_repeats(runs: DataFrame, targets: int, window: int, gram: int) -> DataFrame:
     """Merge each range's runs; gram, hi, lo and the runs of repeated window starts.
 
     A worker holds a range's runs as they are coded, and the contexts of some cores.
@@ -340,7 +340,8 @@ def merged_repeats(runs: DataFrame, window: int, gram: int) -> DataFrame:
         if held:
             yield from merged(held)
 
-    return runs.repartition("target").sortWithinPartitions("target").mapInArrow(run, "gram long, hi long, lo long, runs array<int>")
+    # as many tasks as ranges: a run is large for its one row, so their number must not shrink
+    return runs.repartition(targets, "target").sortWithinPartitions("target").mapInArrow(run, "gram long, hi long, lo long, runs array<int>")
 
 
 def halved(parts: DataFrame, window: int) -> DataFrame:
@@ -384,7 +385,7 @@ def resolved(contexts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def merge(rows: DataFrame) -> DataFrame:
         targets = max(fewest, -(-rows.count() // RANGE))
-        return scratch(merged_repeats(sorted_runs(rows, targets), window, gram), "merged")
+        return scratch(merged_repeats(sorted_runs(rows, targets), targets, window, gram), "merged")
 
     found = merge(contexts.where(F.col("contexts") <= GROUP))
     hot = contexts.where(F.col("contexts") > GROUP)
