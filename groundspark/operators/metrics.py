@@ -295,12 +295,12 @@ def best_of(contexts: Column, size: Column, bm25: bool = True) -> Column:
     def scored(mean: Column) -> Column:
         def of(x: Column) -> Column:
             norm = BM25_K1 * (1 - BM25_B + BM25_B * ratio(x["dl"], mean))
-            score = let(norm, lambda n: total(x["found"], lambda h: h["idf"] * h["cnt"] * (BM25_K1 + 1) / (h["cnt"] + n))) if bm25 else ratio(x["hit"], x["weight"])
+            score = total(x["found"], lambda h: h["idf"] * h["cnt"] * (BM25_K1 + 1) / (h["cnt"] + norm)) if bm25 else ratio(x["hit"], x["weight"])
             return F.struct(F.round(score, 12).alias("score"), (-x["no"]).alias("first"), x["dl"].alias("dl"), ratio(x["hit"], x["weight"]).alias("recall"))
 
         return F.array_max(F.transform(some, of))
 
-    best = let(ratio(total(contexts, lambda x: x["dl"]), size), scored)
+    best = scored(ratio(total(contexts, lambda x: x["dl"]), size))
     first = F.filter(contexts, lambda x: x["no"] == 0)
     none = F.struct(F.lit(0).alias("no"), F.coalesce(F.get(first, F.lit(0))["dl"], F.lit(0).cast("long")).alias("dl"), F.lit(0.0).alias("recall"))
     made = let(best, lambda b: F.when(b.isNull(), none).otherwise(F.struct((-b["first"]).alias("no"), b["dl"].alias("dl"), b["recall"].alias("recall"))))

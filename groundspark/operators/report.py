@@ -7,7 +7,9 @@ figures and no grounding. Nulls stay in the report and become 0 in the feature r
 from __future__ import annotations
 
 import fnmatch
+import math
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -57,32 +59,34 @@ def _loaded(load: Callable) -> Callable:
     return load()
 
 
-def embedded(texts: Column, embed: Callable) -> Column:
-    """Vectors of an array of texts; a batch's texts go to the model in one call."""
-
-    @F.arrow_udf("array<array<double>>")
-    def run(lists: pa.Array) -> pa.Array:
-        lists = lists.to_pylist()
-        flat = [t or "" for own in lists for t in own or ()]
-        vectors = iter(_loaded(embed)(flat) if flat else ())
-        made = [None if own is None else [[float(x) for x in next(vectors)] for _ in own] for own in lists]
-        return pa.array(made, pa.list_(pa.list_(pa.float64())))
-
-    return run(texts)
+def _cosine(x: list[float], y: list[float]) -> float:
+    size = math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    return sum(a * b for a, b in zip(x, y)) / size if size > 0 else 0.0
 
 
 def with_vectors(rows: DataFrame, embed: Callable) -> DataFrame:
-    """qe, ae, ce and te: vectors of question, answer, contexts and the question's terms."""
+    """qa, near and term_cosines: cosines of the answer with the question, with each context and
+    with the question's terms; null without the texts. A batch's texts go to the model in one call."""
+
+    @F.arrow_udf("struct<qa:double,near:array<double>,terms:map<string,double>>")
+    def run(q: pa.Array, a: pa.Array, c: pa.Array, asked: pa.Array) -> pa.Array:
+        rows = [(q or "", a or "", c or [], t or []) for q, a, c, t in zip(q.to_pylist(), a.to_pylist(), c.to_pylist(), asked.to_pylist())]
+        flat = [x or "" for q, a, c, t in rows for x in (q, a, *c, *t)]
+        vectors, made = iter(_loaded(embed)(flat) if flat else ()), []
+        for q, a, c, t in rows:
+            qe, ae = next(vectors), next(vectors)
+            ce, te = [next(vectors) for _ in c], [next(vectors) for _ in t]
+            made.append({"qa": _cosine(qe, ae) if q and a else None, "near": [_cosine(ae, x) for x in ce] if a and c else None, "terms": [(k, _cosine(x, ae)) for k, x in zip(t, te)] if a else None})
+        return pa.array(made, pa.struct([("qa", pa.float64()), ("near", pa.list_(pa.float64())), ("terms", pa.map_(pa.string(), pa.float64()))]))
+
     asked = F.transform(F.filter("terms", lambda t: t["q"] > 0), lambda t: t["term"])
-    rows = rows.withColumn("_v", embedded(F.concat(F.array(F.coalesce("q", F.lit("")), F.coalesce("a", F.lit(""))), "c"), embed))
-    rows = rows.withColumns({"qe": F.when(F.length(F.coalesce("q", F.lit(""))) > 0, F.col("_v")[0]), "ae": F.col("_v")[1], "ce": F.slice("_v", 3, F.greatest(F.size("c"), F.lit(1)))})
-    rows = rows.withColumn("te", F.map_from_arrays(F.coalesce(asked, F.array().cast("array<string>")), embedded(F.coalesce(asked, F.array().cast("array<string>")), embed)))
-    return rows.drop("_v")
+    rows = rows.withColumn("cosines", run(F.col("q"), F.col("a"), F.col("c"), asked))
+    return rows.withColumns({"qa": F.col("cosines.qa"), "near": F.col("cosines.near"), "term_cosines": F.col("cosines.terms")}).drop("cosines")
 
 
 def build_report(traces: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
     """traces: trace_id (a key), q, a, c and, for the semantic part without a model, qe, ae
-    (vectors), ce (array of them) and te (map of the question's terms to theirs, or absent).
+    (vectors) and ce (array of them).
 
     Traces are dealt by trace_id once; terms are counted there (``metrics.facts``), and every
     metric is an expression over its trace's row.
@@ -107,9 +111,12 @@ def build_report(traces: DataFrame, config: ReportConfig = ReportConfig()) -> Da
         out = out.withColumns({"inference_score": score, "inference_likely": likely})
     always = {n: F.when(answered, F.col(n)) for n in ("cosine_tfidf", "answer_covers_question")}
     out = out.withColumns({n: F.when(grounded, F.col(n)) for n in GROUNDED if n in out.columns} | always)
+    if config.embed is not None or {"qe", "ae", "ce"} <= set(out.columns):
+        # parts the plan here: else the optimizer writes out all of the report in each vector metric
+        out = out.repartition("trace_id")
     if config.embed is not None:
         out = with_vectors(out, config.embed)
-    if {"qe", "ae", "ce"} <= set(out.columns):
+    if "qa" in out.columns or {"qe", "ae", "ce"} <= set(out.columns):
         out = semantic(out, config)
     else:
         out = out.withColumn("qa_context_coverage_gap", F.round("answer_covers_question", 4))
@@ -144,8 +151,8 @@ def lexical(rows: DataFrame, config: ReportConfig) -> DataFrame:
     rows = rows.withColumns({
         "recall_context": F.coalesce("best.recall", F.lit(0.0)),
         "best_context_len": F.coalesce("best.dl", F.lit(0)).cast("long"),
-        "per_sentence": M.let(own, lambda by: F.transform("every", lambda x, i: F.coalesce(F.try_element_at(by, i), F.lit(0.0)))),
-        "unsupported_terms_per_sentence": M.let(own_lost, lambda by: F.transform("every", lambda x, i: F.struct(x.alias("sentence"), F.coalesce(F.try_element_at(by, i), F.array().cast(lost)).alias("unsupported_terms")))),
+        "per_sentence": F.transform("every", lambda x, i: F.coalesce(F.try_element_at(own, i), F.lit(0.0))),
+        "unsupported_terms_per_sentence": F.transform("every", lambda x, i: F.struct(x.alias("sentence"), F.coalesce(F.try_element_at(own_lost, i), F.array().cast(lost)).alias("unsupported_terms"))),
         "n_sentences": F.size("every").cast("long"),
     })
     values = F.sort_array("per_sentence")
@@ -196,11 +203,14 @@ def supported_spans(sentences: Column) -> Column:
 
 
 def semantic(rows: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
-    """Vector metrics from qe, ae, ce and te: similarities, gaps, novelty and inference."""
-    both = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), cosine(x, y))
-    near = F.transform("ce", lambda v: both(F.col("ae"), v))
-    some = F.nullif(F.size("ce"), F.lit(0))
-    out = rows.withColumn("near", near).withColumn("cosine_embed", F.round(both(F.col("qe"), F.col("ae")), 4))
+    """Vector metrics from the cosines qa and near, or from the vectors qe, ae and ce:
+    similarities, gaps, novelty and inference."""
+    out = rows
+    if "qa" not in rows.columns:
+        both = lambda x, y: F.when(x.isNotNull() & y.isNotNull(), cosine(x, y))
+        out = rows.withColumns({"qa": both(F.col("qe"), F.col("ae")), "near": F.transform("ce", lambda v: both(F.col("ae"), v))})
+    some = F.nullif(F.size("near"), F.lit(0))
+    out = out.withColumn("cosine_embed", F.round("qa", 4))
     out = out.withColumn("best_context_similarity", F.round(F.array_max("near"), 4))
     out = out.withColumn("answer_context_similarity", F.round(M.total(F.col("near"), lambda x: x) / some, 4))
     out = out.withColumn("per_sentence_semantic_alignment", F.round(F.col("best_context_similarity") / F.nullif(F.col("n_sentences"), F.lit(0)), 4))
@@ -214,16 +224,16 @@ def semantic(rows: DataFrame, config: ReportConfig = ReportConfig()) -> DataFram
     out = out.withColumn("semantic_gap", F.round(F.col("answer_context_similarity") * F.col("precision_token") / F.greatest(F.lit(1), length), 4))
     gap = F.greatest(F.lit(0.0), F.col("answer_covers_question") - F.col("best_context_similarity"))
     out = out.withColumn("qa_context_coverage_gap", F.round(F.coalesce(F.when(F.col("best_context_similarity").isNotNull(), gap), F.col("answer_covers_question")), 4))
-    if {"te", "terms"} <= set(out.columns):
+    if {"term_cosines", "terms"} <= set(out.columns):
         asked = F.filter("terms", lambda t: t["q"] > 0)
-        covered = M.total(asked, lambda t: F.when(cosine(F.col("te")[t["term"]], F.col("ae")) >= TERM_COSINE, t["idf"] * t["q"]).otherwise(0.0))
+        covered = M.total(asked, lambda t: F.when(F.try_element_at("term_cosines", t["term"]) >= TERM_COSINE, t["idf"] * t["q"]).otherwise(0.0))
         whole = M.total(asked, lambda t: t["idf"] * t["q"])
         out = out.withColumn("answer_covers_question_sem", F.round(F.when(F.col("cosine_embed").isNotNull(), F.when(whole > 0, covered / whole).otherwise(1.0)), 4))
     if config.inference and "entity_overall" in out.columns:
         any_entity = F.size("a_entities") > 0 if "a_entities" in out.columns else F.lit(False)
         score, likely = M.inference_sem(F.col("precision_token"), F.col("entity_overall"), any_entity, F.col("cosine_embed"))
         out = out.withColumns({"inference_sem_score": score, "inference_sem_likely": likely})
-    return out.drop("near")
+    return out.drop("qa", "near", "term_cosines")
 
 
 def pos_stats(rows: DataFrame, pos: Callable | None) -> DataFrame:
@@ -231,24 +241,23 @@ def pos_stats(rows: DataFrame, pos: Callable | None) -> DataFrame:
     if pos is None:
         return rows.withColumns({c: F.lit(None).cast("double") for c in POS})
 
-    @F.arrow_udf("array<struct<terms:array<string>,heads:array<string>>>")
-    def tagged(lists: pa.Array) -> pa.Array:
-        tag = _loaded(pos)
-        made = [[dict(zip(("terms", "heads"), tag(t or ""))) for t in own or ()] for own in lists.to_pylist()]
-        return pa.array(made, pa.list_(pa.struct([("terms", pa.list_(pa.string())), ("heads", pa.list_(pa.string()))])))
-
-    rows = rows.withColumn("_t", tagged(F.concat(F.array(F.coalesce("a", F.lit(""))), "c")))
-    own, rest = F.col("_t")[0], F.filter("_t", lambda x, i: i > 0)
-    a, heads = own["terms"], F.array_distinct(own["heads"])
-    c, c_heads = F.flatten(F.transform(rest, lambda x: x["terms"])), F.flatten(F.transform(rest, lambda x: x["heads"]))
-    weights = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["idf"])))
-    idf = lambda t: F.coalesce(weights[t], F.lit(1.0))
-    count = lambda items, t: F.size(F.filter(items, lambda x: x == t))
-    kinds = F.array_distinct(a)
-    hit = M.total(kinds, lambda t: idf(t) * F.least(count(a, t), count(c, t)))
-    precision = F.when(F.size(a) > 0, M.ratio(hit, M.total(kinds, lambda t: idf(t) * count(a, t))))
-    share = lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
-    return rows.withColumns(dict(zip(POS, (F.round(x, 4) for x in (precision, 1 - precision, share(kinds, c), share(heads, c_heads)))))).drop("_t")
+    @F.arrow_udf(f"struct<{','.join(f'{c}:double' for c in POS)}>")
+    def run(a: pa.Array, c: pa.Array, terms: pa.Array, idf: pa.Array) -> pa.Array:
+        tag, made = _loaded(pos), []
+        for a, c, terms, idf in zip(a.to_pylist(), c.to_pylist(), terms.to_pylist(), idf.to_pylist()):
+            own, heads = tag(a or "")
+            rest = [tag(t or "") for t in c or []]
+            weight = dict(zip(terms or [], idf or []))
+            have, known = Counter(own), Counter(t for ts, _ in rest for t in ts)
+            share = lambda x, y: len(set(x) & set(y)) / len(set(x)) if x else None
+            mass = sum(weight.get(t, 1.0) * n for t, n in have.items())
+            precision = sum(weight.get(t, 1.0) * min(n, known[t]) for t, n in have.items()) / mass if mass else None
+            values = (precision, None if precision is None else 1 - precision, share(own, known), share(heads, [h for _, hs in rest for h in hs]))
+            made.append({k: None if v is None else round(v, 4) for k, v in zip(POS, values)})
+        return pa.array(made, pa.struct([(k, pa.float64()) for k in POS]))
+
+    rows = rows.withColumn("tagged", run(F.col("a"), F.col("c"), F.transform("terms", lambda t: t["term"]), F.transform("terms", lambda t: t["idf"])))
+    return rows.withColumns({k: F.col(f"tagged.{k}") for k in POS}).drop("tagged")
 
 
 def summary(columns: list[str], blank: Column, alone: Column) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.functions.entities import ExtractorConfig, entities_of
+from groundspark.functions.entities import ExtractorConfig, entities_of, entities_of_all
 from groundspark.operators import matching
 from groundspark.operators.metrics import simple_scores
 
 
 def scored_stream(traces: DataFrame, config: ExtractorConfig = ExtractorConfig()) -> DataFrame:
     """trace_id, word overlap, confidence, completeness and entity coverage, without state."""
-    rows = traces.withColumn("a_entities", entities_of(F.col("a"), config)).withColumn("c_entities", entities_of(F.array_join("c", "\n"), config))
+    rows = traces.withColumn("a_entities", entities_of(F.col("a"), config)).withColumn("c_entities", entities_of_all(F.col("c"), config))
     typed = rows.select("*", matching.numeric_match(F.col("a_entities"), F.col("c_entities")).alias("numeric_match"))
     scores = simple_scores(typed.withColumn("trace_id", F.struct("trace_id", "numeric_match")))
     return scores.select("trace_id.trace_id", "trace_id.numeric_match", "faithfulness", "confidence", "completeness")
