@@ -115,6 +115,11 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lo
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.reshape(-1).view(np.int64)))
             yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists])
 
+        def finish():
+            _circulant.clear()  # later stages of the same worker have no use for it
+            return ()
+
+        each.finish = finish
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()

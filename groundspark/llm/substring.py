@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, hashes_of, bits: int) -> list[np.ndarray]:
         def each(batch):
             for hashes in hashes_of(batch):
                 held.append(hashes)
-                if sum(map(len, held)) > 1 << 20:
+                if sum(map(len, held)) > 1 << 19:
                     yield from flush()
 
         each.finish = flush
