@@ -1,11 +1,12 @@
 """Near-duplicates of embeddings by sorted projection passes.
 
-Labels for which all pairs cost about what their passes would are compared whole, in
-tiles. For a larger label each pass orders the vectors, less the label's mean,
-lexicographically by the concatenated signs of random projections and compares those that
-lie near each other in that order. Rounds of passes follow until one joins no components
-any more, or until the label is compared whole. Verified pairs are united. Links are then
-counted inside the components found.
+Each pass orders the vectors of a label, less the label's mean, lexicographically by the
+concatenated signs of random projections and compares those that lie near each other in
+that order. A label of one block meets whole in one pass. For a larger one rounds of passes
+follow until one joins no components any more, or until they have cost about what all pairs
+would; an exact check of all pairs of different components then adds what passes have
+missed. So labels of every size take one path, and none loses a link. Verified pairs are
+united. Links are then counted inside the components found.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ BLOCK, AHEAD = 1024, 256
 TILE = 256
 #: Share of linked pairs that may be missed at the threshold, by which first passes are planned.
 MISS = 0.005
-#: Vectors of a tile of a label that is compared whole.
+#: Vectors of a tile of the exact check.
 SQUARE = 4096
-#: A label is compared whole if it has at most so many tiles for each of its passes.
+#: No round follows in a label that has at most so many tiles for each of its passes.
 WHOLE = 2.5
 #: Least passes of a label, and of a round that follows the first.
 PASSES, MORE = 12, 6
@@ -61,9 +62,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, embedding (doubles), dim and a 128-bit hash, of vectors that can link."""
+    """vec_id, label, embedding, dim and a 128-bit hash, of vectors that can link.
+
+    Embeddings of floats stay so, which halves what is moved; others become doubles.
+    """
     names = ["vec_id", "label", "embedding", "dim", "hi", "lo"]
-    double = pa.list_(pa.float64())
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    single = kinds["embedding"] == "array<float>"
+    lists = pa.list_(pa.float32() if single else pa.float64())
 
     def make():
         def each(batch):
@@ -78,12 +84,11 @@ def usable(vectors: DataFrame) -> DataFrame:
                     lo.append((h & ((1 << 64) - 1)) - (1 << 63))
             mask = pa.array(keep, pa.bool_())
             cols = [c.filter(mask) for c in batch.columns]
-            yield batch_of(names, [cols[0], cols[1], cols[2].cast(double), pa.array(dims, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())])
+            yield batch_of(names, [cols[0], cols[1], cols[2].cast(lists), pa.array(dims, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())])
 
         return each
 
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    return arrow_map(vectors.select("vec_id", "label", "embedding"), make, f"vec_id {kinds['vec_id']}, label {kinds['label']}, embedding array<double>, dim int, hi long, lo long")
+    return arrow_map(vectors.select("vec_id", "label", "embedding"), make, f"vec_id {kinds['vec_id']}, label {kinds['label']}, embedding array<{'float' if single else 'double'}>, dim int, hi long, lo long")
 
 
 def _signs(rows: np.ndarray, dim: int, number: int, seed: int) -> np.ndarray:
@@ -111,17 +116,22 @@ def _star(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
 
 def _near(table: pa.Table, cosine: float, own: np.ndarray | None = None) -> pa.RecordBatch | None:
     """Edges a, b, label, dim that join what is linked among a group's rows; with ``own``, the
-    rows' tiles, only pairs of different tiles are compared."""
+    rows' tiles, only pairs of different tiles are compared. If the rows have components, in
+    a column c, only links between different ones count."""
     rows, ids = _matrix(table.column("v")), table.column("id").to_numpy()
     left = right = np.arange(len(ids))
     if own is not None:
         left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own != own.min())
     # few rows at a time, and each step's links as a star, bound what is held
     other, a, b = rows[right], np.zeros(0, ids.dtype), np.zeros(0, ids.dtype)
+    c = table.column("c").to_numpy() if "c" in table.column_names else None
     for k in range(0, len(left), 512):
         part = left[k : k + 512]
         start = 0 if own is not None else k
-        x, y = np.nonzero(rows[part] @ other[start:].T >= cosine)
+        near = rows[part] @ other[start:].T >= cosine
+        if c is not None:
+            near &= c[part][:, None] != c[right[start:]][None, :]
+        x, y = np.nonzero(near)
         x, y = part[x], right[start + y]
         x, y = x[x != y], y[x != y]
         if len(x):
@@ -140,17 +150,18 @@ def _edge_schema(classes: DataFrame) -> str:
     return f"a {kind}, b {kind}, label {label}, dim int"
 
 
-def whole_edges(classes: DataFrame, labels: DataFrame, cosine: float) -> DataFrame:
-    """Edges of ``labels (label, dim, tiles)`` by comparing all pairs: each two tiles meet once."""
-    tiled = classes.join(F.broadcast(labels.select("label", "dim", "tiles")), ["label", "dim"])
-    tiled = tiled.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+def missed_edges(classes: DataFrame, labels: DataFrame, found: DataFrame, cosine: float) -> DataFrame:
+    """Edges between components ``found (id, component_id)`` of ``labels (label, dim, tiles)``,
+    by all pairs: each two tiles meet once."""
+    tiled = classes.join(labels.select("label", "dim", "tiles"), ["label", "dim"]).join(found, "id", "left")
+    tiled = tiled.withColumn("c", F.coalesce("component_id", "id")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("label", "dim", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"), "own", "id", "v")
+    tiled = tiled.select("label", "dim", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"), "own", "id", "c", "v")
 
     def link(table: pa.Table):
         same = table.column("t0")[0].as_py() == table.column("t1")[0].as_py()
-        own = table.column("own").to_numpy()
-        if not same and (own == own[0]).all():
+        own, c = table.column("own").to_numpy(), table.column("c").to_numpy()
+        if (c == c[0]).all() or (not same and (own == own[0]).all()):
             return None
         return _near(table, cosine, None if same else own)
 
@@ -158,9 +169,13 @@ def whole_edges(classes: DataFrame, labels: DataFrame, cosine: float) -> DataFra
 
 
 def pass_edges(classes: DataFrame, labels: DataFrame, cosine: float, seed: int) -> DataFrame:
-    """Edges that passes first to last - 1 of ``labels (label, dim, mean, first, last)`` meet."""
+    """Edges that passes first to last - 1 of ``labels (label, dim, mean, first, last)`` meet.
+
+    Blocks begin with the label; one without a mean is ordered by the vectors as they are.
+    """
     kind, label = (classes.schema[c].dataType.simpleString() for c in ("id", "label"))
-    own = classes.join(F.broadcast(labels.select("label", "dim", "mean", "first", "last")), ["label", "dim"])
+    own = classes.join(labels.select("label", "dim", "mean", "first", "last"), ["label", "dim"])
+    own = own.withColumn("mean", F.coalesce("mean", F.array_repeat(F.lit(0.0), F.col("dim"))))
 
     def make():
         def each(batch):
@@ -179,14 +194,15 @@ def pass_edges(classes: DataFrame, labels: DataFrame, cosine: float, seed: int)
     line = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     line = line.select("id", "label", "dim", "pass", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     line = scratch(line, "order")
-    # one row a partition: where its rows stand in the whole order
-    parts = line.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    line = line.join(F.broadcast(parts.select("part", "first", before.alias("before"))), "part")
+    # one row a partition and label: where its rows stand in the label's order
+    own = ["pass", "label", "dim"]
+    parts = line.groupBy(*own, "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*own).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    line = line.join(parts.select(*own, "part", "first", before.alias("before")), [*own, "part"])
     rank = F.col("before") + F.col("at") - F.col("first")
     block = F.floor(rank / BLOCK).cast("long")
     seen = F.when((rank % BLOCK < AHEAD) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    line = line.select(F.explode(seen).alias("block"), "pass", "label", "dim", "id").join(classes.select("id", "v"), "id")
+    line = line.select(F.explode(seen).alias("block"), "pass", "label", "dim", "id").join(classes.select("label", "dim", "id", "v"), ["label", "dim", "id"])
     return by_runs(line.select("block", "pass", "label", "dim", "id", "v"), ["block", "pass", "label", "dim"], lambda table: _near(table, cosine), _edge_schema(classes))
 
 
@@ -231,30 +247,30 @@ def linked_components(classes: DataFrame, cosine: float, seed: int) -> DataFrame
     """Components (id, component_id) of the classes' links."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1")
     sizes = scratch(sizes.withColumn("tiles", F.ceil(F.col("n") / SQUARE).cast("int")), "sizes")
-    enough = lambda passes: F.col("tiles") <= passes * F.lit(WHOLE)
-    small = enough(F.lit(PASSES))
-    edges = scratch(whole_edges(classes, sizes.where(small), cosine).distinct(), "edges")
-    large = sizes.where(~small)
-    if large.isEmpty():
-        return components(edges.select("a", "b"))
-    todo = scratch(plan(classes, large, cosine).withColumn("first", F.lit(0)).withColumn("last", F.col("passes")), "plan")
-    found = None
+    large = sizes.where(F.col("n") > BLOCK)
+    # one pass brings all pairs of a block together
+    block = sizes.where(F.col("n") <= BLOCK).select("label", "dim", "tiles", F.lit(None).cast("array<double>").alias("mean"), F.lit(1).alias("passes"))
+    todo = block.unionByName(plan(classes, large, cosine)).withColumn("first", F.lit(0)).withColumn("last", F.col("passes"))
+    todo = scratch(todo, "plan")
+    edges = found = None
     while True:
-        whole = enough(F.col("last"))
-        new = whole_edges(classes, todo.where(whole), cosine)
-        new = scratch(new.unionByName(pass_edges(classes, todo.where(~whole), cosine, seed)).distinct(), "edges")
-        todo = todo.where(~whole)
+        new = scratch(pass_edges(classes, todo, cosine, seed).distinct(), "edges")
         if found is not None:
             to = found.withColumnRenamed("component_id", "c")
             new = new.join(to.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a", "left").join(to.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b", "left")
             new = scratch(new.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "label", "dim"), "joining")
             todo = todo.join(F.broadcast(new.select("label", "dim").distinct()), ["label", "dim"])
-        edges = edges.unionByName(new)
+        edges = new if edges is None else edges.unionByName(new)
         found = components(edges.select("a", "b"))
         more = F.greatest(F.lit(MORE), F.ceil(F.col("passes") / 2)).cast("int")
+        todo = todo.where(F.col("mean").isNotNull() & (F.col("tiles") > F.col("last") * WHOLE))
         todo = scratch(todo.select("label", "dim", "tiles", "mean", "passes", F.col("last").alias("first"), (F.col("last") + more).alias("last")), "plan")
         if todo.isEmpty():
-            return found
+            break
+    if large.isEmpty():
+        return found
+    missed = scratch(missed_edges(classes, large, found, cosine).distinct(), "missed")
+    return components(edges.unionByName(missed).select("a", "b"))
 
 
 def vector_groups(vectors: DataFrame, cosine: float = 0.93, seed: int = 11) -> DataFrame:
@@ -263,10 +279,9 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.93, seed: int = 11) -> D
     vectors: vec_id, embedding, label; other columns are not read. Only vectors of one
     label and length are compared, in double precision. Null, empty and zero vectors and
     those with null or non-finite components, as well as null labels, link with nothing.
-    Equal vectors form a class that takes part once, with its number of members. Found
-    links are exact. A label of up to PASSES * WHOLE tiles has all of them; a component of a
-    larger one that the passes leave in parts, and whose parts the last round did not join,
-    has the links across them missing. Repeated rows count as vectors of their own.
+    Equal vectors form a class that takes part once, with its number of members. Links are
+    exact and whole, whatever the size of a label; the check behind the passes takes time
+    with the square of a label beyond one block. Repeated rows count as vectors of their own.
     An empty table gives an empty table.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()

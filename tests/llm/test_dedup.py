@@ -166,6 +166,29 @@ def test_vectors_that_share_a_direction(spark, n, whole, monkeypatch, tmp_path):
     assert sum(to[i] != to[1000 + i] for i in range(1000)) == 0
 
 
+@pytest.mark.parametrize("whole", [0, vector_dedup.WHOLE])
+def test_vectors_of_any_size_on_one_path(spark, whole, monkeypatch):
+    """Every label goes through the passes, and none loses a link that few small blocks meet."""
+    calls, passes = [], vector_dedup.pass_edges
+    monkeypatch.setattr(vector_dedup, "pass_edges", lambda *given: calls.append(1) or passes(*given))
+    for name, value in (("WHOLE", whole), ("BLOCK", 4), ("AHEAD", 1), ("SQUARE", 100)):
+        monkeypatch.setattr(vector_dedup, name, value)
+    rng = np.random.default_rng(31)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.standard_normal((3, 64)))
+    rows = unit(base[np.arange(600) % 3] + np.sqrt(0.16 / 64) * rng.standard_normal((600, 64)))
+    rows[597:] = rows[594] + 0.01 * rows[:3]
+    label = np.where(np.arange(600) < 591, 0, np.where(np.arange(600) < 597, 1, 2))
+    cosine = unit(rows) @ unit(rows).T
+    near = (cosine >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(600, dtype=bool)
+    want = roots(range(600), np.argwhere(np.triu(near)).tolist())
+    assert near[:591].any() and near[597:].any() and abs(cosine - 0.93).min() > 1e-9
+    df = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(rows, label))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.component_id, r.n_links, r.kept) for r in vector_groups(df).collect()}
+    assert calls
+    assert {i: g for i, g in got.items() if g != (want[i], near[i].sum(), want[i] == i)} == {} and len(got) == 600
+
+
 def test_suffix_tells_rows_of_one_id_apart(spark):
     rng = random.Random(12)
     letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
