@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, batch_of
+from .common import arrow_map, batch_of, kept
 
 #: Fixed value: the published pattern of byte-level BPE that splits a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -159,18 +159,6 @@ class _Chunks(dict):
         return known
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec_of(source: str) -> Codec:
-    """One codec a worker and vocabulary; a worker that runs many tasks builds it once."""
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(source)
-    return _codecs[key]
-
-
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, texts: bool = False) -> DataFrame:
     """Encode whole texts and decode them again.
 
@@ -181,11 +169,13 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, texts
     repeated rows give repeated rows; an empty table gives an empty table.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        source = spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    # one codec a worker and vocabulary; a worker that runs many such tasks builds it once
+    source, key = spark.sparkContext.broadcast(content), f"bpe {hashlib.sha256(content.encode()).hexdigest()}"
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * texts]
 
     def make():
-        codec = codec_of(source.value)
+        codec = kept(key, lambda: Codec(source.value))
 
         def each(batch: pa.RecordBatch):
             n, a, b, ids, decoded = [], [], [], [], []
@@ -205,4 +195,4 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, texts
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * texts
-    return arrow_map(docs.select("doc_id", "text"), make, schema)
+    return arrow_map(docs.select("doc_id", "text"), make, schema, keep=key)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -88,16 +89,41 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
 PART_ROWS, PART_BYTES = 4096, 4 << 20
 
 
-def arrow_map(df: DataFrame, make, schema) -> DataFrame:
+#: What was costly to build and stays in a worker from task to task. Only module functions may
+#: touch it: a function that Spark pickles by value would get a copy.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, build):
+    """What ``build()`` gave in this worker, until a task of ``arrow_map`` comes that keeps another key."""
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def keep_only(key: str | None) -> None:
+    """Drop what is ``kept`` in this worker under other keys, and give its memory back."""
+    other = [k for k in _kept if k != key]
+    for k in other:
+        del _kept[k]
+    if other:
+        gc.collect()  # it may hold itself
+        free_memory()
+
+
+def arrow_map(df: DataFrame, make, schema, keep: str | None = None) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds, once per task, the function batch -> batches.
 
     A worker holds Python objects of one part of a batch at a time, by PART_ROWS and
     PART_BYTES. The built function may have an attribute ``finish`` giving last batches.
+    Workers outlive their tasks, and those of other operators: what one has ``kept`` under
+    another key than ``keep`` goes before ``make()`` is called.
     """
 
     names = df.columns
 
     def run(batches):
+        keep_only(keep)
         each = make()
         for batch in batches:
             batch = batch_of(names, batch.columns)
@@ -105,6 +131,7 @@ def arrow_map(df: DataFrame, make, schema) -> DataFrame:
             step = max(1, min(PART_ROWS, n * PART_BYTES // max(1, batch.nbytes)))
             for k in range(0, n, step):
                 yield from each(batch.slice(k, step))
+            batch = None  # else it stays while the next one is read, and when memory is freed
         if hasattr(each, "finish"):
             yield from each.finish()
         del each

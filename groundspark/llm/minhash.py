@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch_of, components, rows_of, scratch, words_of
+from .common import arrow_map, batch_of, components, kept, rows_of, scratch, words_of
 
 UNIVERSE_BITS = 22
 #: 28 bands of 5: a pair at similarity 0.8 shares no band with probability 1.5e-5.
@@ -76,15 +76,6 @@ class Circulant:
         return best
 
 
-_circulant: dict[int, Circulant] = {}
-
-
-def _signer(size: int) -> Circulant:
-    if size not in _circulant:
-        _circulant[size] = Circulant(size)
-    return _circulant[size]
-
-
 def ascii_lower(words: list[bytes]) -> list[bytes]:
     return [w.lower() for w in words]
 
@@ -92,9 +83,10 @@ def ascii_lower(words: list[bytes]) -> list[bytes]:
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, a 128-bit hash (hi, lo) of the shingle set and its band hashes."""
     names = ["doc_id", "n_shingles", "hi", "lo", "bands"]
+    keep = f"circulant {bands * rows}"
 
     def make():
-        signer = _signer(bands * rows)
+        signer = kept(keep, lambda: Circulant(bands * rows))
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
         def each(batch: pa.RecordBatch):
@@ -115,15 +107,10 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS, lo
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.reshape(-1).view(np.int64)))
             yield batch_of(names, [batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists])
 
-        def finish():
-            _circulant.clear()  # later stages of the same worker have no use for it
-            return ()
-
-        each.finish = finish
         return each
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, hi long, lo long, bands array<long>", keep=keep)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -3,7 +3,13 @@ import zlib
 
 import numpy as np
 
+import pyarrow as pa
+import public_tokenizers
+
 import corpus_pipeline
+from groundspark.llm import common
+from groundspark.llm.bpe import Codec, encode_documents
+from groundspark.llm.minhash import Circulant, signatures
 from groundspark.llm.toxicity import Field, features, fit, fit_chain, marginals, score_documents, train, training_rows, without_toxic
 
 from .conftest import prose
@@ -172,3 +178,63 @@ def test_stages_on_every_awkward_row(spark, docs, empty, tmp_path):
             assert len([k for k in kept if k[0] == 5]) == 1 and (70, None) in kept and (71, "") in kept
         assert stage(spark, empty, str(tmp_path)).count() == 0
         now = out
+
+
+def test_workers_drop_what_other_operators_kept(spark, docs):
+    """Workers live on from stage to stage; of the large things that one builds, the next must not hold any."""
+
+    def make():
+        def each(batch):
+            import gc
+            import os
+
+            n = [sum(isinstance(x, kind) for x in gc.get_objects()) for kind in (Codec, Circulant)]
+            yield common.batch_of(["worker", "codecs", "circulants"], [pa.array([x]) for x in (os.getpid(), *n)])
+
+        return each
+
+    rows = docs.select("doc_id", "text").repartition(8)
+    probe = common.arrow_map(spark.range(8).repartition(8), make, "worker long, codecs long, circulants long")
+    for run in (lambda: signatures(rows, 5), lambda: encode_documents(spark, rows, public_tokenizers.path("byte_bpe_50k.json"))):
+        run().collect()
+        assert all(r.codecs == r.circulants == 0 for r in probe.collect())
+
+
+def test_a_worker_keeps_for_tasks_of_one_kind():
+    built = []
+
+    def build():
+        built.append(object())
+        return built[-1]
+
+    common.keep_only("a")
+    first = common.kept("a", build)
+    common.keep_only("a")
+    assert common.kept("a", build) is first and len(built) == 1
+    common.keep_only(None)
+    assert common.kept("a", build) is not first and len(built) == 2
+    common.keep_only(None)
+
+
+def test_a_batch_is_not_held_while_the_next_is_read():
+    class Rows:
+        columns = ["x"]
+
+        def toDF(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(1 << 17)).take(pa.array(np.arange(1 << 17)))], ["x"])
+        held.append(pa.total_allocated_bytes() - before)
+
+    def make():
+        return lambda batch: iter([batch.num_rows])
+
+    before, held = pa.total_allocated_bytes(), []
+    assert sum(common.arrow_map(Rows(), make, "x double")(batches())) == 3 << 17
+    assert max(held) < 1 << 20
