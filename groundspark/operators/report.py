@@ -98,11 +98,11 @@ def build_report(traces: DataFrame, config: ReportConfig = ReportConfig()) -> Da
     answered, grounded = ~blank, ~blank & ~alone
     if config.entities:
         out = out.withColumns({"a_entities": entities_of(F.col("a"), config.extractor), "c_entities": entities_of_all(F.col("c"), config.extractor)})
-        out = out.withColumn("pairs", matching.pairs(F.col("a_entities"), F.col("c_entities")))
-        found = F.col("pairs")
-        out = out.withColumns({"coverage": matching.coverage_of(found), "numeric_match": F.when(answered, matching.numeric_share(found)), "unsupported_numbers": F.when(answered, matching.lost_numbers(found))})
+        out = out.withColumn("found", matching.matches(F.col("a"), F.col("c"), config.extractor))
+        found = F.col("found")
+        out = out.withColumns({"coverage": matching.coverage_in(found), "numeric_match": F.when(answered, matching.share_of(found, matching.NUMERIC)), "unsupported_numbers": F.when(answered, found["lost_numbers"])})
         match, supported = matching.alignment(F.col("coverage"), found)
-        out = out.withColumns({"entity_match": F.when(grounded, match), "supported_entities": F.when(grounded, supported)}).drop("pairs")
+        out = out.withColumns({"entity_match": F.when(grounded, match), "supported_entities": F.when(grounded, supported)}).drop("found")
         out = out.withColumns({"entity_overall": F.col("entity_match.overall"), "unsupported_entities": F.col("entity_match.unsupported"), "unsupported_numeric_count": F.size("unsupported_numbers").cast("long"), "unsupported_entity_count": F.size("entity_match.unsupported").cast("long")})
     else:
         out = out.withColumns({"numeric_match": F.lit(None).cast("double"), "entity_overall": F.lit(None).cast("double")})

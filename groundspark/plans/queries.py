@@ -203,7 +203,7 @@ QUERIES = {
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers and contexts written from orders; amounts, dates and weights differ by the key's remainders."""
-    o = dealt(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.to_date("o_orderdate").alias("day"))
+    o = dealt(table(spark, sf_dir, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("k"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.to_date("o_orderdate").alias("day"))
 
     def sentence(cents, day, weight):
         money = F.concat(F.lit("$"), F.format_number(F.floor(cents / 100).cast("long"), 0), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
@@ -214,17 +214,18 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("k").alias("trace_id"), F.lit("What did the order cost?").alias("q"), sentence(F.col("cents"), F.col("day"), w).alias("a"), F.array(context).alias("c"))
 
 
-def dealt(rows: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, key: str) -> DataFrame:
     """Rows of a table that comes in fewer files than there are cores, dealt to all of them, for
-    what follows costs far more than to move them; a table of many files stays as it is."""
+    what follows costs far more than to move them; a table of many files stays as it is. They go
+    by a key: dealt in turn, each task would sort all its rows first."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(4 * cores, key) if len(rows.inputFiles()) < cores else rows
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from groundspark.functions.entities import entities_of, entities_of_all
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from groundspark.operators.matching import matches
 
-    return rendered(spark, sf_dir).withColumns({"ea": entities_of(F.col("a")), "ec": entities_of_all(F.col("c"))})
+    return rendered(spark, sf_dir).select("trace_id", matches(F.col("a"), F.col("c")).alias("m"))
 
 
 def _typed(spark, sf_dir, kind: str) -> DataFrame:
@@ -232,7 +233,7 @@ def _typed(spark, sf_dir, kind: str) -> DataFrame:
     from groundspark.functions.entities import RANK, ExtractorConfig, with_entities
 
     config = ExtractorConfig(types=tuple(t for t in ExtractorConfig().types if RANK[t] >= RANK[kind]))
-    return with_entities(rendered(spark, sf_dir), "a", config=config).select("trace_id", F.inline(F.filter("entities", lambda e: e["type"] == kind)))
+    return with_entities(rendered(spark, sf_dir), "a", config=config, only=kind).select("trace_id", F.inline("entities"))
 
 
 def money_entities(spark, sf_dir):
@@ -256,16 +257,15 @@ def entity_spans(spark, sf_dir):
 
 
 def numeric_match(spark, sf_dir):
-    from groundspark.operators.matching import numeric_match as match
+    from groundspark.operators.matching import NUMERIC, share_of
 
-    return _entities(spark, sf_dir).select("trace_id", F.round(match(F.col("ea"), F.col("ec")), 4).alias("numeric_match"))
+    return _matches(spark, sf_dir).select("trace_id", F.round(share_of(F.col("m"), NUMERIC), 4).alias("numeric_match"))
 
 
 def entity_coverage(spark, sf_dir):
-    from groundspark.operators.matching import coverage, unsupported
+    from groundspark.operators.matching import coverage_in
 
-    rows = _entities(spark, sf_dir)
-    return rows.select("trace_id", coverage(F.col("ea"), F.col("ec"))["overall"].alias("overall"), F.size(unsupported(F.col("ea"), F.col("ec"))).cast("long").alias("n_unsupported"))
+    return _matches(spark, sf_dir).select("trace_id", coverage_in(F.col("m"))["overall"].alias("overall"), F.size("m.lost").cast("long").alias("n_unsupported"))
 
 
 def relative_weekday(spark, sf_dir):

@@ -152,3 +152,49 @@ def test_columns_of_entities(spark):
     rows = df.select("id", entities_of(F.col("a")).alias("a"), entities_of_all(F.col("c")).alias("c")).orderBy("id").collect()
     assert [len(r.a) for r in rows] == [1, 0, 0] and [[(e.type, e.start) for e in r.c] for r in rows] == [[("MONEY", 0), ("QUANTITY", 0)], [], []]
     assert df.select(canonical_date(F.lit("2020-01-02T10:00"))).first()[0] == "2020-01-02"
+
+
+PIECES = ("$0 000.00", "-€00.0k", "000 USD", "0 dollars", "twenty bucks", "(00.0%)", "0 %", "0", "0000", "0,000", "0 km", "00.5 kg.", "0 m2", "0000-00-00T00:00", "0000-00-00", "May 00, 0000", "00/00/0000", "Sept 0000", "two hundred and five", "٣ x", "next friday", "the", ".")
+
+
+def test_texts_of_one_shape_share_a_plan():
+    import random
+
+    from groundspark.functions.entities import planned
+
+    rng = random.Random(4)
+    for _ in range(150):
+        shape = ", ".join(rng.choice(PIECES) for _ in range(rng.randint(1, 4)))
+        for config in (ExtractorConfig(), ALL, ExtractorConfig(types=("DATE", "NUMBER")), ExtractorConfig(compat=True, whole=True)):
+            for pool in ("0123456789", "0129"):
+                text = "".join(rng.choice(pool) if x == "0" else x for x in shape)
+                assert [(repr(e), e.value) for e in planned(text, config)] == [(repr(e), e.value) for e in extract(text, config)], text
+
+
+def test_a_shape_is_read_once(monkeypatch):
+    from groundspark.functions import entities
+
+    calls = []
+    monkeypatch.setattr(entities, "extract", lambda text, config: calls.append(text) or extract(text, config))
+    entities.plans_of.cache_clear()
+    texts = [f"Order {100 + k} cost ${k % 9 + 1},{k % 1000:03d}.50 on 1995-03-{k % 28 + 1:02d}, {k % 10}% off, 7 kg." for k in range(400)]
+    found = [entities.planned(t, ExtractorConfig()) for t in texts]
+    assert len(calls) == 1 and [e.num for e in found[123]][:2] == [223.0, 7123.5] and found[27][2].iso == "1995-03-28"
+    # a day that does not exist and a year that is none are other plans
+    assert [e.type for e in entities.planned(texts[0].replace("03-01", "13-01"), ExtractorConfig())] != [e.type for e in found[0]]
+    for k in range(entities.PLANS + 50):
+        entities.planned("x" * (k % 500 + 1) + str(k), ExtractorConfig())
+    assert len(entities.plans_of(ExtractorConfig()).known) <= entities.PLANS
+
+
+def test_matches_in_one_pass(spark):
+    from groundspark.functions.entities import entities_of, entities_of_all
+
+    rows = [(1, "It cost $20, then $30, 5% and 100 or 100.5 on 2020-01-02, 3 kg.", ["It was $20.005 and 5%.", None, "100.2 then, 3 kg, 2020-01-03"]), (2, None, ["$5"]), (3, "$5", None), (4, "no figure", []), (5, "$5 and $5", ["$5"])]
+    df = spark.createDataFrame(rows, "id long, a string, c array<string>")
+    df = df.withColumns({"ea": entities_of(F.col("a")), "ec": entities_of_all(F.col("c")), "m": matching.matches(F.col("a"), F.col("c"))})
+    df = df.withColumn("p", matching.pairs(F.col("ea"), F.col("ec")))
+    got = df.select("m", matching.coverage_in(F.col("m")).alias("cov"), matching.coverage_of(F.col("p")).alias("cov2"), matching.lost(F.col("p")).alias("lost"), matching.lost_numbers(F.col("p")).alias("numbers"), matching.share_of(F.col("m"), matching.NUMERIC).alias("share"), matching.numeric_share(F.col("p")).alias("share2"), F.transform(F.filter("p", lambda p: p["h"]), lambda p: F.struct(*[p["e"][f].alias(f) for f in ("type", "text", "start", "end")])).alias("items")).collect()
+    for r in got:
+        assert r.cov == r.cov2 and r.m.lost == r.lost and r.m.lost_numbers == r.numbers and r.share == r.share2 and [tuple(x) for x in r.m["items"]] == [tuple(x) for x in r["items"]]
+    assert got[0].m.lost == ["MONEY:30.0:USD", "NUMBER:100.5", "DATE:2020-01-02"] and got[4].cov.overall == 0.5
