@@ -1,8 +1,10 @@
-"""Tokens, lemmas, informative terms and sentences as Catalyst expressions."""
+"""Tokens, lemmas, informative terms and sentences as Catalyst expressions, and the same terms in
+Python for what counts or places them within a row."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -61,19 +63,119 @@ def informative(term: Column) -> Column:
 _TOKEN = re.compile(r"\w(?:[\w$%.\-]*\w)?")
 
 
+#: Terms of tokens that a worker remembers, and texts that are Python objects at one time.
+REMEMBERED, STEP = 1 << 16, 256
+_NUMBER = re.compile(r"[-+]?\d[\d,]*\.?\d*")
+_DROPPED = frozenset(["", "$", "%", *STOPWORDS])
+_known: dict[str, str] = {}
+
+
+def lemma_of(token: str) -> str:
+    """``lemma`` in Python."""
+    t = token.lower().strip(".,;:!?()[]{}'\"")
+    if t.startswith("$"):
+        return "$" + re.sub(r"\D", "", t[1:])
+    if t.endswith("%"):
+        return re.sub(r"[^\d.]", "", t) + "%"
+    if _NUMBER.fullmatch(t):
+        return t.replace(",", "")
+    for end, least in (("s", 3), ("ed", 4), ("ing", 5)):
+        if t.endswith(end) and len(t) > least:
+            return t[: -len(end)]
+    return t
+
+
+def term_of(token: str) -> str:
+    """The informative term of a token; empty for none."""
+    term = _known.get(token)
+    if term is None:
+        if len(_known) >= REMEMBERED:
+            _known.clear()
+        term = lemma_of(token)
+        term = _known[token] = "" if term in _DROPPED or re.fullmatch(r"\d+", term) else term
+    return term
+
+
+def term_counts(text: str | None) -> dict[str, int]:
+    """Counts of the informative terms of a text."""
+    out: dict[str, int] = {}
+    known = _known.get
+    for token in _TOKEN.findall(text or ""):
+        term = known(token)
+        if term is None:
+            term = term_of(token)
+        if term:
+            out[term] = out.get(term, 0) + 1
+    return out
+
+
+def stepwise(kind: str, made: Callable[[pa.StructArray], pa.Array], *columns: Column, steady: bool = True) -> Column:
+    """``made`` of every STEP rows of some columns, sent on before the next are read, so that a
+    worker holds no more of what it makes than of a few rows."""
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = batch if isinstance(batch, tuple) else (batch,)
+            for at in range(0, len(parts[0]), STEP):
+                yield made(pa.StructArray.from_arrays([x.slice(at, STEP) for x in parts], names=[f"c{i}" for i in range(len(parts))]))
+
+    return (run if steady else run.asNondeterministic())(*columns)
+
+
+def in_steps(rows: pa.Array, made: Callable[[pa.Array], pa.Array], step: int = 2048) -> pa.Array:
+    """``made`` of every few rows, so that a batch is never held as Python objects at once."""
+    done = [made(rows.slice(at, step)) for at in range(0, max(1, len(rows)), step)]
+    return pa.concat_arrays(done) if len(done) > 1 else done[0]
+
+
+def listed(ends: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+_PLACES = [pa.field("start", pa.int32()), pa.field("end", pa.int32())]
+
+
+def _located(kind: str, found: list[tuple[str, int, int]]) -> pa.StructArray:
+    names, starts, ends = zip(*found) if found else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], fields=[pa.field(kind, pa.string()), *_PLACES])
+
+
 def token_spans(text: Column) -> Column:
     """Raw tokens of a text with their places: array of (token, start, end); null gives none.
 
     Catalyst has no function that gives the places of all matches, so this runs in Arrow batches.
     """
 
-    @F.arrow_udf("array<struct<token:string,start:int,end:int>>")
-    def run(texts: pa.Array) -> pa.Array:
-        found = [[(m[0], *m.span()) for m in _TOKEN.finditer(t or "")] for t in texts.to_pylist()]
-        made = [[{"token": t, "start": a, "end": b} for t, a, b in own] for own in found]
-        return pa.array(made, pa.list_(pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
-
-    return run(text)
+    def made(rows: pa.StructArray) -> pa.Array:
+        ends, found = [0], []
+        for t in rows.field(0).to_pylist():
+            found += [(m[0], *m.span()) for m in _TOKEN.finditer(t or "")]
+            ends.append(len(found))
+        return listed(ends, _located("token", found))
+
+    return stepwise("array<struct<token:string,start:int,end:int>>", made, text)
+
+
+def spans_of_sentences(text: Column, sentences: Column, terms: Column) -> Column:
+    """Each sentence of a text with its terms out of a list, by their places in the text, where a
+    sentence stands for its first occurrence there: array of (sentence, supported_terms)."""
+
+    def made(rows: pa.StructArray) -> pa.Array:
+        ends, said, inner, found = [0], [], [0], []
+        for text, every, terms in zip(*(rows.field(i).to_pylist() for i in range(3))):
+            terms = frozenset(terms or ())
+            spans = [(term, *m.span()) for m in _TOKEN.finditer(text or "") if (term := term_of(m[0])) in terms] if terms else []
+            for s in every or ():
+                at = (text or "").find(s)
+                found += [x for x in spans if x[1] >= at and x[2] <= at + len(s)]
+                inner.append(len(found))
+                said.append(s)
+            ends.append(len(said))
+        own = listed(inner, _located("term", found))
+        return listed(ends, pa.StructArray.from_arrays([pa.array(said, pa.string()), own], names=["sentence", "supported_terms"]))
+
+    return stepwise("array<struct<sentence:string,supported_terms:array<struct<term:string,start:int,end:int>>>>", made, text, sentences, terms)
 
 
 def informative_of(spans: Column) -> Column:

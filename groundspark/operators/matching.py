@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundspark.functions.entities import Entity, ExtractorConfig, in_steps, plans_of, surface, value_of
+from groundspark.functions.entities import Entity, ExtractorConfig, plans_of, surface, value_of
+from groundspark.functions.text import in_steps
 
 TYPES = ("MONEY", "NUMBER", "PERCENT", "DATE", "QUANTITY", "PHONE")
 NUMERIC = ("MONEY", "NUMBER", "PERCENT")

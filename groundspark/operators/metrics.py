@@ -1,14 +1,17 @@
-"""Lexical grounding of answers, relationally: one row a trace and term, then one aggregate a trace.
+"""Lexical grounding of answers.
 
-All weights are per trace (its contexts, question and answer are the documents), so every
-step after the terms are counted is keyed by trace_id and shares one partitioning.
+All weights are per trace (its contexts, question and answer are the documents), so terms are
+counted where the row is (``facts_of``, in Arrow batches) and every metric is an expression over
+that row: nothing is shuffled, and a task holds a few rows at a time, however many there are.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from groundspark.functions import text as X
 
@@ -26,19 +29,17 @@ def parts(traces: DataFrame) -> DataFrame:
     return traces.select("trace_id", F.inline(F.concat(q, a, c)))
 
 
-def terms(rows: DataFrame, *keys: str) -> DataFrame:
-    """Counts of informative terms by the key columns."""
-    out = rows.select(*keys, F.explode(X.tokens(F.col("text"))).alias("token")).select(*keys, X.lemma(F.col("token")).alias("term"))
-    return out.where(X.informative(F.col("term"))).groupBy(*keys, "term").agg(F.count("*").alias("cnt"))
-
-
 def profile(traces: DataFrame) -> DataFrame:
-    """trace_id, term, counts in answer (a), question (q) and all contexts (c), df, idf."""
-    counted = terms(parts(traces), "trace_id", "part", "no")
-    own = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("cnt"))), F.lit(0)).alias(p)
-    out = counted.groupBy("trace_id", "term").agg(own("a"), own("q"), own("c"), F.count("*").alias("df"))
-    size = traces.select("trace_id", (F.size("c") + 2).alias("n"))
-    return out.join(size, "trace_id").withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+    """trace_id, term, counts in answer (a), question (q) and all contexts (c), df, n, idf and,
+    of terms of the answer, the rank among its supported or unsupported ones (impact down, term up)."""
+    has = lambda test: F.filter("terms", lambda t: test(t))
+    key = lambda t: F.struct((-F.round(t["a"] * t["idf"], 10)).alias("key"), t["term"].alias("term"), t.alias("t"))
+    fields = lambda t: [t[f].alias(f) for f in ("term", "a", "q", "c", "df")]
+    entry = lambda t, rank: F.struct(*fields(t), t["idf"].alias("idf"), rank.alias("rank"))
+    placed = lambda test: F.transform(F.sort_array(F.transform(has(lambda t: (t["a"] > 0) & test(t)), key)), lambda x, i: entry(x["t"], i + 1))
+    rest = F.transform(has(lambda t: t["a"] == 0), lambda t: entry(t, F.lit(None).cast("int")))
+    rows = with_facts(traces.select("trace_id", "q", "a", "c")).select("trace_id", (F.size("c") + 2).alias("n"), F.inline(F.concat(placed(lambda t: t["c"] > 0), placed(lambda t: t["c"] == 0), rest)))
+    return rows.select("trace_id", "term", "a", "q", "c", "df", "n", "idf", "rank")
 
 
 def ratio(num, den):
@@ -62,39 +63,30 @@ def lexical(prof: DataFrame) -> DataFrame:
     return out
 
 
+def bm25_score(context: Column, mean: Column) -> Column:
+    """Score of a context of ``facts`` for the answer's terms, from the mean length of all."""
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.when(mean > 0, context["dl"] / mean).otherwise(1.0))
+    return total(context["found"], lambda h: h["idf"] * h["cnt"] * (BM25_K1 + 1) / (h["cnt"] + norm))
+
+
 def bm25(traces: DataFrame) -> DataFrame:
     """trace_id, no, score of each context for the answer's terms, dl (informative terms)."""
-    counted = terms(parts(traces).where("part = 'c'"), "trace_id", "no")
-    lengths = counted.groupBy("trace_id", "no").agg(F.sum("cnt").alias("dl"))
-    every = traces.select("trace_id", F.posexplode("c").alias("no", "text")).select("trace_id", "no")
-    lengths = every.join(lengths, ["trace_id", "no"], "left").fillna(0, ["dl"])
-    lengths = lengths.withColumn("avgdl", F.avg("dl").over(W.partitionBy("trace_id")))
-    hits = counted.join(profile(traces).where("a > 0").select("trace_id", "term", "idf"), ["trace_id", "term"])
-    hits = hits.join(lengths, ["trace_id", "no"])
-    norm = F.col("cnt") + BM25_K1 * (1 - BM25_B + BM25_B * F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0))
-    scores = hits.groupBy("trace_id", "no").agg(F.sum(F.col("idf") * F.col("cnt") * (BM25_K1 + 1) / norm).alias("score"))
-    return lengths.join(scores, ["trace_id", "no"], "left").select("trace_id", "no", F.coalesce("score", F.lit(0.0)).alias("score"), "dl")
+    rows = with_facts(traces.select("trace_id", "q", "a", "c").where(F.size("c") > 0), every=True)
+    mean = ratio(total(F.col("contexts"), lambda x: x["dl"]), F.size("contexts"))
+    scored = let(mean, lambda m: F.transform("contexts", lambda x: F.struct(x["no"].alias("no"), bm25_score(x, m).alias("score"), x["dl"].alias("dl"))))
+    return rows.select("trace_id", F.inline(scored))
 
 
 def best_context(traces: DataFrame) -> DataFrame:
     """trace_id, best_no, best_context_len: the highest BM25 score (12 places), the first on ties."""
-    best = F.max_by(F.struct("no", "dl"), F.struct(F.round("score", 12), -F.col("no"))).alias("b")
-    return bm25(traces).groupBy("trace_id").agg(best).select("trace_id", F.col("b.no").alias("best_no"), F.col("b.dl").alias("best_context_len"))
+    return recall_context(traces).drop("recall_context")
 
 
 def recall_context(traces: DataFrame) -> DataFrame:
-    """trace_id, recall_context: share of the best context's weight that the answer has."""
-    counted = terms(parts(traces).where("part = 'c'"), "trace_id", "no")
-    best = best_context(traces)
-    rows = counted.join(best, "trace_id").where("no = best_no").select("trace_id", "term", "cnt")
-    rows = rows.join(profile(traces).select("trace_id", "term", "a", "idf"), ["trace_id", "term"])
-    found = rows.groupBy("trace_id").agg(ratio(F.sum(F.col("idf") * F.least("a", "cnt")), F.sum(F.col("idf") * F.col("cnt"))).alias("recall_context"))
-    return best.join(found, "trace_id", "left").select("trace_id", "best_no", "best_context_len", F.coalesce("recall_context", F.lit(0.0)).alias("recall_context"))
-
-
-def sentence_terms(traces: DataFrame) -> DataFrame:
-    """trace_id, sentence, term, cnt of answers; and all sentences by ``answer_sentences``."""
-    return terms(answer_sentences(traces), "trace_id", "sentence")
+    """trace_id, best_no, best_context_len, recall_context: share of the best context's weight
+    that the answer has."""
+    rows = with_facts(traces.select("trace_id", "q", "a", "c").where(F.size("c") > 0)).withColumn("b", best_of(F.col("contexts"), F.size("c")))
+    return rows.select("trace_id", F.col("b.no").alias("best_no"), F.col("b.dl").alias("best_context_len"), F.col("b.recall").alias("recall_context"))
 
 
 def answer_sentences(traces: DataFrame) -> DataFrame:
@@ -103,84 +95,92 @@ def answer_sentences(traces: DataFrame) -> DataFrame:
 
 def sentence_precision(traces: DataFrame) -> DataFrame:
     """trace_id, sentence, precision against all contexts, rounded to 4; without terms 0."""
-    rows = sentence_terms(traces).join(profile(traces).select("trace_id", "term", "c", "idf"), ["trace_id", "term"])
-    score = ratio(F.sum(F.col("idf") * F.least("cnt", "c")), F.sum(F.col("idf") * F.col("cnt")))
-    scored = rows.groupBy("trace_id", "sentence").agg(F.round(score, 4).alias("precision"))
-    every = answer_sentences(traces).select("trace_id", "sentence")
-    return every.join(scored, ["trace_id", "sentence"], "left").select("trace_id", "sentence", F.coalesce("precision", F.lit(0.0)).alias("precision"))
+    rows = with_facts(traces.select("trace_id", "q", "a", "c")).select("trace_id", F.inline("sentences"))
+    return rows.select("trace_id", F.col("no").alias("sentence"), "precision")
+
+
+def precision_summary(values: Column) -> dict[str, Column]:
+    """Of the precisions of sentences: number, least, mean and 90 %, and shares below .3, below
+    .6, above; null without any."""
+    n = F.nullif(F.size(values), F.lit(0))
+    units = F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long"))
+    share = lambda test: F.round(F.size(F.filter(values, test)) / n, 4)
+    return {
+        "n_sentences": F.size(values).cast("long"),
+        "min_sentence_precision": F.array_min(values),
+        # the mean of values of four places, rounded half up in whole numbers
+        "mean_sentence_precision": F.floor((2 * units + n) / (2 * n)) / 10000,
+        "p90_sentence_precision": F.get(F.sort_array(values), F.floor(F.lit(0.9) * (n - 1)).cast("int")),
+        "low_frac": share(lambda x: x < 0.3),
+        "medium_frac": share(lambda x: (x >= 0.3) & (x < 0.6)),
+        "high_frac": share(lambda x: x >= 0.6),
+    }
 
 
 def sentence_summary(traces: DataFrame) -> DataFrame:
-    """Per trace: sentences, least, mean and 90 % precision, and shares below .3, below .6, above."""
-    values = F.sort_array(F.collect_list("precision"))
-    out = sentence_precision(traces).groupBy("trace_id").agg(values.alias("v"), F.sum(F.round(F.col("precision") * 10000).cast("long")).alias("units"))
-    n = F.size("v")
-    # the mean of values of four places, rounded half up in whole numbers
-    mean = F.floor((2 * F.col("units") + n) / (2 * n)) / 10000
-    share = lambda test: F.round(F.size(F.filter("v", test)) / n, 4)
-    return out.select(
-        "trace_id",
-        n.alias("n_sentences"),
-        F.col("v")[0].alias("min_sentence_precision"),
-        mean.alias("mean_sentence_precision"),
-        F.get("v", F.floor(F.lit(0.9) * (n - 1)).cast("int")).alias("p90_sentence_precision"),
-        share(lambda x: x < 0.3).alias("low_frac"),
-        share(lambda x: (x >= 0.3) & (x < 0.6)).alias("medium_frac"),
-        share(lambda x: x >= 0.6).alias("high_frac"),
-    )
+    """Per trace with a sentence: ``precision_summary``."""
+    rows = with_facts(traces.select("trace_id", "q", "a", "c")).withColumn("v", F.transform("sentences", lambda x: x["precision"])).where(F.size("v") > 0)
+    return rows.select("trace_id", *[c.alias(name) for name, c in precision_summary(F.col("v")).items()])
 
 
 def unsupported_terms(prof: DataFrame) -> DataFrame:
     """Answer terms that no context has: count, idf, impact, rank (impact down, term up)."""
-    rows = prof.where("a > 0 and c = 0").withColumn("raw", F.round(F.col("a") * F.col("idf"), 10))
-    rank = F.row_number().over(W.partitionBy("trace_id").orderBy(F.col("raw").desc(), "term"))
-    return rows.select("trace_id", "term", F.col("a").alias("cnt"), F.round("idf", 4).alias("idf"), F.round("raw", 4).alias("impact"), rank.alias("rank"))
+    raw = F.round(F.col("a") * F.col("idf"), 10)
+    return prof.where("a > 0 and c = 0").select("trace_id", "term", F.col("a").alias("cnt"), F.round("idf", 4).alias("idf"), F.round(raw, 4).alias("impact"), "rank")
 
 
 def supported_terms(prof: DataFrame) -> DataFrame:
     """Answer terms that some context has: count, idf, rank (count times idf down, term up)."""
-    rows = prof.where("a > 0 and c > 0").withColumn("raw", F.round(F.col("a") * F.col("idf"), 10))
-    rank = F.row_number().over(W.partitionBy("trace_id").orderBy(F.col("raw").desc(), "term"))
-    return rows.select("trace_id", "term", F.col("a").alias("cnt"), F.round("idf", 4).alias("idf"), rank.alias("rank"))
+    return prof.where("a > 0 and c > 0").select("trace_id", "term", F.col("a").alias("cnt"), F.round("idf", 4).alias("idf"), "rank")
+
+
+def answer_terms(supported: bool) -> Column:
+    """The answer's terms of a row of ``facts`` that some context has, or that none has, in order."""
+    keep = lambda t: (t["a"] > 0) & ((t["c"] > 0) if supported else (t["c"] == 0))
+    return in_order(F.transform(F.filter("terms", keep), lambda t: ranked(t["term"], t["a"], t["idf"])))
+
+
+def term_columns(supported: Column, unsupported: Column) -> dict[str, Column]:
+    """From ``answer_terms`` of both kinds: unsupported mass, impact of the top five, term rate
+    and, of as many supported terms, the impact and the ratio of both."""
+    top = F.slice(unsupported, 1, TOP_K)
+    impact = total(top, lambda t: t["impact"])
+    # as many supported terms as there are among the largest unsupported ones
+    known = total(F.slice(supported, F.lit(1), F.size(top)), lambda t: t["cnt"] * t["idf"])
+    return {
+        "unsupported_mass": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("precision_token"))), 4),
+        "unsupported_topk_impact": F.round(impact, 4),
+        "unsupported_topk_count": F.size(top).cast("long"),
+        "unsupported_term_rate": F.round(ratio(F.size(unsupported), F.size(supported) + F.size(unsupported)), 4),
+        "supported_topk_impact": F.round(known, 4),
+        "unsupported_to_supported_ratio": F.round(impact / (known + 1e-6), 4),
+    }
 
 
 def unsupported_extras(traces: DataFrame) -> DataFrame:
-    """Per trace: unsupported mass, impact of the top five, term rate and, of as many
-    supported terms, the impact and the ratio of both."""
-    prof = profile(traces)
-    lex = lexical(prof)
-    top = unsupported_terms(prof).where(F.col("rank") <= TOP_K).groupBy("trace_id").agg(F.sum("impact").alias("top"), F.count("*").alias("k"))
-    sup = supported_terms(prof).where(F.col("rank") <= TOP_K).join(top.select("trace_id", "k"), "trace_id").where("rank <= k")
-    sup = sup.groupBy("trace_id").agg(F.sum(F.col("cnt") * F.col("idf")).alias("sup"))
-    out = lex.join(top, "trace_id", "left").join(sup, "trace_id", "left").fillna(0.0, ["top", "sup"]).fillna(0, ["k"])
-    mass = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("precision_token"))), 4)
-    return out.select(
-        "trace_id",
-        mass.alias("unsupported_mass"),
-        F.round("top", 4).alias("unsupported_topk_impact"),
-        F.col("k").cast("long").alias("unsupported_topk_count"),
-        F.round(ratio(F.col("unsupported_term_count"), F.col("a_terms")), 4).alias("unsupported_term_rate"),
-        F.round("sup", 4).alias("supported_topk_impact"),
-        F.round(F.col("top") / (F.col("sup") + 1e-6), 4).alias("unsupported_to_supported_ratio"),
-    )
+    """Per trace that has any term: ``term_columns``."""
+    rows = facts(traces).withColumns({"su": answer_terms(True), "un": answer_terms(False)})
+    return rows.select("trace_id", *[c.alias(name) for name, c in term_columns(F.col("su"), F.col("un")).items()])
+
+
+def size_columns() -> dict[str, Column]:
+    """Sizes and shares of a trace from its texts, ``facts`` and best context."""
+    raw = F.aggregate(F.transform("c", lambda x: F.size(X.tokens(x))), F.lit(0), lambda s, x: s + x)
+    return {
+        "num_contexts": F.size("c").cast("long"),
+        "avg_ctx_len_tokens": F.round(ratio(raw, F.size("c")), 4),
+        "q_len": F.col("q_len"),
+        "a_len": F.col("a_len"),
+        "qa_len_ratio": F.round(F.col("a_len") / F.greatest(F.lit(1), "q_len"), 4),
+        "best_context_len": F.coalesce("best.dl", F.lit(0)).cast("long"),
+        "best_context_share": F.round(F.col("precision_token") * F.coalesce("best.recall", F.lit(0.0)), 4),
+    }
 
 
 def quickwins(traces: DataFrame) -> DataFrame:
     """Sizes and shares per trace."""
-    lex = lexical(profile(traces)).join(recall_context(traces), "trace_id", "left")
-    raw = traces.select("trace_id", F.size("c").alias("num_contexts"), F.aggregate(F.transform("c", lambda x: F.size(X.tokens(x))), F.lit(0), lambda s, x: s + x).alias("raw"))
-    out = raw.join(lex, "trace_id", "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(
-        "trace_id",
-        F.col("num_contexts").cast("long").alias("num_contexts"),
-        F.round(ratio(F.col("raw"), F.col("num_contexts")), 4).alias("avg_ctx_len_tokens"),
-        n("q_len").alias("q_len"),
-        n("a_len").alias("a_len"),
-        F.round(n("a_len") / F.greatest(F.lit(1), n("q_len")), 4).alias("qa_len_ratio"),
-        n("best_context_len").alias("best_context_len"),
-        F.round(F.coalesce(F.col("precision_token") * F.col("recall_context"), F.lit(0.0)), 4).alias("best_context_share"),
-    )
+    rows = with_facts(traces.select("trace_id", "q", "a", "c")).withColumn("best", best_of(F.col("contexts"), F.size("c")))
+    return rows.select("trace_id", *[c.alias(name) for name, c in size_columns().items()])
 
 
 def simple_columns() -> dict[str, Column]:
@@ -234,55 +234,95 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def facts(traces: DataFrame) -> DataFrame:
-    """One row a trace that has any term, with all that its terms tell.
+_TERM = "array<struct<term:string,idf:double,a:bigint,q:bigint,c:bigint,df:bigint>>"
+_CONTEXT = "array<struct<no:int,dl:bigint,weight:double,hit:double,found:array<struct<idf:double,cnt:bigint>>>>"
+_SENTENCE = "array<struct<no:int,known:double,weight:double,lost:array<struct<term:string,cnt:bigint,idf:double>>>>"
+FACTS = f"struct<precision_token:double,cosine_tfidf:double,answer_covers_question:double,a_len:bigint,q_len:bigint,terms:{_TERM},contexts:{_CONTEXT},sentences:{_SENTENCE}>"
+
+
+def _structs(rows: list[tuple], **kinds: pa.DataType) -> pa.StructArray:
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds.values())], names=list(kinds))
+
+
+def _facts(rows: pa.StructArray) -> pa.Array:
+    """FACTS of rows of q, sentences and c."""
+    seen: dict[str | None, dict[str, int]] = {}
+
+    def counts(text: str | None) -> dict[str, int]:
+        # the traces of a conversation have contexts in common
+        if (own := seen.get(text)) is None:
+            own = seen[text] = X.term_counts(text)
+        return own
+
+    scores, terms, contexts, found, sentences, lost = [], [], [], [], [], []
+    ends, found_ends, lost_ends = ([0], [0], [0]), [0], [0]
+    for question, every, texts in zip(*(rows.field(i).to_pylist() for i in range(3))):
+        q, own, others = X.term_counts(question), [X.term_counts(t) for t in every or ()], [counts(t) for t in texts or ()]
+        a, c, df = {}, {}, {}
+        for counted, into in ((own, a), (others, c)):
+            for x in counted:
+                for t, n in x.items():
+                    into[t] = into.get(t, 0) + n
+        for x in (a, q, *others):
+            for t in x:
+                df[t] = df.get(t, 0) + 1
+        weights = [math.log((len(others) + 3) / (k + 1)) + 1 for k in range(len(others) + 3)]
+        idf = {t: weights[k] for t, k in df.items()}
+        ac = aw = dot = aa = qq = qa = qw = 0.0
+        for t, k in df.items():
+            w, x, y, z = idf[t], a.get(t, 0), q.get(t, 0), c.get(t, 0)
+            terms.append((t, w, x, y, z, k))
+            ac, aw, qa, qw = ac + w * min(x, z), aw + w * x, qa + w * min(x, y), qw + w * y
+            dot, aa, qq = dot + w * w * x * y, aa + w * w * x * x, qq + w * w * y * y
+        scores.append((ac / aw if aw > 0 else 0.0, dot / math.sqrt(aa * qq) if aa > 0 and qq > 0 else 0.0, qa / qw if qw > 0 else 0.0, sum(a.values()), sum(q.values())))
+        for no, x in enumerate(others):
+            shared = [(t, n) for t, n in x.items() if t in a]
+            found += [(idf[t], n) for t, n in shared]
+            found_ends.append(len(found))
+            contexts.append((no, sum(x.values()), math.fsum(idf[t] * n for t, n in x.items()), math.fsum(idf[t] * min(n, a[t]) for t, n in shared)))
+        for no, x in enumerate(own):
+            lost += [(t, n, idf[t]) for t, n in x.items() if t not in c]
+            lost_ends.append(len(lost))
+            sentences.append((no, math.fsum(idf[t] * min(n, c[t]) for t, n in x.items() if t in c), math.fsum(idf[t] * n for t, n in x.items())))
+        for end, values in zip(ends, (terms, contexts, sentences)):
+            end.append(len(values))
+    text, real, whole, place = pa.string(), pa.float64(), pa.int64(), pa.int32()
+    context, sentence = _structs(contexts, no=place, dl=whole, weight=real, hit=real), _structs(sentences, no=place, known=real, weight=real)
+    with_list = lambda own, name, x: pa.StructArray.from_arrays([*own.flatten(), x], names=[*(f.name for f in own.type), name])
+    score = _structs(scores, precision_token=real, cosine_tfidf=real, answer_covers_question=real, a_len=whole, q_len=whole)
+    made = {
+        "terms": X.listed(ends[0], _structs(terms, term=text, idf=real, a=whole, q=whole, c=whole, df=whole)),
+        "contexts": X.listed(ends[1], with_list(context, "found", X.listed(found_ends, _structs(found, idf=real, cnt=whole)))),
+        "sentences": X.listed(ends[2], with_list(sentence, "lost", X.listed(lost_ends, _structs(lost, term=text, cnt=whole, idf=real)))),
+    }
+    return pa.StructArray.from_arrays([*score.flatten(), *made.values()], names=[*(f.name for f in score.type), *made])
+
 
-    Texts are dealt by trace_id once; every count, window and sum after that stays in the
-    partition. Columns: trace_id, precision_token, cosine_tfidf, answer_covers_question, a_len,
-    q_len; terms (term, idf, a, q, c) of the whole trace; and, of those that have terms, the
-    contexts (no, dl, weight, hit, found) and the answer's sentences (no, precision,
-    unsupported), in no order.
+def facts_of(q: Column, sentences: Column, c: Column) -> Column:
+    """FACTS of a question, an answer's sentences and contexts."""
+    # said not to be deterministic, or a filter on what it gives would run it once more
+    return X.stepwise(FACTS, _facts, q, sentences, c, steady=False)
+
+
+def with_facts(traces: DataFrame, every: bool = False) -> DataFrame:
+    """The rows of traces with all that their terms tell, worked out row by row.
+
+    Columns: precision_token, cosine_tfidf, answer_covers_question, a_len, q_len; terms (term,
+    idf, a, q, c, df) of the whole trace; the contexts (no, dl, weight, hit, found), of those
+    with terms unless ``every``; and the answer's sentences (no, precision, unsupported).
     """
-    piece = lambda p, texts: F.transform(texts, lambda x, i: F.struct(F.lit(p).alias("part"), i.alias("no"), x.alias("text")))
-    rows = traces.repartition("trace_id").select("trace_id", F.size("c").alias("n"), F.inline(F.concat(piece("q", F.array("q")), piece("s", X.sentences(F.col("a"))), piece("c", F.col("c")))))
-    counted = terms(rows, "trace_id", "n", "part", "no")
-    same = W.partitionBy("trace_id", "term")
-    own = lambda p: F.coalesce(F.sum(F.when(F.col("part") == p, F.col("cnt"))).over(same), F.lit(0))
-    entry = counted.select("*", own("s").alias("a"), own("q").alias("q"), own("c").alias("c"), F.count_if(F.col("part") == "c").over(same).alias("in_c"), F.row_number().over(same.orderBy("part", "no")).alias("turn"))
-    df = F.col("in_c") + (F.col("a") > 0).cast("int") + (F.col("q") > 0).cast("int")
-    entry = entry.withColumn("idf", F.log((F.col("n") + 3) / (df + 1)) + 1)
-    idf, a, q, c, cnt, s = *(F.col(x) for x in ("idf", "a", "q", "c", "cnt")), F.sum
-    once = lambda x: s(F.when(F.col("turn") == 1, x))
-    sums = {"ac": idf * F.least(a, c), "aw": idf * a, "dot": idf * idf * a * q, "aa": idf * idf * a * a, "qq": idf * idf * q * q, "qa": idf * F.least(a, q), "qw": idf * q, "a_len": a, "q_len": q}
-    part = entry.groupBy("trace_id", "part", "no").agg(
-        s(cnt).alias("dl"),
-        s(idf * cnt).alias("weight"),
-        s(idf * F.least(cnt, a)).alias("hit"),
-        s(idf * F.least(cnt, c)).alias("known"),
-        F.collect_list(F.when((F.col("part") == "c") & (a > 0), F.struct("idf", "cnt"))).alias("found"),
-        F.collect_list(F.when((F.col("part") == "s") & (c == 0), ranked(F.col("term"), cnt, idf))).alias("lost"),
-        F.collect_list(F.when(F.col("turn") == 1, F.struct("term", "idf", "a", "q", "c"))).alias("terms"),
-        *[once(x).alias(f"_{name}") for name, x in sums.items()],
-    )
-    of = lambda p, made: F.collect_list(F.when(F.col("part") == p, made))
-    whole = part.groupBy("trace_id").agg(
-        F.flatten(F.collect_list("terms")).alias("terms"),
-        of("c", F.struct("no", "dl", "weight", "hit", "found")).alias("contexts"),
-        of("s", F.struct(F.col("no"), F.round(ratio(F.col("known"), F.col("weight")), 4).alias("precision"), in_order(F.col("lost")).alias("unsupported"))).alias("sentences"),
-        *[F.coalesce(s(f"_{name}"), F.lit(0)).alias(name) for name in sums],
-    )
-    ac, aw, dot, aa, qq, qa, qw = (F.col(x) for x in ("ac", "aw", "dot", "aa", "qq", "qa", "qw"))
-    return whole.select(
-        "trace_id",
-        ratio(ac, aw).alias("precision_token"),
-        F.when((aa > 0) & (qq > 0), dot / F.sqrt(aa * qq)).otherwise(F.lit(0.0)).alias("cosine_tfidf"),
-        ratio(qa, qw).alias("answer_covers_question"),
-        F.col("a_len").cast("long").alias("a_len"),
-        F.col("q_len").cast("long").alias("q_len"),
-        "terms",
-        "contexts",
-        "sentences",
-    )
+    own = lambda x: F.struct(x["no"].alias("no"), F.round(ratio(x["known"], x["weight"]), 4).alias("precision"), in_order(F.transform(x["lost"], lambda t: ranked(t["term"], t["cnt"], t["idf"]))).alias("unsupported"))
+    rows = traces.withColumn("_facts", facts_of(F.col("q"), X.sentences(F.col("a")), F.col("c")))
+    plain = {n: F.col(f"_facts.{n}") for n in ("precision_token", "cosine_tfidf", "answer_covers_question", "a_len", "q_len", "terms", "contexts")}
+    if not every:
+        plain["contexts"] = F.filter("_facts.contexts", lambda x: x["dl"] > 0)
+    return rows.withColumns(plain | {"sentences": F.transform("_facts.sentences", own)}).drop("_facts")
+
+
+def facts(traces: DataFrame) -> DataFrame:
+    """One row a trace that has any term: trace_id and the columns of ``with_facts``."""
+    return with_facts(traces.select("trace_id", "q", "a", "c")).where(F.size("terms") > 0).drop("q", "a", "c")
 
 
 def best_of(contexts: Column, size: Column, bm25: bool = True) -> Column:
@@ -294,8 +334,7 @@ def best_of(contexts: Column, size: Column, bm25: bool = True) -> Column:
 
     def scored(mean: Column) -> Column:
         def of(x: Column) -> Column:
-            norm = BM25_K1 * (1 - BM25_B + BM25_B * ratio(x["dl"], mean))
-            score = total(x["found"], lambda h: h["idf"] * h["cnt"] * (BM25_K1 + 1) / (h["cnt"] + norm)) if bm25 else ratio(x["hit"], x["weight"])
+            score = bm25_score(x, mean) if bm25 else ratio(x["hit"], x["weight"])
             return F.struct(F.round(score, 12).alias("score"), (-x["no"]).alias("first"), x["dl"].alias("dl"), ratio(x["hit"], x["weight"]).alias("recall"))
 
         return F.array_max(F.transform(some, of))

@@ -88,11 +88,11 @@ def build_report(traces: DataFrame, config: ReportConfig = ReportConfig()) -> Da
     """traces: trace_id (a key), q, a, c and, for the semantic part without a model, qe, ae
     (vectors) and ce (array of them).
 
-    Traces are dealt by trace_id once; terms are counted there (``metrics.facts``), and every
-    metric is an expression over its trace's row.
+    Terms are counted in the row (``metrics.with_facts``), every metric is an expression over it,
+    and no row moves; what a reader of the report leaves out is not worked out.
     """
-    base = traces.withColumn("c", F.coalesce("c", F.array().cast("array<string>"))).repartition("trace_id")
-    out = lexical(base.join(M.facts(base.select("trace_id", "q", "a", "c")), "trace_id", "left"), config)
+    base = traces.withColumn("c", F.coalesce("c", F.array().cast("array<string>")))
+    out = lexical(M.with_facts(base), config)
     blank = F.coalesce(F.trim("a"), F.lit("")) == ""
     alone = (F.size("c") == 0) & ~blank
     answered, grounded = ~blank, ~blank & ~alone
@@ -133,73 +133,28 @@ def answer_report(rows: DataFrame, config: ReportConfig = ReportConfig()) -> Dat
 
 def lexical(rows: DataFrame, config: ReportConfig) -> DataFrame:
     """Everything that follows from a trace's terms, contexts and sentences."""
-    lost = "array<struct<term:string,cnt:bigint,idf:double,impact:double>>"
-    empty = {"contexts": "array<struct<no:int,dl:bigint,weight:double,hit:double,found:array<struct<idf:double,cnt:bigint>>>>", "terms": "array<struct<term:string,idf:double,a:bigint,q:bigint,c:bigint>>", "sentences": f"array<struct<no:int,precision:double,unsupported:{lost}>>"}
-    scores = ("precision_token", "cosine_tfidf", "answer_covers_question")
-    rows = rows.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in empty.items()} | {c: F.coalesce(c, F.lit(0.0)) for c in scores} | {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("a_len", "q_len")} | {"every": X.sentences(F.col("a"))})
-    terms = lambda keep: M.in_order(F.transform(F.filter("terms", lambda t: (t["a"] > 0) & keep(t)), lambda t: M.ranked(t["term"], t["a"], t["idf"])))
-    known = F.transform(F.filter("terms", lambda t: (t["a"] > 0) & (t["c"] > 0)), lambda t: t["term"])
-    # a sentence without an informative term has precision 0
-    own = F.map_from_entries(F.transform("sentences", lambda x: F.struct(x["no"], x["precision"])))
-    own_lost = F.map_from_entries(F.transform("sentences", lambda x: F.struct(x["no"], x["unsupported"])))
-    rows = rows.withColumn("located", X.token_spans(F.col("a"))).withColumns({
+    rows = rows.withColumns({
+        "every": X.sentences(F.col("a")),
         "best": M.best_of(F.col("contexts"), F.size("c"), config.bm25),
-        "supported_terms": terms(lambda t: t["c"] > 0),
-        "unsupported_terms": terms(lambda t: t["c"] == 0),
-        "spans": M.let(known, lambda kn: F.filter(X.informative_of(F.col("located")), lambda t: F.array_contains(kn, t["term"]))),
+        "supported_terms": M.answer_terms(True),
+        "unsupported_terms": M.answer_terms(False),
+        "per_sentence": F.transform("sentences", lambda x: x["precision"]),
     })
+    known = F.transform(F.filter("terms", lambda t: (t["a"] > 0) & (t["c"] > 0)), lambda t: t["term"])
+    by_sentence = M.precision_summary(F.col("per_sentence"))
+    none = ("min_sentence_precision", "mean_sentence_precision", "p90_sentence_precision")
     rows = rows.withColumns({
         "recall_context": F.coalesce("best.recall", F.lit(0.0)),
-        "best_context_len": F.coalesce("best.dl", F.lit(0)).cast("long"),
-        "per_sentence": F.transform("every", lambda x, i: F.coalesce(F.try_element_at(own, i), F.lit(0.0))),
-        "unsupported_terms_per_sentence": F.transform("every", lambda x, i: F.struct(x.alias("sentence"), F.coalesce(F.try_element_at(own_lost, i), F.array().cast(lost)).alias("unsupported_terms"))),
-        "n_sentences": F.size("every").cast("long"),
-    })
-    values = F.sort_array("per_sentence")
-    size = F.nullif(F.col("n_sentences"), F.lit(0))
-    units = F.aggregate("per_sentence", F.lit(0).cast("long"), lambda s, x: s + F.round(x * 10000).cast("long"))
-    share = lambda test: F.round(F.size(F.filter("per_sentence", test)) / size, 4)
-    top = F.slice("unsupported_terms", 1, M.TOP_K)
-    a_terms = F.size("supported_terms") + F.size("unsupported_terms")
-    raw = F.aggregate(F.transform("c", lambda x: F.size(X.tokens(x))), F.lit(0), lambda s, x: s + x)
-    rows = rows.withColumns({
-        "min_sentence_precision": F.coalesce(F.array_min("per_sentence"), F.lit(0.0)),
-        "mean_sentence_precision": F.coalesce(F.floor((2 * units + size) / (2 * size)) / 10000, F.lit(0.0)),
-        "p90_sentence_precision": F.coalesce(F.get(values, F.floor(F.lit(0.9) * (size - 1)).cast("int")), F.lit(0.0)),
-        "low_frac": share(lambda x: x < 0.3),
-        "medium_frac": share(lambda x: (x >= 0.3) & (x < 0.6)),
-        "high_frac": share(lambda x: x >= 0.6),
-        "supported_terms_per_sentence": supported_spans(F.col("every")),
-        "unsupported_mass": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("precision_token"))), 4),
-        "unsupported_topk_count": F.size(top).cast("long"),
-        "top": M.total(top, lambda t: t["impact"]),
-        # as many supported terms as there are among the largest unsupported ones
-        "sup": M.total(F.slice("supported_terms", F.lit(1), F.size(top)), lambda t: t["cnt"] * t["idf"]),
+        **M.size_columns(),
+        "unsupported_terms_per_sentence": F.zip_with("every", "sentences", lambda x, own: F.struct(x.alias("sentence"), own["unsupported"].alias("unsupported_terms"))),
+        **by_sentence,
+        **{n: F.coalesce(by_sentence[n], F.lit(0.0)) for n in none},
+        "supported_terms_per_sentence": X.spans_of_sentences(F.col("a"), F.col("every"), known),
+        **M.term_columns(F.col("supported_terms"), F.col("unsupported_terms")),
         "unsupported_term_count": F.size("unsupported_terms").cast("long"),
-        "unsupported_term_rate": F.round(M.ratio(F.size("unsupported_terms"), a_terms), 4),
-        "num_contexts": F.size("c").cast("long"),
-        "avg_ctx_len_tokens": F.round(M.ratio(raw, F.size("c")), 4),
-        "qa_len_ratio": F.round(F.col("a_len") / F.greatest(F.lit(1), "q_len"), 4),
-        "best_context_share": F.round(F.col("precision_token") * F.col("recall_context"), 4),
         **M.simple_columns(),
     })
-    return rows.withColumns({
-        "unsupported_topk_impact": F.round("top", 4),
-        "supported_topk_impact": F.round("sup", 4),
-        "unsupported_to_supported_ratio": F.round(F.col("top") / (F.col("sup") + 1e-6), 4),
-    }).drop("top", "sup", "best", "every", "located", "spans")
-
-
-def supported_spans(sentences: Column) -> Column:
-    """Each sentence of ``a`` with its supported terms, those of ``spans`` that lie in it, by
-    their places in the answer, where a sentence stands for its first occurrence there."""
-
-    def of(s: Column, spans: Column) -> Column:
-        place = F.struct((F.call_function("locate", s, F.col("a")) - 1).alias("a"), F.length(s).alias("n"))
-        own = M.let(place, lambda at: F.filter(spans, lambda t: (t["start"] >= at["a"]) & (t["end"] <= at["a"] + at["n"])))
-        return F.struct(s.alias("sentence"), F.transform(own, lambda t: F.struct(t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end"))).alias("supported_terms"))
-
-    return M.let(F.col("spans"), lambda spans: F.transform(sentences, lambda s: of(s, spans)))
+    return rows.drop("best", "every")
 
 
 def semantic(rows: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:

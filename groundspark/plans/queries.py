@@ -45,8 +45,8 @@ def tokens(spark, sf_dir):
 
 
 def lemma_counts(spark, sf_dir):
-    rows = M.terms(M.parts(traces(spark, sf_dir)), "trace_id")
-    return rows.groupBy("term").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_traces"))
+    rows = M.facts(traces(spark, sf_dir)).select(F.inline("terms"))
+    return rows.groupBy("term").agg(F.sum(F.col("a") + F.col("q") + F.col("c")).alias("cnt"), F.count("*").alias("n_traces"))
 
 
 def idf(spark, sf_dir):
@@ -54,11 +54,11 @@ def idf(spark, sf_dir):
 
 
 def precision_token(spark, sf_dir):
-    return M.lexical(M.profile(traces(spark, sf_dir))).select("trace_id", F.round("precision_token", 4).alias("precision_token"))
+    return M.facts(traces(spark, sf_dir)).select("trace_id", F.round("precision_token", 4).alias("precision_token"))
 
 
 def qa_cosine(spark, sf_dir):
-    return M.lexical(M.profile(traces(spark, sf_dir))).select("trace_id", F.round("cosine_tfidf", 4).alias("cosine_tfidf"), F.round("answer_covers_question", 4).alias("answer_covers_question"))
+    return M.facts(traces(spark, sf_dir)).select("trace_id", F.round("cosine_tfidf", 4).alias("cosine_tfidf"), F.round("answer_covers_question", 4).alias("answer_covers_question"))
 
 
 def bm25_scores(spark, sf_dir):
@@ -106,7 +106,7 @@ def simple_scores(spark, sf_dir):
 
 
 def inference_signal(spark, sf_dir):
-    lex = M.lexical(M.profile(traces(spark, sf_dir))).select("trace_id", "precision_token", "cosine_tfidf")
+    lex = M.facts(traces(spark, sf_dir)).select("trace_id", "precision_token", "cosine_tfidf")
     typed = F.when(F.col("trace_id") % 3 == 0, 1.0).when(F.col("trace_id") % 3 == 1, 0.95)
     return M.inference_signal(lex.withColumns({"numeric_match": typed, "entity_overall": F.lit(0.5), "cosine_tfidf": F.col("cosine_tfidf") + 0.35}))
 
@@ -319,10 +319,8 @@ def supported_spans(spark, sf_dir):
 
 
 def best_context_plain(spark, sf_dir):
-    rows = traces(spark, sf_dir).where("size(c) > 0")
-    rows = rows.join(M.facts(rows.select("trace_id", "q", "a", "c")), "trace_id", "left")
-    none = F.array().cast("array<struct<no:int,dl:bigint,weight:double,hit:double,found:array<struct<idf:double,cnt:bigint>>>>")
-    rows = rows.withColumn("b", M.best_of(F.coalesce("contexts", none), F.size("c"), bm25=False))
+    rows = M.with_facts(traces(spark, sf_dir).where("size(c) > 0"))
+    rows = rows.withColumn("b", M.best_of(F.col("contexts"), F.size("c"), bm25=False))
     return rows.select("trace_id", F.col("b.no").cast("long").alias("best_no"), F.col("b.dl").alias("best_context_len"))
 
 

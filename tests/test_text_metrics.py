@@ -227,3 +227,45 @@ def test_best_context_without_bm25(spark):
     df = spark.createDataFrame([(1, "q", "alpha beta gamma delta", ["alpha beta gamma omega sigma tau", "delta"], 1)], TRACE)
     assert build_report(df).first().best_context_len == 6
     assert build_report(df, ReportConfig(bm25=False)).first().best_context_len == 1
+
+
+def test_terms_in_python_are_those_of_catalyst(spark):
+    rng = random.Random(3)
+    alphabet = "abcsdengiSEDING0123456789$%.-_,'éÉßΣσς٣ "
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120))) for _ in range(400)] + ["The 1,200.5 ships; this 5% of $1,200.00 was Running"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.tokens(F.col("t")).alias("k")).select("t", "k", F.transform("k", lambda x: X.lemma(x)).alias("l")).withColumn("i", F.filter("l", lambda x: X.informative(x))).collect()
+    for r in rows:
+        assert [X.lemma_of(k) for k in r.k] == r.l and [t for k in r.k if (t := X.term_of(k))] == r.i
+        assert X.term_counts(r.t) == {t: r.i.count(t) for t in r.i}
+    for k in range(X.REMEMBERED + 5):
+        X.term_of(f"w{k}x")
+    assert len(X._known) <= X.REMEMBERED
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metrics_stay_with_their_row(spark):
+    df = spark.createDataFrame(random_traces(6), TRACE)
+    prof = M.profile(df)
+    local = {"profile": prof, "supported": M.supported_terms(prof), "unsupported": M.unsupported_terms(prof), "facts": M.facts(df), "extras": M.unsupported_extras(df), "quickwins": M.quickwins(df), "bm25": M.bm25(df), "best": M.best_context(df), "recall": M.recall_context(df), "sentence": M.sentence_precision(df), "summary": M.sentence_summary(df), "report": feature_rows(build_report(df))}
+    for name, made in local.items():
+        plan = _plan(made)
+        assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Repartition", "Sort ")), name
+        assert plan.count("run(") <= 3, name
+    # the report's entities ask nothing of its terms
+    assert "precision_token" not in _plan(build_report(df, ReportConfig(inference=False)).select("trace_id", "unsupported_entity_count"))
+
+
+def test_steps_give_every_row(spark):
+    rows = [(i, "one two", "alpha beta. Gamma delta" if i % 3 else None, ["alpha", None, ""][: i % 4], 1) for i in range(2 * X.STEP + 7)]
+    df = spark.createDataFrame(rows, TRACE).coalesce(1)
+    got = {r.trace_id: r for r in build_report(df, ReportConfig(entities=False)).collect()}
+    assert len(got) == len(rows)
+    for i, *_ in rows:
+        per = got[i].supported_terms_per_sentence
+        assert [s.sentence for s in per] == (["alpha beta.", "Gamma delta"] if i % 3 else [])
+        assert [t.term for s in per for t in s.supported_terms] == (["alpha"] if i % 3 and i % 4 else [])
+    scores = M.bm25(df).where("trace_id = 7").orderBy("no").collect()
+    assert [r.no for r in scores] == [0, 1, 2] and scores[0].score > 0 == scores[1].score and scores[1].dl == 0
