@@ -352,14 +352,14 @@ def canonical_dates(spark, sf_dir):
 
 
 def classifier_scores(spark, sf_dir):
-    from groundspark.operators.classifier import GroundednessClassifier
+    from groundspark.operators.classifier import GroundednessClassifier, folded
 
-    rows = features(spark, sf_dir)
-    folds = V.stratified_folds(rows, "doc_id")
-    rows = rows.join(folds.select("doc_id", "fold"), "doc_id")
+    own = ["chars", "phase", "lang_len"]
+    # kept for the five fits and for the scores, which are read when the caller asks for them
+    rows = folded(features(spark, sf_dir).select("doc_id", "y", *own), "doc_id")
     out = None
     for fold in range(5):
-        model = GroundednessClassifier(["chars", "phase", "lang_len"], C=3.0).fit(rows.where(F.col("fold") != fold))
+        model = GroundednessClassifier(own, C=3.0).fit(rows.where(F.col("fold") != fold))
         scored = model.score(rows.where(F.col("fold") == fold), "doc_id")
         out = scored if out is None else out.unionByName(scored)
     return out

@@ -164,3 +164,30 @@ def test_feature_sinks(spark, tmp_path):
     open(bad, "w").write("y,answer_type\n1,fact\nmaybe,fact\n")
     with pytest.raises(Exception, match="not a label: maybe"):
         readers.read_stats_rows(spark, bad).collect()
+
+
+def test_folds_are_worked_out_once(spark):
+    from groundspark.operators.classifier import cross_validate, folded
+
+    rows = spark.range(60).selectExpr("id", "double(id % 7) as x", "int(id % 2) as y")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    counted = rows.mapInArrow(seen, rows.schema)
+    own = folded(counted, "id", k=3)
+    try:
+        assert "InMemoryRelation" in own._jdf.queryExecution().withCachedData().toString()
+        for fold in range(3):
+            model = GroundednessClassifier(["x"]).fit(own.where(f"fold != {fold}"))
+            assert model.score(own.where(f"fold = {fold}"), "id").count() == 20
+        # the rows, and once more for the folds' ranks and sizes
+        assert calls.value <= 3 * 60
+    finally:
+        own.unpersist()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    cross_validate(rows, "id", ["x"], grid=(1.0,), k=3)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
